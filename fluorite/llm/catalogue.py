@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, url_filters
+from . import binary_search, language_id, mixing, packing, url_filters
 from ._shared import table
 
 
@@ -12,6 +12,10 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -20,9 +24,14 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op10_binary_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return binary_search.top_k(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_filters, op8_packing, op9_mixing)}
+    return {f.__name__: f for f in (op1_url_filters, op6_language_id, op8_packing, op9_mixing, op10_binary_search)}
 
 
 def oracle_sql() -> dict:
-    return {"op1_url_filters": url_filters.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL}
+    return {"op1_url_filters": url_filters.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL, "op10_binary_search": binary_search.ORACLE_SQL}
