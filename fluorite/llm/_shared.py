@@ -22,6 +22,11 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, ASCII_UPPER, ASCII_LOWER)
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value worked out once, however often use refers to it, in lambdas too."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; one of our own only where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

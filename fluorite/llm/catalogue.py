@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary_search, language_id, mixing, packing, url_filters
+from . import binary_search, fingerprints, language_id, mixing, packing, pii, url_filters
 from ._shared import table
 
 
@@ -12,10 +12,18 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"))
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.digest(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -30,7 +38,7 @@ def op10_binary_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_filters, op6_language_id, op8_packing, op9_mixing, op10_binary_search)}
+    return {f.__name__: f for f in (op1_url_filters, op3_fingerprints, op6_language_id, op7_pii, op8_packing, op9_mixing, op10_binary_search)}
 
 
 def oracle_sql() -> dict:
