@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary_search, fingerprints, language_id, mixing, packing, pii, quality, url_filters
+from . import binary_search, fingerprints, language_id, mixing, ngram_join, packing, pii, quality, url_filters
 from ._shared import table
 
 
@@ -12,6 +12,10 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.digest(table(spark, sf_dir, "documents"))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.digest(table(spark, sf_dir, "documents"))
 
@@ -42,8 +46,8 @@ def op10_binary_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_filters, op3_fingerprints, op5_quality, op6_language_id, op7_pii, op8_packing, op9_mixing, op10_binary_search)}
+    return {f.__name__: f for f in (op1_url_filters, op2_ngram_join, op3_fingerprints, op5_quality, op6_language_id, op7_pii, op8_packing, op9_mixing, op10_binary_search)}
 
 
 def oracle_sql() -> dict:
-    return {"op1_url_filters": url_filters.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL, "op10_binary_search": binary_search.ORACLE_SQL}
+    return {"op1_url_filters": url_filters.ORACLE_SQL, "op2_ngram_join": ngram_join.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL, "op10_binary_search": binary_search.ORACLE_SQL}
