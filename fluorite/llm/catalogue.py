@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary_search, fingerprints, language_id, mixing, ngram_join, packing, pii, quality, url_filters
+from . import binary_search, fingerprints, language_id, mixing, ngram_join, packing, pii, quality, suffix_dedup, url_filters
 from ._shared import table
 
 
@@ -20,6 +20,10 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.digest(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op10_binary_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_filters, op2_ngram_join, op3_fingerprints, op5_quality, op6_language_id, op7_pii, op8_packing, op9_mixing, op10_binary_search)}
+    return {f.__name__: f for f in (op1_url_filters, op2_ngram_join, op3_fingerprints, op4_suffix_dedup, op5_quality, op6_language_id, op7_pii, op8_packing, op9_mixing, op10_binary_search)}
 
 
 def oracle_sql() -> dict:
