@@ -39,7 +39,7 @@ def _types(s: np.ndarray) -> np.ndarray:
     step = np.r_[s[:-1] != s[1:], True]
     at = np.where(step, np.arange(n), n)
     at = np.minimum.accumulate(at[::-1])[::-1]
-    after = np.r_[s[1:], -1][at]
+    after = np.r_[s[1:].astype(np.int16), np.int16(-1)][at]
     return s[at] < after
 
 
@@ -54,8 +54,8 @@ def _induce(s: np.ndarray, small: np.ndarray, seeds: np.ndarray, values: int) ->
         keys = s[found]
         order = np.argsort(keys, kind="stable")
         found, keys = found[order], keys[order]
-        cuts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)]):
+        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        for i, j in zip(cuts[:-1], cuts[1:]):
             into[int(keys[i])].append(found[i:j])
 
     large: list[list[np.ndarray]] = [[] for _ in range(values)]
@@ -70,8 +70,8 @@ def _induce(s: np.ndarray, small: np.ndarray, seeds: np.ndarray, values: int) ->
     for c in range(values):
         k = 0
         while k < len(large[c]):
-            wave = large[c][k] - 1
-            k += 1
+            wave = np.concatenate(large[c][k:]) - 1
+            k = len(large[c])
             wave = wave[wave >= 0]
             deal(wave[~small[wave]], large)
         wave = by[c] - 1
@@ -81,12 +81,12 @@ def _induce(s: np.ndarray, small: np.ndarray, seeds: np.ndarray, values: int) ->
     for c in range(values - 1, -1, -1):
         k = 0
         while k < len(less[c]):
-            wave = less[c][k] - 1
-            k += 1
+            wave = np.concatenate(less[c][k:]) - 1
+            k = len(less[c])
             wave = wave[wave >= 0]
             deal(wave[small[wave]], less)
-        for chunk in reversed(large[c]):
-            wave = chunk[::-1] - 1
+        if large[c]:
+            wave = np.concatenate(large[c])[::-1] - 1
             wave = wave[wave >= 0]
             deal(wave[small[wave]], less)
     return np.concatenate([x for c in range(values) for x in (*large[c], *(y[::-1] for y in reversed(less[c])))])
@@ -98,7 +98,7 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     Leftmost-smaller substrings are sorted by inducing from their unsorted heads and named; names of neighbouring ones
     are joined to names of twice the reach, recursively, until they differ or reach over `depth` bytes.
     """
-    s = text.astype(np.int64)
+    s = text
     n = len(s)
     if n < 2:
         return np.arange(n)
@@ -115,7 +115,7 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     length = np.minimum(following[sorted_] - sorted_ + 1, depth + 1)
     same = length[1:] == length[:-1]
     a, b = sorted_[:-1], sorted_[1:]
-    padded = np.r_[s, np.full(depth + 2, -1)]
+    padded = np.r_[s.astype(np.int16), np.full(depth + 2, -1, dtype=np.int16)]
     alive = np.flatnonzero(same)
     for k in range(depth + 1):
         if not len(alive):
