@@ -18,6 +18,10 @@ VOCABULARY = "word_bpe_49k.json"
 #: A task forgets its words' ids beyond so many; they are then looked up anew.
 WORDS_KEPT = 800_000
 
+#: One of these marks after an ASCII letter, at a word's end, has an id of its own: the word before it is encoded alone.
+_MARKS = (b",", b".")
+_ENDS, _LETTERS = frozenset(_MARKS), frozenset(bytes([c]) for c in b"abcdefghijklmnopqrstuvwxyz")
+
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -41,6 +45,9 @@ def _word_ids(path: str):
         if len(known) > WORDS_KEPT:
             known.clear()
         new = [w for w in dict.fromkeys(words) if w not in known]
+        ended = [w for w in new if w[-1:] in _ENDS and w[-2:-1] in _LETTERS]
+        stems = set(new).difference(ended).union(w[:-1] for w in ended).difference(known)
+        new = [*stems.difference(_MARKS), *(m for m in _MARKS if m not in known)]
         for at in range(0, len(new), 20_000):
             some = new[at : at + 20_000]
             found = tokenizer.encode([w.decode() for w in some], is_pretokenized=True, add_special_tokens=False)
@@ -48,6 +55,7 @@ def _word_ids(path: str):
             ends = np.searchsorted(np.array(found.word_ids, dtype=np.int64), np.arange(len(some) + 1)) * 4
             ends = ends.tolist()
             known.update((w, raw[ends[i] : ends[i + 1]]) for i, w in enumerate(some))
+        known.update((w, known[w[:-1]] + known[w[-1:]]) for w in ended)
         return b"".join(map(known.__getitem__, words))
 
     return ids
