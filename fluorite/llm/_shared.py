@@ -27,6 +27,17 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def packed(docs: DataFrame, *needed: str) -> DataFrame:
+    """The needed columns of docs, and all of them as the struct _row: no name of docs can clash with what is added."""
+    return docs.select(*[F.col(f"`{c}`") for c in needed], F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+
+
+def unpacked(rows: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    """docs' columns again, from _row; those named in `changed` get new values, of their old type."""
+    kinds = dict(docs.dtypes)
+    return rows.select(*[(changed[c].cast(kinds[c]) if c in changed else F.col("_row").getField(c)).alias(c) for c in docs.columns])
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; one of our own only where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

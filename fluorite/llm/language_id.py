@@ -10,8 +10,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ._shared import packed, unpacked
+
 UNKNOWN = "und"
 #: Documents of each language that the statistics are learned from, at most; the only sample that is drawn.
 LEARNED_DOCUMENTS = 400
@@ -173,12 +176,11 @@ def predict(docs: DataFrame, counts: dict[str, tuple[np.ndarray, np.ndarray]]) -
             arrays = [*batch.columns[:-1], pa.array(names), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())]
             yield pa.RecordBatch.from_arrays(arrays, names=[f"c{i}" for i in range(len(arrays))])
 
-    fields = [docs.schema[c] for c in keep]
     numbered = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col("text").alias("_text"))
-    schema = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(fields))
     n = len(keep)
-    out = numbered.mapInArrow(run, f"{schema}, c{n} string, c{n + 1} double, c{n + 2} double")
-    return out.toDF(*keep, "lang_pred", "score", "bits_per_byte")
+    fields = [T.StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(keep)]
+    fields += [T.StructField(f"c{n}", T.StringType()), T.StructField(f"c{n + 1}", T.DoubleType()), T.StructField(f"c{n + 2}", T.DoubleType())]
+    return numbered.mapInArrow(run, T.StructType(fields)).toDF(*keep, "lang_pred", "score", "bits_per_byte")
 
 
 def identify(docs: DataFrame, documents: int = LEARNED_DOCUMENTS) -> DataFrame:
@@ -195,6 +197,5 @@ def identify(docs: DataFrame, documents: int = LEARNED_DOCUMENTS) -> DataFrame:
 def keep_identified(docs: DataFrame, least_score: float = 0.5, documents: int = LEARNED_DOCUMENTS) -> DataFrame:
     """The rows of docs whose language is predicted with at least this score, with docs' columns."""
     counts = learn(docs.select("doc_id", "text", "lang").where(F.col("doc_id").isNotNull() & ~_held_out(F.col("doc_id"))), documents)
-    keep = docs.columns
-    found = predict(docs, counts).toDF(*keep, "_lang_pred", "_score", "_rate")
-    return found.where((F.col("_lang_pred") != UNKNOWN) & (F.col("_score") >= least_score)).select(*keep)
+    found = predict(packed(docs, "text"), counts)
+    return unpacked(found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)), docs)

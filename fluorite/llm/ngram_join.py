@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import components, partitions, stored
+from ._shared import components, packed, partitions, stored, unpacked
 
 WORDS, THRESHOLD = 3, Fraction(90, 100)
 GROUP_CLASSES = 256
@@ -303,10 +303,10 @@ def keep_one(docs: DataFrame, words: int = 5, threshold: Fraction = Fraction(80,
     joined = join(docs, words, threshold)
     first = joined.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).select("first.*")
     first = stored(first).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    hashed = docs.withColumn("_text_hash", F.xxhash64("text"))
+    hashed = packed(docs, "doc_id", "text").withColumn("_text_hash", F.xxhash64("text"))
     words_in = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     kept = hashed.where(words_in).join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_text_hash"]).unionByName(hashed.where(~words_in)).select(*docs.columns)
+    return unpacked(kept.dropDuplicates(["doc_id", "_text_hash"]).unionByName(hashed.where(~words_in)), docs)
 
 
 #: Sets as contracts state them; shingles are compared as texts.
