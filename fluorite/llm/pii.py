@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import stored
+from ._shared import packed, stored, unpacked
 
 KINDS = ("email", "ip", "card", "phone")
 #: Each kind as the contract words it, written so that no text takes more than linear time: a run is entered at its
@@ -168,7 +168,7 @@ def sanitise(docs: DataFrame, **thresholds) -> DataFrame:
     Where spans overlap, what they cover goes once. Text without spans stays as it is, null included; n_chars, if docs
     has that column, follows. docs' columns are returned.
     """
-    found = find(docs, **thresholds)
+    found = find(packed(docs, "doc_id", "text"), **thresholds)
 
     def of(kind: str) -> Column:
         put = "" if kind == "term" else f"<{kind}>"
@@ -183,8 +183,8 @@ def sanitise(docs: DataFrame, **thresholds) -> DataFrame:
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     clean = F.aggregate(F.array_sort(kinds), start, step, lambda s: F.concat(s["out"], F.substring("_text", s["at"] + 1, F.length("_text"))))
-    changed = F.size(kinds) > 0
-    out = found.withColumn("_changed", changed).withColumn("text", F.when(changed, clean).otherwise(F.col("text")))
+    out = found.withColumn("_changed", F.size(kinds) > 0).withColumn("_clean", F.when(F.col("_changed"), clean).otherwise(F.col("text")))
+    changed = {"text": F.col("_clean")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_changed"), F.char_length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        changed["n_chars"] = F.when(F.col("_changed"), F.char_length("_clean")).otherwise(F.col("_row.n_chars"))
+    return unpacked(out, docs, **changed)
