@@ -18,6 +18,8 @@ WEIGHTS_KEPT = 1 << 16
 #: About so many documents, drawn by a hash, are what the scorer is trained on; the labellers' accuracies come from all.
 TRAINING_DOCUMENTS = 20_000
 INSULTS = ("idiot", "stupid", "moron", "loser", "pathetic", "worthless", "disgusting", "trash", "scum", "clown", "dumb", "imbecile", "retard", "bitch", "bastard", "asshole")
+#: A labeller is taken to call no larger share of good text bad: with votes of one kind only, the data can't bound it.
+MOST_FALSE = 0.005
 _VOTES = ("length", "symbols", "word_length", "variety", "tables", "shouting", "lines", "insults")
 
 
@@ -57,7 +59,7 @@ def accuracies(counts: dict[str, int], rounds: int = 200) -> tuple[float, np.nda
 
     Returns the prior of good, the rates [class: bad, good][labeller][vote: bad, none], and each pattern's
     posterior of good. Votes are independent given the class. It starts from labellers that call bad text bad in one of
-    eight cases and good text in one of a thousand; that start counts as much as the documents in every round,
+    eight cases and good text in one of a thousand; that start counts as much as a class's documents in every round,
     as most labellers never meet and the data alone would let the classes drift. The
     number of patterns is bounded by 2 ** labellers.
     """
@@ -69,7 +71,7 @@ def accuracies(counts: dict[str, int], rounds: int = 200) -> tuple[float, np.nda
     cast = np.array([["0-".index(c) for c in k] for k in keys])
     which = np.eye(2)[cast]
     n = np.array([counts[k] for k in keys], dtype=float)
-    prior, weight = 0.8, max(1.0, n.sum())
+    prior = 0.8
 
     def posterior() -> np.ndarray:
         bad, good = (np.log(p) + (which * np.log(r)).sum(axis=(1, 2)) for p, r in ((1 - prior, rate[0]), (prior, rate[1])))
@@ -78,7 +80,9 @@ def accuracies(counts: dict[str, int], rounds: int = 200) -> tuple[float, np.nda
     for _ in range(rounds):
         good = posterior()
         for c, w in enumerate((n * (1 - good), n * good)):
-            rate[c] = ((w[:, None, None] * which).sum(axis=0) + weight * start[c]) / (w.sum() + weight)
+            rate[c] = ((w[:, None, None] * which).sum(axis=0) / max(w.sum(), 1e-9) + start[c]) / 2
+        rate[1, :, 0] = np.minimum(rate[1, :, 0], MOST_FALSE)
+        rate[1, :, 1] = 1 - rate[1, :, 0]
         old, prior = prior, float((n @ good + 1) / (n.sum() + 2))
         if abs(old - prior) < 1e-9:
             break
