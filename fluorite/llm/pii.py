@@ -112,12 +112,11 @@ def disclosing_terms(docs: DataFrame, contexts=LEAST_CONTEXTS, share=LEAST_SHARE
     pairs = stored(pairs)
     if pairs.isEmpty():
         return pairs.selectExpr("term", "value", "contexts", "0L as documents", "0D as share", "0D as bits")
-    terms = pairs.select("term").distinct()
     total = docs.count()
     with_term = docs.select(F.explode(F.array_distinct(words(F.col("_text")))).alias("term")).groupBy("term").agg(F.count("*").alias("documents"))
     with_both = seen.select("doc_id", "value", F.explode(F.array_distinct("around")).alias("term")).join(pairs.select("value", "term"), ["value", "term"]).groupBy("value", "term").agg(F.countDistinct("doc_id").alias("both"))
     with_value = seen.groupBy("value").agg(F.countDistinct("doc_id").alias("holders"))
-    found = pairs.join(with_term.join(terms, "term", "left_semi"), "term").join(with_both, ["value", "term"]).join(with_value, "value")
+    found = pairs.join(with_term, "term").join(with_both, ["value", "term"]).join(with_value, "value")
     found = found.withColumn("share", F.least(F.lit(1.0), F.col("both") / F.col("documents"))).withColumn("bits", F.log2(F.col("share") * F.lit(float(total)) / F.col("holders")))
     return found.where((F.col("share") >= share) & (F.col("bits") >= bits)).select("term", "value", "contexts", "documents", "share", "bits")
 
