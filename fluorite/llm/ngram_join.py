@@ -5,14 +5,16 @@ hash, goes first, the rare before the frequent; the others follow by hash. Two s
 the first size - ceil(size * threshold) + 1 of each, so only documents that meet in such a prefix are compared; most have a
 prefix that no other document holds. Equal sets are one class, which stands for all its documents.
 
-Classes that meet in a shingle are first compared with one pivot each; what that connects needs no further pair. Groups
-that still hold several components are joined by a prefix tree: the group's ordered sets, sorted, are its leaves; walking
-them, what two neighbours share of their path keeps its partial overlap; and a subtree is left as soon as its overlap and
-the shorter rest can't reach the threshold. Groups over GROUP_CLASSES are cut into blocks, of which each pair is joined.
+A group is what a shingle brings together, of neighbouring sizes; what groups connect is a cluster. A prefix tree joins the
+sets of a cluster: the ordered sets, sorted, are its leaves; walking them, what two neighbours share of their path keeps its
+partial overlap; and a subtree is left as soon as its overlap and the shorter rest can't reach the threshold. In a cluster
+of over GROUP_CLASSES sets, every set is first compared with its groups' pivots; what that connects needs no further pair,
+and groups that still hold several components are joined one by one, in pairs of blocks where a group is over that size.
 """
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Iterator
 from fractions import Fraction
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from ._shared import components, packed, partitions, stored, unpacked
 
 WORDS, THRESHOLD = 3, Fraction(90, 100)
-GROUP_CLASSES = 256
+GROUP_CLASSES = 1024
 _WORDS_KEPT = 600_000
 _FLUSH = 2_000_000
 
@@ -172,6 +174,12 @@ def _prefixes(docs: DataFrame, words: int, threshold: Fraction) -> DataFrame:
     return moved.groupBy("dest").applyInPandas(counted, _MOVED).groupBy("block").applyInPandas(chosen, _FOUND)
 
 
+def _parity(tokens: np.ndarray) -> np.ndarray:
+    """1024 marks of a set, each set if an odd number of its shingles falls on it."""
+    place = (tokens.astype(np.int64).view(np.uint64) >> np.uint64(20)) & np.uint64(1023)
+    return np.packbits(np.bincount(place.astype(np.int64), minlength=1024).astype(np.uint8) & 1).view(np.uint64)
+
+
 def tree_join(sets: list[np.ndarray], roots: list, threshold: Fraction) -> list[tuple[int, int]]:
     """Pairs of sets that link, enough to connect all that links connect; pairs of one root are taken as connected.
 
@@ -197,41 +205,48 @@ def tree_join(sets: list[np.ndarray], roots: list, threshold: Fraction) -> list[
             r = parent[r]
         return r
 
+    n_of = np.array([len(paths[i]) for i in leaves])
+    marks = np.stack([_parity(sets[i]) for i in leaves])
+    shared_ = np.array(shared)
     links = []
-    for x in range(len(leaves)):
-        mine = paths[leaves[x]]
+    for x in range(len(leaves) - 1):
+        mine, own = paths[leaves[x]], roots[leaves[x]]
         n = len(mine)
+        later = n_of[x + 1 :]
+        # Shingles of one set alone flip a mark each: more marks differ than could, so the pair can't link.
+        differ = np.bitwise_count(marks[x + 1 :] ^ marks[x]).sum(axis=1)
+        maybe = (np.minimum(n, later) * den >= np.maximum(n, later) * num) & (differ * (den + num) <= (den - num) * (n + later))
+        if not maybe.any():
+            continue
         inside = np.zeros(len(token), dtype=bool)
         inside[mine] = True
-        overlap = np.r_[0, np.cumsum(np.ones(n, dtype=np.int64))]  # along the last path walked: here, x's own
-        depth = n  # how much of `overlap` still holds for the next leaf
-        cut = None  # depth at which a subtree was left
-        for y in range(x + 1, len(leaves)):
-            depth = min(depth, shared[y])
-            if cut is not None and shared[y] >= cut:
-                continue
-            cut = None
+        overlap = np.arange(n + 1)  # along the last path walked: here, x's own
+        depth, last = n, x  # how much of `overlap` still holds, and the leaf it comes from
+        cut, since = None, 0  # depth at which a subtree was left, and what the leaves since then share with it
+        for y in (np.flatnonzero(maybe) + x + 1).tolist():
             other = leaves[y]
-            m = len(paths[other])
-            if min(n, m) * den < max(n, m) * num or root(roots[leaves[x]]) == root(roots[other]):
+            if root(own) == root(roots[other]):
+                continue
+            low = int(shared_[last + 1 : y + 1].min())
+            depth, since, last = min(depth, low), min(since, low), y
+            if cut is not None and since >= cut:
                 continue
+            cut = None
             path = paths[other]
-            rest = inside[path[depth:]]
-            overlap = np.r_[overlap[: depth + 1], overlap[depth] + np.cumsum(rest)]
+            m = len(path)
+            overlap = np.r_[overlap[: depth + 1], overlap[depth] + np.cumsum(inside[path[depth:]])]
             depth = m
-            # |both| * (den + num) >= num * (n + m) links; the least m that could link in a subtree bounds all of it.
-            total = int(overlap[-1])
-            if total * (den + num) >= num * (n + m):
+            # Sets link where |both| * (den + num) >= num * (n + m).
+            if int(overlap[-1]) * (den + num) >= num * (n + m):
                 links.append((leaves[x], other))
-                parent[root(roots[leaves[x]])] = root(roots[other])
+                parent[root(own)] = root(roots[other])
                 continue
+            # Below a node of the path: what overlaps so far, the rest of x, and the least size that could link at all.
             least = -(-num * n // den)
-            steps = np.arange(m + 1)
-            passed = np.searchsorted(mine, path)  # of x, what comes before each node of the path
-            ahead = n - np.r_[passed, passed[-1] + int(inside[path[-1]])] if m else np.array([n])
-            hopeless = (overlap[: m + 1] + ahead) * (den + num) < num * (n + np.maximum(least, steps))
+            ahead = n - np.r_[np.searchsorted(mine, path), np.searchsorted(mine, path[-1:], side="right")]
+            hopeless = (overlap + ahead) * (den + num) < num * (n + np.maximum(least, np.arange(m + 1)))
             if hopeless.any():
-                cut = int(np.argmax(hopeless))
+                cut, since = int(np.argmax(hopeless)), m
     return links
 
 
@@ -246,10 +261,23 @@ def join(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD) -
     num, den = threshold.numerator, threshold.denominator
     found = stored(_prefixes(docs, words, threshold))
     documents = found.where("kind = 0").select("doc_id", "text_hash", "n", "key")
-    entries = found.where("kind = 1").groupBy("token", "key").agg(F.min("n").alias("n"), F.min("text_hash").alias("text_hash"))
-    pivots = entries.groupBy("token").agg(F.count("*").alias("classes"), F.min(F.struct("key", "n", "text_hash")).alias("pivot")).where("classes > 1")
-    entries = stored(entries.join(pivots, "token"))
-    wanted = stored(entries.select("text_hash").distinct())
+
+    # Sets of linking documents are of neighbouring classes of size; a group is a shingle's sets of two such classes.
+    # Groups of the same sets, told by two hashes of them, are one.
+    level = F.floor(F.log(F.min("n")) / math.log(den / num)).cast("int") if num < den else F.min("n")
+    entries = found.where("kind = 1").groupBy("token", "key").agg(level.alias("level"), F.min("text_hash").alias("text_hash"))
+    entries = entries.withColumn("size", F.explode(F.array(F.col("level"), F.col("level") + 1)))
+    groups = entries.groupBy("token", "size").agg(
+        F.max("level").alias("top"), F.count("*").alias("m"), F.min(F.struct("key", "text_hash")).alias("pivot"), F.bit_xor(F.xxhash64("key")).alias("s0"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("s1")
+    )
+    groups = groups.where("m > 1 and top = size").groupBy("s0", "s1", "m").agg(F.min(F.struct("token", "size", "pivot")).alias("of"))
+    members = stored(entries.join(groups.select("of.token", "of.size", "of.pivot", "m"), ["token", "size"]).select("token", "size", "m", "pivot", "key", "text_hash"))
+
+    # What groups connect is a cluster. One of few sets is joined whole, each set sent once.
+    cluster = components(members.select(F.col("key").alias("a"), F.col("pivot.key").alias("b"))).select(F.col("id").alias("key"), F.col("root").alias("cluster"))
+    large = stored(cluster.groupBy("cluster").agg(F.count("*").alias("sets")).where(F.col("sets") > GROUP_CLASSES).select("cluster"))
+    clustered = stored(cluster.join(large.withColumn("large", F.lit(True)), "cluster", "left").select("key", "cluster", F.coalesce("large", F.lit(False)).alias("large")))
+    wanted = stored(members.select("text_hash").distinct())
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(words)
@@ -262,29 +290,32 @@ def join(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD) -
     texts = docs.select("text", F.xxhash64("text").alias("text_hash")).join(wanted, "text_hash", "left_semi").select("text")
     sets = stored(texts.mapInArrow(sets_of, "key string, tokens array<long>").dropDuplicates(["key"]))
 
-    pairs = entries.where("key <> pivot.key").where(
-        (F.least("n", "pivot.n") * den >= F.greatest("n", "pivot.n") * num)
-    ).select(F.col("key").alias("a"), F.col("pivot.key").alias("b")).distinct()
-    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("tokens").alias("left")), "a").join(sets.select(F.col("key").alias("b"), F.col("tokens").alias("right")), "b")
-    shared = F.size(F.array_intersect("left", "right"))
-    edges = stored(both.where(shared * (den + num) >= num * (F.size("left") + F.size("right"))).select("a", "b"))
-    label = components(edges).select(F.col("id").alias("key"), "root")
-
-    labelled = entries.select("token", "key", "n").join(label, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    open_ = labelled.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("m")).where("r0 <> r1").select("token", "m")
-    blocks = F.ceil(F.col("m") / GROUP_CLASSES).cast("int")
-    cells = labelled.join(open_, "token").withColumn("blocks", blocks).withColumn("mine", F.pmod(F.hash("key"), F.col("blocks")))
-    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("token", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "key", "root").join(sets, "key")
-
     def joined(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.drop_duplicates("key").sort_values("key")
         keys, roots = frame["key"].tolist(), frame["root"].tolist()
         links = tree_join([np.asarray(t) for t in frame["tokens"]], roots, threshold) if len(set(roots)) > 1 else []
         return pd.DataFrame({"a": [keys[i] for i, _ in links], "b": [keys[j] for _, j in links]}, dtype=object)
 
-    late = stored(cells.groupBy("token", "i", "j").applyInPandas(joined, "a string, b string"))
-    label = components(edges.unionByName(late)) if not late.isEmpty() else components(edges)
+    small = clustered.where("not large").join(sets, "key").withColumn("root", F.col("key"))
+    edges = stored(small.groupBy("cluster").applyInPandas(joined, "a string, b string"))
+
+    if not large.isEmpty():
+        # In a large one, pivots of groups connect what is alike, and only groups that still hold several components
+        # are joined.
+        inside = stored(members.join(clustered.where("large").select("key"), "key", "left_semi"))
+        pairs = inside.where("key <> pivot.key").select(F.col("key").alias("a"), F.col("pivot.key").alias("b")).distinct()
+        both = pairs.join(sets.select(F.col("key").alias("a"), F.col("tokens").alias("left")), "a").join(sets.select(F.col("key").alias("b"), F.col("tokens").alias("right")), "b")
+        shared = F.size(F.array_intersect("left", "right"))
+        near = stored(both.where(shared * (den + num) >= num * (F.size("left") + F.size("right"))).select("a", "b"))
+        labelled = inside.join(components(near).select(F.col("id").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+        open_ = stored(labelled.groupBy("token", "size").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("token", "size"))
+        blocks = F.ceil(F.col("m") / GROUP_CLASSES).cast("int")
+        cells = labelled.join(open_, ["token", "size"], "left_semi").withColumn("blocks", blocks).withColumn("mine", F.pmod(F.hash("key"), F.col("blocks")))
+        cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        cells = cells.select("token", "size", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "key", "root").join(sets, "key")
+        late = stored(cells.groupBy("token", "size", "i", "j").applyInPandas(joined, "a string, b string"))
+        edges = edges.unionByName(near).unionByName(late)
+    label = components(edges)
     rows = documents.join(label.select(F.col("id").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = rows.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
     return rows.join(least, "root", "left").select(
