@@ -24,6 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ._shared import components, packed, partitions, stored, unpacked
 
@@ -333,11 +334,13 @@ def keep_one(docs: DataFrame, words: int = 5, threshold: Fraction = Fraction(80,
     its text), once; documents without words are linked with nothing and stay. docs' columns are returned."""
     joined = join(docs, words, threshold)
     first = joined.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).select("first.*")
-    first = stored(first).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    hashed = packed(docs, "doc_id", "text").withColumn("_text_hash", F.xxhash64("text"))
-    words_in = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    kept = hashed.where(words_in).join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_semi")
-    return unpacked(kept.dropDuplicates(["doc_id", "_text_hash"]).unionByName(hashed.where(~words_in)), docs)
+    first = stored(first).select(F.struct(F.col("doc_id"), F.col("text_hash")).alias("_key"))
+    key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash")).alias("_key")
+    has = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]").alias("_has")
+    rows = packed(docs, "doc_id", "text").select("_row", key, has)
+    # The join and the numbers have one key: texts are shuffled once.
+    kept = rows.where("_has").join(first, "_key", "left_semi").withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0)))).where("_nth = 1")
+    return unpacked(kept.select("_row").unionByName(rows.where("not _has").select("_row")), docs)
 
 
 #: Sets as contracts state them; shingles are compared as texts.
