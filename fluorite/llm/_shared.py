@@ -27,9 +27,10 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def packed(docs: DataFrame, *needed: str) -> DataFrame:
-    """The needed columns of docs, and all of them as the struct _row: no name of docs can clash with what is added."""
-    return docs.select(*[F.col(f"`{c}`") for c in needed], F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+def packed(docs: DataFrame, *needed: str, apart: str = "") -> DataFrame:
+    """The needed columns of docs, and all others, or all but `apart`, as the struct _row: no name of docs can clash with
+    what is added."""
+    return docs.select(*[F.col(f"`{c}`") for c in needed], F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != apart]).alias("_row"))
 
 
 def unpacked(rows: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:

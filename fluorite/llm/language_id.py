@@ -155,6 +155,7 @@ def predict(docs: DataFrame, counts: dict[str, tuple[np.ndarray, np.ndarray]]) -
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(counts)  # bounded by the sample of learn()
     keep = docs.columns
+    at = keep.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if held.value:
@@ -162,7 +163,7 @@ def predict(docs: DataFrame, counts: dict[str, tuple[np.ndarray, np.ndarray]]) -
                 _built[:] = held.value, Trees(held.value)
             trees = _built[1]
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
+            texts = batch.column(at).to_pylist()
             names, scores, rates = [UNKNOWN] * len(texts), [0.0] * len(texts), [None] * len(texts)
             use = [i for i, t in enumerate(texts) if t and held.value and _LETTER.search(t)]
             if use:
@@ -173,10 +174,10 @@ def predict(docs: DataFrame, counts: dict[str, tuple[np.ndarray, np.ndarray]]) -
                 post = 1.0 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(axis=1)
                 for k, i in enumerate(use):
                     names[i], scores[i], rates[i] = trees.languages[best[k]], float(post[k]), float(least[k] / len(raw[k]))
-            arrays = [*batch.columns[:-1], pa.array(names), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())]
+            arrays = [*batch.columns, pa.array(names), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())]
             yield pa.RecordBatch.from_arrays(arrays, names=[f"c{i}" for i in range(len(arrays))])
 
-    numbered = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col("text").alias("_text"))
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(keep))])
     n = len(keep)
     fields = [T.StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(keep)]
     fields += [T.StructField(f"c{n}", T.StringType()), T.StructField(f"c{n + 1}", T.DoubleType()), T.StructField(f"c{n + 2}", T.DoubleType())]
@@ -197,5 +198,5 @@ def identify(docs: DataFrame, documents: int = LEARNED_DOCUMENTS) -> DataFrame:
 def keep_identified(docs: DataFrame, least_score: float = 0.5, documents: int = LEARNED_DOCUMENTS) -> DataFrame:
     """The rows of docs whose language is predicted with at least this score, with docs' columns."""
     counts = learn(docs.select("doc_id", "text", "lang").where(F.col("doc_id").isNotNull() & ~_held_out(F.col("doc_id"))), documents)
-    found = predict(packed(docs, "text"), counts)
-    return unpacked(found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)), docs)
+    found = predict(packed(docs, "text", apart="text"), counts)
+    return unpacked(found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)), docs, text=F.col("text"))

@@ -129,7 +129,7 @@ def find(docs: DataFrame, **thresholds) -> DataFrame:
     have the terms of any of them looked for; repeated rows are judged each; empty tables work; docs' other columns pass
     through unless they are named like these.
     """
-    based = with_base(docs)
+    based = with_base(docs).withColumn("_null", F.col("text").isNull()).drop("text")  # texts are shuffled once
     revealing = stored(disclosing_terms(based, **thresholds).select("term").distinct())
     empty = F.array().cast("array<struct<start:int,end:int>>")
     if revealing.isEmpty():
@@ -167,7 +167,7 @@ def sanitise(docs: DataFrame, **thresholds) -> DataFrame:
     Where spans overlap, what they cover goes once. Text without spans stays as it is, null included; n_chars, if docs
     has that column, follows. docs' columns are returned.
     """
-    found = find(packed(docs, "doc_id", "text"), **thresholds)
+    found = find(packed(docs, "doc_id", "text", apart="text"), **thresholds)
 
     def of(kind: str) -> Column:
         put = "" if kind == "term" else f"<{kind}>"
@@ -182,7 +182,7 @@ def sanitise(docs: DataFrame, **thresholds) -> DataFrame:
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     clean = F.aggregate(F.array_sort(kinds), start, step, lambda s: F.concat(s["out"], F.substring("_text", s["at"] + 1, F.length("_text"))))
-    out = found.withColumn("_changed", F.size(kinds) > 0).withColumn("_clean", F.when(F.col("_changed"), clean).otherwise(F.col("text")))
+    out = found.withColumn("_changed", F.size(kinds) > 0).withColumn("_clean", F.when(F.col("_changed"), clean).when(~F.col("_null"), F.col("_text")))
     changed = {"text": F.col("_clean")}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.when(F.col("_changed"), F.char_length("_clean")).otherwise(F.col("_row.n_chars"))
