@@ -19,6 +19,7 @@ UNKNOWN = "und"
 #: Documents of each language that the statistics are learned from, at most; the only sample that is drawn.
 LEARNED_DOCUMENTS = 400
 ORDER = 3
+MOST_LANGUAGES = 1000
 _LETTER = re.compile(r"[^\W\d_]")
 _BLOCK = 1 << 19
 
@@ -46,9 +47,15 @@ def learn(labelled: DataFrame, documents: int = LEARNED_DOCUMENTS) -> dict[str,
     sample. Rows with null text or lang, or without a byte, teach nothing.
     """
     rows = labelled.where(F.col("lang").isNotNull() & (F.length("text") > 0))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    if not counts:
+        return {}
+    # The shares are literals of the filter, so that only the sample's texts are shuffled.
+    share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, 2 * documents / n))])[F.col("lang")]
     turn = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("learn")), F.lit(1 << 30)) / float(1 << 30)
-    some = rows.select("lang", "text", turn.alias("turn")).join(counts, "lang").where(F.col("turn") * F.col("n") < 2 * documents)
+    some = rows.select("lang", "text", turn.alias("turn")).where(F.col("turn") < share)
     some = some.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("turn", "text"))).where(F.col("at") <= documents)
 
     def count(frame: pd.DataFrame) -> pd.DataFrame:
