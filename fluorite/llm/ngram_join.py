@@ -8,7 +8,7 @@ prefix that no other document holds. Equal sets are one class, which stands for
 A group is what a shingle brings together, of neighbouring sizes; what groups connect is a cluster. A prefix tree joins the
 sets of a cluster: the ordered sets, sorted, are its leaves; walking them, what two neighbours share of their path keeps its
 partial overlap; and a subtree is left as soon as its overlap and the shorter rest can't reach the threshold. In a cluster
-of over GROUP_CLASSES sets, every set is first compared with its groups' pivots; what that connects needs no further pair,
+over the limits below, every set is first compared with its groups' pivots; what that connects needs no further pair,
 and groups that still hold several components are joined one by one, in pairs of blocks where a group is over that size.
 """
 
@@ -29,7 +29,8 @@ from pyspark.sql.window import Window
 from ._shared import components, packed, partitions, stored, unpacked
 
 WORDS, THRESHOLD = 3, Fraction(90, 100)
-GROUP_CLASSES = 1024
+#: A cluster of more sets, or of more shingles in all, isn't joined whole; a group of more sets is cut into blocks.
+CLUSTER_SETS, CLUSTER_SHINGLES, GROUP_CLASSES = 4096, 4_000_000, 1024
 _WORDS_KEPT = 600_000
 _FLUSH = 2_000_000
 
@@ -266,17 +267,18 @@ def join(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD) -
     # Sets of linking documents are of neighbouring classes of size; a group is a shingle's sets of two such classes.
     # Groups of the same sets, told by two hashes of them, are one.
     level = F.floor(F.log(F.min("n")) / math.log(den / num)).cast("int") if num < den else F.min("n")
-    entries = found.where("kind = 1").groupBy("token", "key").agg(level.alias("level"), F.min("text_hash").alias("text_hash"))
+    entries = found.where("kind = 1").groupBy("token", "key").agg(level.alias("level"), F.min("n").alias("n"), F.min("text_hash").alias("text_hash"))
     entries = entries.withColumn("size", F.explode(F.array(F.col("level"), F.col("level") + 1)))
     groups = entries.groupBy("token", "size").agg(
         F.max("level").alias("top"), F.count("*").alias("m"), F.min(F.struct("key", "text_hash")).alias("pivot"), F.bit_xor(F.xxhash64("key")).alias("s0"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("s1")
     )
     groups = groups.where("m > 1 and top = size").groupBy("s0", "s1", "m").agg(F.min(F.struct("token", "size", "pivot")).alias("of"))
-    members = stored(entries.join(groups.select("of.token", "of.size", "of.pivot", "m"), ["token", "size"]).select("token", "size", "m", "pivot", "key", "text_hash"))
+    members = stored(entries.join(groups.select("of.token", "of.size", "of.pivot", "m"), ["token", "size"]).select("token", "size", "m", "pivot", "key", "n", "text_hash"))
 
     # What groups connect is a cluster. One of few sets is joined whole, each set sent once.
     cluster = components(members.select(F.col("key").alias("a"), F.col("pivot.key").alias("b"))).select(F.col("id").alias("key"), F.col("root").alias("cluster"))
-    large = stored(cluster.groupBy("cluster").agg(F.count("*").alias("sets")).where(F.col("sets") > GROUP_CLASSES).select("cluster"))
+    sizes = cluster.join(members.groupBy("key").agg(F.min("n").alias("n")), "key").groupBy("cluster").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
+    large = stored(sizes.where((F.col("sets") > CLUSTER_SETS) | (F.col("shingles") > CLUSTER_SHINGLES)).select("cluster"))
     clustered = stored(cluster.join(large.withColumn("large", F.lit(True)), "cluster", "left").select("key", "cluster", F.coalesce("large", F.lit(False)).alias("large")))
     wanted = stored(members.select("text_hash").distinct())
 

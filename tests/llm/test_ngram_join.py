@@ -78,6 +78,7 @@ def test_tree_join_alone_connects_what_links():
 
 def test_groups_over_a_block_and_repeated_rows(spark, monkeypatch):
     monkeypatch.setattr(N, "GROUP_CLASSES", 4)
+    monkeypatch.setattr(N, "CLUSTER_SETS", 4)
     texts = corpus(7, 50)
     assert rows(N.join(documents(spark, texts), 3), "doc_id", "component_id") == sorted([(i, c) for i, _, c in plain(texts, 3, 9, 10)], key=repr)
     twice = documents(spark, ["a b c d", "a b c d", "a b c d"], ids=[4, 4, None])
