@@ -1,6 +1,6 @@
 """Removal of byte strings that repeat across documents, by suffix arrays of shards, built by induced sorting.
 
-Shards hold what can repeat, once. Every string of `least` bytes has a fingerprint of its own, the least hash among those
+Equal texts are one text of their least doc_id. Shards hold what can repeat, once. Every string of `least` bytes has a fingerprint of its own, the least hash among those
 of its short substrings, so equal strings have equal fingerprints wherever they stand. A document's strings fall into runs
 that share one; a run and its fingerprint make a context. Fingerprints that only one document holds end there. The contexts
 of the others go to shards by fingerprint: all places of a string meet in one shard. There equal contexts become one, the
@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -221,28 +222,53 @@ def _told(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["dest", "block", "kind", "a", "b", "c", "d"])
 
 
-def _ordered(frame: pd.DataFrame) -> tuple[np.ndarray, list[bytes], pd.DataFrame]:
-    """A block's rows with an id, in an order that doesn't depend on how they came, and the others."""
-    known = frame[frame["doc_id"].notna()]
-    raw = [t.encode("utf-8", "surrogatepass") if t else b"" for t in known["text"]]
-    ids = known["doc_id"].astype("int64").to_numpy()
-    order = sorted(range(len(raw)), key=lambda i: (ids[i], raw[i]))
-    return ids[order], [raw[i] for i in order], frame[frame["doc_id"].isna()]
+def _texts(frame: pd.DataFrame) -> tuple[np.ndarray, list[bytes], list[tuple[int, int]]]:
+    """A block's different texts that a known doc_id holds, their least doc_ids and hashes, in order of the hashes."""
+    least: dict[tuple[int, int], int] = {}
+    raw: dict[tuple[int, int], str] = {}
+    for doc, h0, h1, text in zip(frame["doc_id"].tolist(), frame["h0"].tolist(), frame["h1"].tolist(), frame["text"].tolist()):
+        h = (h0, h1)
+        least[h] = min(least.get(h, doc), doc)
+        if text is not None:
+            raw[h] = text
+    hashes = sorted(least)
+    return np.array([least[h] for h in hashes], dtype=np.int64), [raw[h].encode("utf-8", "surrogatepass") for h in hashes], hashes
 
 
-def _dealt(docs: DataFrame) -> DataFrame:
-    n = partitions(docs.sparkSession)
-    block = F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", block.alias("block")).repartition(n, "block")
+def _hashed(docs: DataFrame) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h0"), F.xxhash64(F.lit(1), text).alias("h1"))
 
 
-def repeats(docs: DataFrame, least: int = LEAST, hot_documents: int = HOT_DOCUMENTS) -> tuple[DataFrame, DataFrame]:
-    """docs dealt into blocks, and for each block the byte ranges of its texts that repeat from smaller doc_ids."""
-    parts = partitions(docs.sparkSession)
-    blocks = _dealt(docs)
+def _dealt(hashed: DataFrame) -> DataFrame:
+    """Different texts dealt into blocks by their hash. A task sends each text once, however many rows hold it, and after
+    that only doc_ids that are smaller than those before."""
+    n = partitions(hashed.sparkSession)
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: dict[tuple[int, int], int] = {}
+        for batch in batches:
+            keep, null = [], []
+            for i, h in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                doc, key = h[0], h[1:]
+                if key not in sent or doc < sent[key]:
+                    keep.append(i)
+                    null.append(key in sent)
+                    sent[key] = doc
+            some = batch.take(pa.array(keep, pa.int64()))
+            text = pc.if_else(pa.array(null, pa.bool_()), pa.scalar(None, pa.string()), some.column(1))
+            yield pa.RecordBatch.from_arrays([some.column(0), text, some.column(2), some.column(3)], names=["doc_id", "text", "h0", "h1"])
+
+    kept = hashed.where("doc_id is not null").mapInArrow(once, "doc_id long, text string, h0 long, h1 long")
+    return kept.withColumn("block", F.pmod("h0", F.lit(n)).cast("int")).repartition(n, "block")
+
+
+def repeats(blocks: DataFrame, least: int = LEAST, hot_documents: int = HOT_DOCUMENTS) -> DataFrame:
+    """For each block of different texts the byte ranges of them that repeat from texts of smaller doc_ids."""
+    parts = partitions(blocks.sparkSession)
 
     def fingerprints(frame: pd.DataFrame) -> pd.DataFrame:
-        ids, texts, _ = _ordered(frame)
+        ids, texts, _ = _texts(frame)
         whose = np.unique(ids, return_inverse=True)[1]
         found = [(f, whose[d]) for d, _, _, f in runs(texts, least)]
         if not found:
@@ -273,7 +299,7 @@ def repeats(docs: DataFrame, least: int = LEAST, hot_documents: int = HOT_DOCUME
     def contexts(frame: pd.DataFrame, flagged: pd.DataFrame) -> pd.DataFrame:
         if not len(frame) or not len(flagged):
             return _told([])
-        ids, texts, _ = _ordered(frame)
+        ids, texts, _ = _texts(frame)
         block = int(frame["block"].iloc[0])
         wanted = np.sort(np.concatenate([np.frombuffer(a, np.uint64) for a in flagged["a"]]))
         hot = set(np.concatenate([np.frombuffer(b, np.uint64) for b in flagged["b"]]).tolist())
@@ -365,20 +391,23 @@ def repeats(docs: DataFrame, least: int = LEAST, hot_documents: int = HOT_DOCUME
 
     flagged = blocks.groupBy("block").applyInPandas(fingerprints, _TOLD).groupBy("dest").applyInPandas(shared, _TOLD)
     shards = blocks.groupBy("block").cogroup(flagged.groupBy("block")).applyInPandas(contexts, _TOLD)
-    return blocks, shards.groupBy("dest").applyInPandas(found, _TOLD)
+    return shards.groupBy("dest").applyInPandas(found, _TOLD)
 
 
-def dedup(docs: DataFrame, least: int = LEAST, hot_documents: int = HOT_DOCUMENTS) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay) for each row of docs (doc_id, text).
+def dedup(docs: DataFrame, least: int = LEAST, hot_documents: int = HOT_DOCUMENTS, digests: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay; with digests, kept_sha256) for each row of docs.
 
-    A byte goes if it is in a string of `least` bytes that also starts in a row of a smaller doc_id, as the texts came in.
-    Null text is empty; rows of one doc_id take nothing from each other; a null doc_id neither takes nor loses; texts under
-    `least` bytes stay; an empty table gives none; other columns are ignored.
+    docs has doc_id and text. A byte goes if it is in a string of `least` bytes that also starts in a row of a smaller
+    doc_id, as the texts came in. So of equal texts of that size all go but those of the least doc_id, which alone has its
+    bytes compared with other texts. Null text is empty; rows of one doc_id take nothing from each other; a null doc_id
+    neither takes nor loses; texts under `least` bytes stay; an empty table gives none; other columns are ignored.
     """
-    blocks, ranges = repeats(docs, least, hot_documents)
+    hashed = _hashed(docs)
+    blocks = _dealt(hashed)
+    ranges = repeats(blocks, least, hot_documents)
 
     def cut(frame: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        ids, texts, unknown = _ordered(frame)
+        ids, texts, hashes = _texts(frame)
         d, lo, hi = np.concatenate([np.frombuffer(a, np.uint32).reshape(3, -1) for a in found["a"]] + [np.zeros((3, 0), np.uint32)], axis=1).astype(np.int64)
         order = np.argsort(d, kind="stable")
         ends = np.searchsorted(d[order], np.arange(len(texts) + 1)).tolist()
@@ -393,16 +422,27 @@ def dedup(docs: DataFrame, least: int = LEAST, hot_documents: int = HOT_DOCUMENT
                 gone = np.cumsum(change[:-1]) > 0
                 kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
                 removed, spans = int(gone.sum()), int((gone & ~np.r_[False, gone[:-1]]).sum())
-            rows.append((int(ids[i]), len(text), removed, spans, kept))
-        for text in unknown["text"]:
-            raw = text.encode("utf-8", "surrogatepass") if text else b""
-            rows.append((None, len(raw), 0, 0, raw))
-        out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
-        return out.astype({"doc_id": "Int64"})
-
-    return blocks.groupBy("block").cogroup(ranges.groupBy("block")).applyInPandas(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+            rows.append((*hashes[i], int(ids[i]), removed, spans, hashlib.sha256(kept).hexdigest() if digests else kept))
+        return pd.DataFrame(rows, columns=["h0", "h1", "owner", "n_removed", "n_spans", "kept"])
+
+    kind = "string" if digests else "binary"
+    first = blocks.groupBy("block").cogroup(ranges.groupBy("block")).applyInPandas(cut, f"h0 long, h1 long, owner long, n_removed long, n_spans long, kept {kind}")
+    size = F.octet_length("text").cast("long")
+    text = F.col("text").cast("binary")
+    whole = (F.sha2(text, 256) if digests else text).alias("whole")
+    rows = hashed.select("doc_id", "h0", "h1", size.alias("n_bytes"), F.when(F.col("doc_id").isNull() | (size < least), whole).alias("whole"))
+    rows = rows.join(first, ["h0", "h1"], "left")
+    # A short text, or one of an unknown document, stays; the least doc_id of a text keeps what `first` says; copies go.
+    own = F.col("whole").isNull() & (F.col("doc_id") == F.col("owner"))
+    none = F.sha2(F.lit("").cast("binary"), 256) if digests else F.lit("").cast("binary")
+    return rows.select(
+        "doc_id", "n_bytes",
+        F.when(F.col("whole").isNotNull(), F.lit(0)).when(own, F.col("n_removed")).otherwise(F.col("n_bytes")).cast("long").alias("n_removed"),
+        F.when(F.col("whole").isNotNull(), F.lit(0)).when(own, F.col("n_spans")).otherwise(F.lit(1)).cast("long").alias("n_spans"),
+        F.when(F.col("whole").isNotNull(), F.col("whole")).when(own, F.col("kept")).otherwise(none).alias("kept_sha256" if digests else "kept"),
+    )
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """The contract's columns: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    return dedup(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return dedup(docs, digests=True)
