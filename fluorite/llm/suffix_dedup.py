@@ -29,6 +29,7 @@ HOT_DOCUMENTS = 5_000
 #: Bytes of one suffix array, about.
 SHARD_BYTES = 1 << 20
 _CHUNK = 1 << 18
+_PLACES = 1 << 20
 
 _TABLE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
@@ -141,17 +142,18 @@ def common_prefixes(text: np.ndarray, array: np.ndarray, depth: int) -> np.ndarr
     n = len(text)
     before = np.full(n, n)
     before[array[1:]] = array[:-1]
-    padded = np.r_[text.astype(np.int16), np.full(depth + 1, -1, dtype=np.int16)]
+    # Eight bytes at once: the lowest bit in which two words differ lies in the first byte that differs.
+    padded = np.r_[text, np.zeros(depth + 8, dtype=np.uint8)]
+    word = np.ndarray(n + depth, dtype="<u8", buffer=padded, strides=(1,)).copy()
     shared = np.zeros(n, dtype=np.int64)
     alive = np.flatnonzero(before < n)
-    for k in range(depth):
-        x, y = alive + k, before[alive] + k
-        ok = (y < n) & (padded[np.minimum(x, n)] == padded[np.minimum(y, n)]) & (x < n)
-        alive = alive[ok]
-        if not len(alive):
-            break
-        shared[alive] += 1
-    return shared
+    for k in range(0, depth, 8):
+        differ = word[alive + k] ^ word[before[alive] + k]
+        same = differ == 0
+        lowest = differ & (~differ + np.uint64(1))
+        shared[alive] = np.where(same, k + 8, k + np.bitwise_count(lowest - np.uint64(1)) // 8)
+        alive = alive[same]
+    return np.minimum(np.minimum(shared, depth), np.maximum(0, n - np.maximum(np.arange(n), before)))
 
 
 def least_owner(contexts: list[bytes], owners: np.ndarray, least: int = LEAST) -> np.ndarray:
@@ -350,7 +352,9 @@ def repeats(blocks: DataFrame, least: int = LEAST, hot_documents: int = HOT_DOCU
         edge = np.flatnonzero(np.r_[True, of[order][1:] != of[order][:-1]])
         sole = np.zeros(len(strings), dtype=bool)
         sole[order[edge[np.diff(np.r_[edge, len(order)]) == 1]]] = True
-        least_of: dict[int, np.ndarray] = {}
+        starts = sizes - least + 1
+        base = np.cumsum(starts) - starts  # where a string's places begin in least_of
+        least_of = np.full(int(starts.sum()), np.iinfo(np.int64).max)
         held: list[int] = []
 
         def flush() -> None:
@@ -358,7 +362,7 @@ def repeats(blocks: DataFrame, least: int = LEAST, hot_documents: int = HOT_DOCU
                 best = least_owner([strings[i] for i in held], first[held], least)
                 at = 0
                 for i in held:
-                    least_of[i] = best[at : at + sizes[i] - least + 1]
+                    least_of[base[i] : base[i] + starts[i]] = best[at : at + starts[i]]
                     at += sizes[i]
                 held.clear()
 
@@ -374,16 +378,17 @@ def repeats(blocks: DataFrame, least: int = LEAST, hot_documents: int = HOT_DOCU
         out_doc, out_lo, out_hi, out_block = [], [], [], []
         alone = sole[which] & (first[which] < owner)
         out_doc.append(doc[alone]), out_lo.append(start[alone]), out_hi.append(start[alone] + sizes[which[alone]]), out_block.append(block[alone])
-        rest = []
-        for k in np.flatnonzero(~sole[which]).tolist():
-            covered = np.flatnonzero(least_of[int(which[k])] < owner[k])
-            if len(covered):
-                cut = np.flatnonzero(np.r_[True, np.diff(covered) > 1])
-                for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(covered)]):
-                    rest.append((doc[k], start[k] + covered[i], start[k] + covered[j - 1] + least, block[k]))
-        if rest:
-            for column, values in zip((out_doc, out_lo, out_hi, out_block), np.array(rest, dtype=np.int64).T):
-                column.append(values)
+        rows = np.flatnonzero(~sole[which])
+        piece = np.cumsum(starts[which[rows]]) // _PLACES
+        for some in np.split(rows, np.flatnonzero(np.diff(piece)) + 1):
+            many = starts[which[some]]
+            row = np.repeat(np.arange(len(some)), many)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+            covered = least_of[base[which[some]][row] + place] < owner[some][row]
+            from_ = np.flatnonzero(covered & ~np.r_[False, covered[:-1] & (row[1:] == row[:-1])][: len(row)])
+            to = np.flatnonzero(covered & ~np.r_[covered[1:] & (row[1:] == row[:-1]), False][: len(row)])
+            of_row = some[row[from_]]
+            out_doc.append(doc[of_row]), out_lo.append(start[of_row] + place[from_]), out_hi.append(start[of_row] + place[to] + least), out_block.append(block[of_row])
         d, lo, hi, b = map(np.concatenate, (out_doc, out_lo, out_hi, out_block))
         order = np.argsort(b, kind="stable")
         cuts = np.flatnonzero(np.r_[True, b[order][1:] != b[order][:-1]]) if len(b) else np.zeros(0, dtype=int)
