@@ -56,11 +56,10 @@ def reconstruct(a: DataFrame, traces: DataFrame) -> DataFrame:
 
 
 def residual_traces(a: DataFrame, pixels: DataFrame, traces: DataFrame) -> DataFrame:
-    """What the movie holds of each unit footprint beyond the components: (A'Y - A'A C) / |a|^2."""
+    """What the movie holds of each unit footprint beyond the components: (A'Y - A'(A C)) / |a|^2, without A'A, whose
+    pairs grow with the square of the components."""
     size = a.groupBy("k").agg(F.sum(F.col("w") * F.col("w")).alias("n"))
-    half = overlap(a)
-    both = half.unionByName(half.where("k <> k2").select(F.col("k2").alias("k"), F.col("k").alias("k2"), "aa"))
-    model = both.join(traces.select(F.col("k").alias("k2"), "t", "v"), "k2").groupBy("k", "t").agg(F.sum(F.col("aa") * F.col("v")).alias("m"))
+    model = project(a, reconstruct(a, traces)).withColumnRenamed("v", "m")
     seen = project(a, pixels)
     return seen.join(model, ["k", "t"], "left").join(size, "k").select("k", "t", ((F.col("v") - F.coalesce("m", F.lit(0.0))) / F.col("n")).alias("r"))
 

@@ -314,41 +314,43 @@ def ata_overlap(spark: SparkSession, d: str) -> DataFrame:
 _SMALL = f"{_FOOT}, a AS (SELECT k, p % 64 AS p, sum(w) AS w FROM fp WHERE k <= 12 GROUP BY ALL), c AS (SELECT o_custkey % 12 + 1 AS k, o_orderkey % 500 AS t, round(sum(o_totalprice), 2) AS v FROM orders GROUP BY ALL)"
 
 
-def _small(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """A dozen footprints on the movie's pixels, and traces for them."""
-    a = T.footprints(spark, d).where("k <= 12").groupBy("k", F.expr("p % 64").alias("p")).agg(F.sum("w").alias("w"))
-    c = T.table(spark, d, "orders").groupBy(F.expr("o_custkey % 12 + 1").alias("k"), F.expr("o_orderkey % 500").alias("t")).agg(F.round(F.sum("o_totalprice"), 2).alias("v"))
+def _components(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Every footprint folded onto the movie's pixels, and its trace: the prices of the orders that it supplies."""
+    a = T.footprints(spark, d).groupBy("k", F.expr(f"p % {D1 * D2}").alias("p")).agg(F.sum("w").alias("w"))
+    supplied = T.table(spark, d, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("k")).distinct()
+    orders = T.table(spark, d, "orders")
+    c = orders.join(supplied, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("k", F.expr("o_orderkey % 500").alias("t")).agg(F.round(F.sum("o_totalprice"), 2).alias("v"))
     return a, c
 
 
 @_query(f"WITH {_FRAMES}, {_SMALL} SELECT a.k, px.t, round(sum(a.w * px.v), 4) AS v FROM a JOIN px ON a.p = px.p GROUP BY ALL")
 def aty_projection(spark: SparkSession, d: str) -> DataFrame:
-    a, _ = _small(spark, d)
+    a, _ = _components(spark, d)
     return _rounded(FP.project(a, T.pixels(T.frames(spark, d))), "v", places=4)
 
 
 @_query(f"WITH {_SMALL} SELECT c.t, a.p, round(sum(a.w * c.v), 2) AS v FROM a JOIN c ON a.k = c.k GROUP BY ALL")
 def reconstruct_ac(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(FP.reconstruct(*_small(spark, d)), "v", places=2)
+    return _rounded(FP.reconstruct(*_components(spark, d)), "v", places=2)
 
 
 @_query(f"""WITH {_FRAMES}, {_SMALL}, s AS (SELECT a.k, px.t, sum(a.w * px.v) AS v FROM a JOIN px ON a.p = px.p GROUP BY ALL), aa AS (SELECT a.k, b.k AS k2, sum(a.w * b.w) AS aa FROM a JOIN a b ON a.p = b.p GROUP BY ALL),
 m AS (SELECT aa.k, c.t, sum(aa * c.v) AS m FROM aa JOIN c ON c.k = aa.k2 GROUP BY ALL), n AS (SELECT k, sum(w * w) AS n FROM a GROUP BY k)
 SELECT s.k, s.t, round((s.v - coalesce(m.m, 0)) / n.n, 3) AS r FROM s JOIN n USING (k) LEFT JOIN m ON m.k = s.k AND m.t = s.t""")
 def residual_traces(spark: SparkSession, d: str) -> DataFrame:
-    a, c = _small(spark, d)
+    a, c = _components(spark, d)
     return _rounded(FP.residual_traces(a, T.pixels(T.frames(spark, d)), c), "r", places=3)
 
 
 @_query(f"WITH {_FRAMES}, {_SMALL} SELECT a.k, px.t, round(avg(px.v), 6) AS v FROM a JOIN px ON a.p = px.p GROUP BY ALL")
 def traces_from_masks(spark: SparkSession, d: str) -> DataFrame:
-    a, _ = _small(spark, d)
+    a, _ = _components(spark, d)
     return _rounded(FP.mask_means(a, T.pixels(T.frames(spark, d))), "v")
 
 
 @_query(f"WITH {_SMALL}, m AS (SELECT k, max(v) AS m FROM c GROUP BY k), n AS (SELECT k, sum(w ** 4) ** 0.25 AS n FROM a GROUP BY k), s AS (SELECT k, m * n AS score FROM m JOIN n USING (k)) SELECT k, round(score, 1) AS score, (row_number() OVER (ORDER BY score DESC, k))::INTEGER AS rank FROM s")
 def order_components(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(FP.order_components(*_small(spark, d)), "score", places=1)
+    return _rounded(FP.order_components(*_components(spark, d)), "score", places=1)
 
 
 @_query(f"WITH {_FOOT}, n AS (SELECT k, count(*) AS n FROM fp GROUP BY k) SELECT fp.k, fp.p, fp.w FROM fp JOIN n USING (k) WHERE n.n > 560 AND n.n < 600")
@@ -491,7 +493,7 @@ def nmf_tiles(spark: SparkSession, d: str) -> DataFrame:
 @_query()
 def spatial_nnls(spark: SparkSession, d: str) -> DataFrame:
     f = T.frames(spark, d)
-    a, _ = _small(spark, d)
+    a, _ = _components(spark, d)
     return G.spatial_nnls(T.pixels(f), FP.project(a, T.pixels(f)))
 
 
