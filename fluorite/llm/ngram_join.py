@@ -253,7 +253,8 @@ def tree_join(sets: list[np.ndarray], roots: list, threshold: Fraction) -> list[
 
 
 def join(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD) -> DataFrame:
-    """doc_id, text_hash, n_shingles, class (key of its set) and component_id for each row of docs (doc_id, text).
+    """doc_id, text_hash, n_shingles, class (key of its set), root (the least class that links reach) and component_id for
+    each row of docs (doc_id, text).
 
     Words are runs without ASCII white space, ASCII lower-cased; a text of fewer words than a shingle has the whole as one.
     Documents link at Jaccard >= threshold; component_id is the smallest doc_id that links reach. Null text and text
@@ -322,7 +323,7 @@ def join(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD) -
     rows = documents.join(label.select(F.col("id").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = rows.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
     return rows.join(least, "root", "left").select(
-        "doc_id", "text_hash", F.col("n").cast("long").alias("n_shingles"), F.col("key").alias("class"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id")
+        "doc_id", "text_hash", F.col("n").cast("long").alias("n_shingles"), F.col("key").alias("class"), "root", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id")
     )
 
 
@@ -332,10 +333,11 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, words: int = 5, threshold: Fraction = Fraction(80, 100)) -> DataFrame:
-    """docs with one document of each group of linked ones: the one of the smallest doc_id (then of the smallest hash of
-    its text), once; documents without words are linked with nothing and stay. docs' columns are returned."""
+    """docs with one document of each group of linked ones: the one of the smallest doc_id (null last, then of the smallest
+    hash of its text), once; documents without words are linked with nothing and stay. docs' columns are returned."""
     joined = join(docs, words, threshold)
-    first = joined.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).select("first.*")
+    # By root: documents that nothing links can share a component_id, a null or repeated doc_id.
+    first = joined.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_hash")).alias("first")).select("first.*")
     first = stored(first).select(F.struct(F.col("doc_id"), F.col("text_hash")).alias("_key"))
     key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash")).alias("_key")
     has = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]").alias("_has")

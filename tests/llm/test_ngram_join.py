@@ -90,3 +90,10 @@ def test_keep_one_and_empty(spark):
     kept = N.keep_one(docs)
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 3, 9]
     assert N.join(docs.where("false")).count() == 0
+
+
+def test_keep_one_by_links_and_not_by_ids(spark):
+    texts = ["a b c d e f", "g h i j k l", "m n o p q r", "s t u v w x", "y z a b c d", "Y z a b c d", None]
+    docs = documents(spark, texts, ids=[None, None, 4, 4, None, 8, None])
+    kept = rows(N.keep_one(docs), "doc_id", "text")
+    assert kept == sorted([(None, texts[0]), (None, texts[1]), (4, texts[2]), (4, texts[3]), (8, texts[5]), (None, None)], key=repr)
