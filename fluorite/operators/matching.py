@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.tables import stored
+
 
 def _one(masks: DataFrame, set_id: str, k: str, n: str) -> tuple[DataFrame, DataFrame]:
     m = masks.where(F.col("set_id") == set_id)
@@ -82,18 +84,20 @@ def assignment(pairs: DataFrame, components: DataFrame, most_cost: float = 0.7)
     return pairs.where(1 - F.col("iou") < most_cost).join(components, "k1").groupBy("block").applyInPandas(solve, "k1 long, k2 long, iou double")
 
 
-def blocks(pairs: DataFrame, rounds: int = 50) -> DataFrame:
-    """(k1, block): connected blocks of the bipartite graph of pairs, by grouped minima until nothing changes."""
-    label = pairs.select("k1").distinct().withColumn("block", F.col("k1"))
-    edges = pairs.select("k1", "k2").persist()
-    for _ in range(rounds):
+def blocks(pairs: DataFrame) -> DataFrame:
+    """(k1, block): connected blocks of the bipartite graph of pairs, by grouped minima until nothing changes.
+
+    A block is named by one of its k1s, whose own block each k1 then takes: rounds grow with the logarithm of a chain."""
+    edges = stored(pairs.select("k1", "k2").distinct())
+    label = stored(edges.select("k1").distinct().withColumn("block", F.col("k1")))
+    while True:
         side = edges.join(label, "k1").groupBy("k2").agg(F.min("block").alias("block"))
-        new = edges.join(side, "k2").groupBy("k1").agg(F.min("block").alias("block")).checkpoint()
-        moved = new.join(label.withColumnRenamed("block", "old"), "k1").where("block <> old").isEmpty()
+        near = stored(edges.join(side, "k2").groupBy("k1").agg(F.min("block").alias("block")))
+        new = stored(near.join(near.select(F.col("k1").alias("block"), F.col("block").alias("far")), "block").select("k1", F.col("far").alias("block")))
+        settled = new.join(label.withColumnRenamed("block", "old"), "k1").where("block <> old").isEmpty()
         label = new
-        if moved:
-            break
-    return label
+        if settled:
+            return label
 
 
 def match_metrics(matches: DataFrame, masks: DataFrame, a: str, b: str) -> DataFrame:

@@ -499,9 +499,8 @@ def spatial_nnls(spark: SparkSession, d: str) -> DataFrame:
 
 @_query()
 def assignment_optimal(spark: SparkSession, d: str) -> DataFrame:
-    pairs = M.overlaps(T.masks(spark, d), "A", "R").where("iou > 0.08")
-    best = M.nearest(pairs).select("k1", F.expr("k1 div 50").alias("block"))
-    return M.assignment(pairs, best, 0.95)
+    pairs = T.stored(M.overlaps(T.masks(spark, d), "A", "R"))
+    return M.assignment(pairs, M.blocks(pairs.where(1 - F.col("iou") < 0.95)), 0.95)
 
 
 def queries() -> dict:

@@ -1,8 +1,11 @@
 """Queries hold every row of their tables: small tables against brute force, where a cut would show."""
 
+from itertools import permutations
+
 import numpy as np
 import pytest
 from fluorite.functions import kernels as K
+from fluorite.operators import matching as M
 from fluorite.plans import catalogue
 
 
@@ -54,3 +57,25 @@ def test_every_component_reaches_the_footprint_queries(spark, tables):
     for p in range(64):
         w = np.array([weights[p, k]["w"] for k in ks])
         assert (w >= 0).all() and abs(np.linalg.norm(seen @ w - y[:, p]) - np.linalg.norm(seen @ K.nnls(seen, y[:, p]) - y[:, p])) < 1e-3
+
+
+def test_assignment_is_one_to_one_and_cheapest_across_id_ranges(spark, tmp_path):
+    r = np.random.default_rng(8)
+    lines = [("A", int(k), int(p)) for k in (1, 49, 51, 120, 300) for p in r.choice(60, 9, replace=False)]
+    lines += [("R", int(k), int(p)) for k in (2, 60, 130, 400) for p in r.choice(60, 9, replace=False)]
+    # A chain of 130 masks, each half on the next, is one block.
+    lines += [("A", 1000 + i, 1000 + 10 * i + j) for i in range(130) for j in range(10)]
+    lines += [("R", 5000 + i, 1005 + 10 * i + j) for i in range(129) for j in range(10)]
+    spark.createDataFrame(lines, "l_returnflag string, l_suppkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = catalogue.queries()["assignment_optimal"](spark, str(tmp_path)).collect()
+    assert len({x["k1"] for x in got}) == len({x["k2"] for x in got}) == len(got)
+    masks = {}
+    for s, k, p in lines:
+        masks.setdefault((s, k), set()).add(p)
+    iou = {(a, b): len(m & n) / len(m | n) for (s, a), m in masks.items() if s == "A" for (z, b), n in masks.items() if z == "R" and m & n}
+    assert all(abs(iou[x["k1"], x["k2"]] - x["iou"]) < 1e-12 and x["iou"] > 0.05 for x in got)
+    few = [x for x in got if x["k1"] < 1000]
+    best = max(sum(v if (v := iou.get((a, b), 0)) > 0.05 else 0 for a, b in zip(p, (2, 60, 130, 400))) for p in permutations((1, 49, 51, 120, 300), 4))
+    assert abs(sum(x["iou"] for x in few) - best) < 1e-9 and len(got) - len(few) == 129
+    pairs = spark.createDataFrame([x for x in iou if x[0] >= 1000], "k1 long, k2 long")
+    assert {x["block"] for x in M.blocks(pairs).collect()} == {1000}
