@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import footprints as FP
 from ..operators import grouped as G
@@ -82,13 +83,18 @@ def downscale_movie(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(f"WITH {_FRAMES} SELECT t, p::INTEGER AS p, v FROM px WHERE session = 3 UNION ALL SELECT t + 1000000, p::INTEGER, v FROM px WHERE session = 5")
 def concatenate_sessions(spark: SparkSession, d: str) -> DataFrame:
-    px = T.pixels(T.frames(spark, d))
-    return px.where("session = 3").select("t", "p", "v").unionByName(px.where("session = 5").select((F.col("t") + 1_000_000).alias("t"), "p", "v"))
+    """Every session's frames, one session after the other: a session starts at its place times 1,000,000 steps, or times
+    as many as the longest one needs."""
+    f = T.frames(spark, d)
+    places = f.groupBy("session").agg(F.max("t").alias("last")).select(
+        "session", ((F.row_number().over(Window.orderBy("session")) - 1) * F.greatest(F.lit(1_000_000), F.max("last").over(Window.partitionBy()) + 1)).alias("start")
+    )
+    return T.pixels(f).join(F.broadcast(places), "session").select((F.col("t") + F.col("start")).alias("t"), "p", "v")
 
 
 @_query("SELECT event_id, json_extract_string(props, '$.' || k) AS setting, k FROM events, (VALUES ('k')) keys(k) WHERE event_id % 7 = 0")
 def header_setting(spark: SparkSession, d: str) -> DataFrame:
-    e = T.table(spark, d, "events").where("event_id % 7 = 0")
+    e = T.table(spark, d, "events")
     return e.select("event_id", F.get_json_object("props", "$.k").alias("setting"), F.lit("k").alias("k"))
 
 
@@ -419,7 +425,7 @@ def assignment_pivot(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("SELECT l_suppkey AS k, '[' || string_agg(DISTINCT '[' || (l_partkey % 50) || ',' || (l_partkey // 50) || ']', ',' ORDER BY '[' || (l_partkey % 50) || ',' || (l_partkey // 50) || ']') || ']' AS coordinates FROM lineitem WHERE l_linenumber = 7 GROUP BY 1")
 def roi_json(spark: SparkSession, d: str) -> DataFrame:
-    rows = T.table(spark, d, "lineitem").where("l_linenumber = 7")
+    rows = T.table(spark, d, "lineitem")
     cell = F.format_string("[%d,%d]", F.expr(f"l_partkey % {W}"), F.expr(f"l_partkey div {W}"))
     return rows.groupBy(F.col("l_suppkey").alias("k")).agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_set(cell)), ","), F.lit("]")).alias("coordinates"))
 

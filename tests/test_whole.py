@@ -79,3 +79,19 @@ def test_assignment_is_one_to_one_and_cheapest_across_id_ranges(spark, tmp_path)
     assert abs(sum(x["iou"] for x in few) - best) < 1e-9 and len(got) - len(few) == 129
     pairs = spark.createDataFrame([x for x in iou if x[0] >= 1000], "k1 long, k2 long")
     assert {x["block"] for x in M.blocks(pairs).collect()} == {1000}
+
+
+def test_headers_outlines_and_sessions_are_whole(spark, tmp_path):
+    d = str(tmp_path)
+    spark.createDataFrame([(i, f'{{"k": "v{i}"}}') for i in range(15)], "event_id long, props string").write.parquet(f"{d}/events.parquet")
+    spark.createDataFrame([(n, 4, 60 * n) for n in range(1, 8)] + [(1, 5, 7)], "l_linenumber int, l_suppkey long, l_partkey long").write.parquet(f"{d}/lineitem.parquet")
+    spark.createDataFrame([(s, t, [float(s), float(t)]) for s in (2, 3, 9) for t in (0, 1_500_000)], "label int, vec_id long, embedding array<float>").write.parquet(f"{d}/embeddings.parquet")
+
+    def rows(name):
+        return catalogue.queries()[name](spark, d).collect()
+
+    assert {r["event_id"]: r["setting"] for r in rows("header_setting")} == {i: f"v{i}" for i in range(15)}
+    cells = sorted(f"[{60 * n % 50},{60 * n // 50}]" for n in range(1, 8))
+    assert {r["k"]: r["coordinates"] for r in rows("roi_json")} == {4: "[" + ",".join(cells) + "]", 5: "[[7,0]]"}
+    want = {(place * 1_500_001 + t, p, float((s, t)[p])) for place, s in enumerate((2, 3, 9)) for t in (0, 1_500_000) for p in (0, 1)}
+    assert {(r["t"], r["p"], r["v"]) for r in rows("concatenate_sessions")} == want
