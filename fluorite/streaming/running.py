@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import shared_path
+
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table of events as a stream with event time."""
@@ -18,13 +19,19 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def finished(stream: DataFrame, mode: str) -> DataFrame:
-    """Runs a stream over all that is there now and returns its result as a table."""
+    """Runs a stream over all that is there now and returns its result as a table.
+
+    What a stream appends is as large as its input and goes to files in the shared folder; only aggregates, which other
+    modes rewrite, are held by the driver.
+    """
     spark = stream.sparkSession
-    name = "s" + uuid.uuid4().hex
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{base}/{name}").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+    name, base = "s" + uuid.uuid4().hex, shared_path(spark)
+    out = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
+    if mode != "append":
+        out.format("memory").queryName(name).start().awaitTermination()
+        return spark.table(name)
+    out.format("parquet").option("path", f"{base}/out").start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
 def running_moments(events: DataFrame) -> DataFrame:

@@ -95,3 +95,11 @@ def test_headers_outlines_and_sessions_are_whole(spark, tmp_path):
     assert {r["k"]: r["coordinates"] for r in rows("roi_json")} == {4: "[" + ",".join(cells) + "]", 5: "[[7,0]]"}
     want = {(place * 1_500_001 + t, p, float((s, t)[p])) for place, s in enumerate((2, 3, 9)) for t in (0, 1_500_000) for p in (0, 1)}
     assert {(r["t"], r["p"], r["v"]) for r in rows("concatenate_sessions")} == want
+
+
+def test_appended_rows_stay_out_of_the_driver(spark, tmp_path):
+    spark.sql("select id % 50 as event_id, 'a' as event_type, 1.5D as value, timestamp '2024-01-01' as ts from range(100)").write.parquet(f"{tmp_path}/events.parquet")
+    before = {t.name for t in spark.catalog.listTables()}
+    got = catalogue.queries()["stream_dedupe"](spark, str(tmp_path))
+    assert sorted(r["event_id"] for r in got.collect()) == list(range(50))
+    assert {t.name for t in spark.catalog.listTables()} == before and len(got.inputFiles()) > 0
