@@ -8,8 +8,9 @@ prefix that no other document holds. Equal sets are one class, which stands for
 A group is what a shingle brings together, of neighbouring sizes; what groups connect is a cluster. A prefix tree joins the
 sets of a cluster: the ordered sets, sorted, are its leaves; walking them, what two neighbours share of their path keeps its
 partial overlap; and a subtree is left as soon as its overlap and the shorter rest can't reach the threshold. In a cluster
-over the limits below, every set is first compared with its groups' pivots; what that connects needs no further pair,
-and groups that still hold several components are joined one by one, in pairs of blocks where a group is over that size.
+over the limits below, the tree first joins every set with a hub, the pivot of one of its groups; what that connects needs
+no further pair, and groups that still hold several components are joined one by one, in pairs of blocks where a group is
+over that size.
 """
 
 from __future__ import annotations
@@ -71,10 +72,10 @@ def _raw(text: str | None) -> bytes:
     return text.encode("utf-8", "surrogatepass") if text else b""
 
 
-def _key(tokens: np.ndarray) -> str:
+def _key(tokens: np.ndarray) -> bytes:
     import xxhash
 
-    return xxhash.xxh3_128_hexdigest(tokens.tobytes())
+    return xxhash.xxh3_128_digest(tokens.tobytes())
 
 
 def _signed(tokens: np.ndarray) -> np.ndarray:
@@ -82,12 +83,12 @@ def _signed(tokens: np.ndarray) -> np.ndarray:
 
 
 _MOVED = "dest int, block long, kind int, a binary, b binary"
-_FOUND = "kind int, doc_id long, text_hash long, n int, key string, token long, place int"
+_FOUND = "kind int, doc_id long, text_hash long, n int, key binary, token long"
 
 
 def _prefixes(docs: DataFrame, words: int, threshold: Fraction) -> DataFrame:
     """Rows of kind 0: every document with n, its set's size, and its class's key; of kind 1: a class and a shingle of its
-    prefix that other documents may hold, and the shingle's place in the class's order."""
+    prefix that other documents hold."""
     parts = partitions(docs.sparkSession)
     num, den = threshold.numerator, threshold.denominator
     part = np.uint64(min(1024, int(2 * (1 - threshold) * 1024) + 1))  # of 1024: shingles that are counted and go first
@@ -106,7 +107,7 @@ def _prefixes(docs: DataFrame, words: int, threshold: Fraction) -> DataFrame:
             dest = ((token >> np.uint64(10)) % np.uint64(parts)).astype(np.int64)
             by = np.argsort(dest, kind="stable")
             token, n, ends = token[by], n[by].astype(np.uint32), np.searchsorted(dest[by], np.arange(parts + 1))
-            rows = [(block % parts, block, 0, pickle.dumps((
+            rows = [(0, block, 0, pickle.dumps((
                 [h[0] for h in held], [h[1] for h in held], np.array([h[2] for h in held]), [h[3] for h in held],
                 np.array([len(h[4]) for h in held]), first, np.array([len(h[5]) for h in held]), np.concatenate([h[5] for h in held]),
             ), 5), b"")]
@@ -124,7 +125,7 @@ def _prefixes(docs: DataFrame, words: int, threshold: Fraction) -> DataFrame:
                 first = tokens[counted]
                 prefix = n - -(-n * num // den) + 1 if n else 0
                 more = tokens[~counted][: max(0, prefix - len(first))]
-                held.append((doc, text_hash, n, _key(tokens) if n else "", first, more))
+                held.append((doc, text_hash, n, _key(tokens) if n else b"", first, more))
                 size += len(first) + 8
                 if size >= _FLUSH:
                     yield flush()
@@ -133,20 +134,16 @@ def _prefixes(docs: DataFrame, words: int, threshold: Fraction) -> DataFrame:
             yield flush()
 
     def counted(frame: pd.DataFrame) -> pd.DataFrame:
-        some = frame[frame["kind"] == 1]
-        keep = frame[frame["kind"] == 0]
-        if not len(some):
-            return keep
-        tokens = [np.frombuffer(a, np.uint64) for a in some["a"]]
+        tokens = [np.frombuffer(a, np.uint64) for a in frame["a"]]
         token, back = np.unique(np.concatenate(tokens), return_inverse=True)
-        held = np.bincount(back, np.concatenate([np.frombuffer(b, np.uint32) for b in some["b"]])).astype(np.uint32)
+        held = np.bincount(back, np.concatenate([np.frombuffer(b, np.uint32) for b in frame["b"]])).astype(np.uint32)
         out, at = [], 0
-        for block, t in zip(some["block"], tokens):
+        for block, t in zip(frame["block"], tokens):
             df = held[back[at : at + len(t)]]
             at += len(t)
             if (df > 1).any():
                 out.append((0, block, 1, t[df > 1].tobytes(), df[df > 1].tobytes()))
-        return pd.concat([keep, pd.DataFrame(out, columns=frame.columns)]) if out else keep
+        return pd.DataFrame(out, columns=frame.columns)
 
     def chosen(frame: pd.DataFrame) -> pd.DataFrame:
         docs_, hashes, n, keys, sizes, first, extra, more = pickle.loads(frame.loc[frame["kind"] == 0, "a"].iloc[0])
@@ -166,14 +163,15 @@ def _prefixes(docs: DataFrame, words: int, threshold: Fraction) -> DataFrame:
         use = (own[order] > 1) & (place < prefix[doc[order]])
         who = np.concatenate([doc[order][use], np.repeat(np.arange(len(n)), extra)])
         what = np.concatenate([first[order][use], more])
-        where = np.concatenate([place[use], np.arange(len(more)) - np.repeat(np.cumsum(extra) - extra, extra) + np.repeat(sizes, extra)])
-        rows = pd.DataFrame({"kind": 0, "doc_id": pd.array(docs_, dtype="Int64"), "text_hash": hashes, "n": n, "key": keys, "token": 0, "place": 0})
         names = np.array(keys, dtype=object)
-        entries = pd.DataFrame({"kind": 1, "doc_id": pd.array([None] * len(who), dtype="Int64"), "text_hash": np.array(hashes, dtype=np.int64)[who], "n": n[who], "key": names[who], "token": _signed(what), "place": where})
+        rows = pd.DataFrame({"kind": 0, "doc_id": pd.array(docs_, dtype="Int64"), "text_hash": hashes, "n": n, "key": names, "token": 0})
+        entries = pd.DataFrame({"kind": 1, "doc_id": pd.array([None] * len(who), dtype="Int64"), "text_hash": np.array(hashes, dtype=np.int64)[who], "n": n[who], "key": names[who], "token": _signed(what)})
         return pd.concat([rows, entries])
 
-    moved = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text"), "text").mapInArrow(shingled, _MOVED)
-    return moved.groupBy("dest").applyInPandas(counted, _MOVED).groupBy("block").applyInPandas(chosen, _FOUND)
+    # Blocks are numbered as rows come: they are written before anything refers to them, so a lost task can't renumber them.
+    moved = stored(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text"), "text").mapInArrow(shingled, _MOVED))
+    counts = moved.where("kind = 1").groupBy("dest").applyInPandas(counted, _MOVED)
+    return moved.where("kind = 0").unionByName(counts).groupBy("block").applyInPandas(chosen, _FOUND)
 
 
 def _parity(tokens: np.ndarray) -> np.ndarray:
@@ -182,10 +180,11 @@ def _parity(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount(place.astype(np.int64), minlength=1024).astype(np.uint8) & 1).view(np.uint64)
 
 
-def tree_join(sets: list[np.ndarray], roots: list, threshold: Fraction) -> list[tuple[int, int]]:
+def tree_join(sets: list[np.ndarray], roots: list, threshold: Fraction, sides: list[int] | None = None, every: bool = False) -> list[tuple[int, int]]:
     """Pairs of sets that link, enough to connect all that links connect; pairs of one root are taken as connected.
 
-    sets are sorted arrays. Shingles are ordered by how many of the sets hold them, so that paths in the tree are shared.
+    With `every`, all pairs that link, whatever their roots. With `sides`, pairs of one side aren't looked at. sets are
+    sorted arrays. Shingles are ordered by how many of the sets hold them, so that paths in the tree are shared.
     """
     num, den = threshold.numerator, threshold.denominator
     token, back, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -210,6 +209,7 @@ def tree_join(sets: list[np.ndarray], roots: list, threshold: Fraction) -> list[
     n_of = np.array([len(paths[i]) for i in leaves])
     marks = np.stack([_parity(sets[i]) for i in leaves])
     shared_ = np.array(shared)
+    side = np.array([sides[i] for i in leaves]) if sides is not None else None
     links = []
     for x in range(len(leaves) - 1):
         mine, own = paths[leaves[x]], roots[leaves[x]]
@@ -218,6 +218,8 @@ def tree_join(sets: list[np.ndarray], roots: list, threshold: Fraction) -> list[
         # Shingles of one set alone flip a mark each: more marks differ than could, so the pair can't link.
         differ = np.bitwise_count(marks[x + 1 :] ^ marks[x]).sum(axis=1)
         maybe = (np.minimum(n, later) * den >= np.maximum(n, later) * num) & (differ * (den + num) <= (den - num) * (n + later))
+        if side is not None:
+            maybe &= side[x + 1 :] != side[x]
         if not maybe.any():
             continue
         inside = np.zeros(len(token), dtype=bool)
@@ -227,7 +229,7 @@ def tree_join(sets: list[np.ndarray], roots: list, threshold: Fraction) -> list[
         cut, since = None, 0  # depth at which a subtree was left, and what the leaves since then share with it
         for y in (np.flatnonzero(maybe) + x + 1).tolist():
             other = leaves[y]
-            if root(own) == root(roots[other]):
+            if not every and root(own) == root(roots[other]):
                 continue
             low = int(shared_[last + 1 : y + 1].min())
             depth, since, last = min(depth, low), min(since, low), y
@@ -252,7 +254,7 @@ def tree_join(sets: list[np.ndarray], roots: list, threshold: Fraction) -> list[
     return links
 
 
-def join(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD) -> DataFrame:
+def join(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD, links: bool = False) -> DataFrame:
     """doc_id, text_hash, n_shingles, class (key of its set), root (the least class that links reach) and component_id for
     each row of docs (doc_id, text).
 
@@ -260,71 +262,132 @@ def join(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD) -
     Documents link at Jaccard >= threshold; component_id is the smallest doc_id that links reach. Null text and text
     without words has an empty set and is linked with nothing; repeated rows are equal documents; a null doc_id is never
     the smallest unless there is no other; an empty table gives none; other columns are ignored.
+
+    With `links`, n_links is the number of other documents that a document links with, equal ones included. Then all sets
+    of a cluster meet, in pairs of blocks, and every pair of classes in a cell is told by the tree; pairs are counted where
+    they are found and never written. The work of a cluster grows with its pairs; without `links` it doesn't.
     """
-    num, den = threshold.numerator, threshold.denominator
     found = stored(_prefixes(docs, words, threshold))
     documents = found.where("kind = 0").select("doc_id", "text_hash", "n", "key")
 
     # Sets of linking documents are of neighbouring classes of size; a group is a shingle's sets of two such classes.
     # Groups of the same sets, told by two hashes of them, are one.
+    num, den = threshold.numerator, threshold.denominator
     level = F.floor(F.log(F.min("n")) / math.log(den / num)).cast("int") if num < den else F.min("n")
     entries = found.where("kind = 1").groupBy("token", "key").agg(level.alias("level"), F.min("n").alias("n"), F.min("text_hash").alias("text_hash"))
     entries = entries.withColumn("size", F.explode(F.array(F.col("level"), F.col("level") + 1)))
     groups = entries.groupBy("token", "size").agg(
-        F.max("level").alias("top"), F.count("*").alias("m"), F.min(F.struct("key", "text_hash")).alias("pivot"), F.bit_xor(F.xxhash64("key")).alias("s0"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("s1")
+        F.max("level").alias("top"), F.count("*").alias("m"), F.min("key").alias("pivot"), F.bit_xor(F.xxhash64("key")).alias("s0"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("s1")
     )
     groups = groups.where("m > 1 and top = size").groupBy("s0", "s1", "m").agg(F.min(F.struct("token", "size", "pivot")).alias("of"))
     members = stored(entries.join(groups.select("of.token", "of.size", "of.pivot", "m"), ["token", "size"]).select("token", "size", "m", "pivot", "key", "n", "text_hash"))
 
-    # What groups connect is a cluster. One of few sets is joined whole, each set sent once.
-    cluster = components(members.select(F.col("key").alias("a"), F.col("pivot.key").alias("b"))).select(F.col("id").alias("key"), F.col("root").alias("cluster"))
-    sizes = cluster.join(members.groupBy("key").agg(F.min("n").alias("n")), "key").groupBy("cluster").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
-    large = stored(sizes.where((F.col("sets") > CLUSTER_SETS) | (F.col("shingles") > CLUSTER_SHINGLES)).select("cluster"))
-    clustered = stored(cluster.join(large.withColumn("large", F.lit(True)), "cluster", "left").select("key", "cluster", F.coalesce("large", F.lit(False)).alias("large")))
-    wanted = stored(members.select("text_hash").distinct())
+    # What groups connect is a cluster. Every set goes with its cluster from here, so sets are shuffled once.
+    cluster = components(members.select(F.col("key").alias("a"), F.col("pivot").alias("b"))).select(F.col("id").alias("key"), F.col("root").alias("cluster"))
+    each = members.groupBy("key").agg(F.min("n").alias("n"), F.min("text_hash").alias("text_hash")).join(cluster, "key")
+    sizes = each.groupBy("cluster").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
+    each = stored(each.join(sizes, "cluster").select("text_hash", "key", "cluster", "sets", ((F.col("sets") > CLUSTER_SETS) | (F.col("shingles") > CLUSTER_SHINGLES)).alias("large")))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(words)
         for batch in batches:
-            sets = [shingle(_raw(t.as_py())) for t in batch.column(0)]
-            at = [0, *np.cumsum([len(s) for s in sets]).tolist()]
-            flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).astype(np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in sets]), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(_signed(flat)))], names=["key", "tokens"])
+            flat = [shingle(_raw(t.as_py())).tobytes() for t in batch.column(4)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(flat, pa.binary())], names=["key", "cluster", "sets", "large", "tokens"])
+
+    # Copies of a text are one before their shuffle, however many there are.
+    texts = docs.select(F.xxhash64("text").alias("text_hash"), "text").dropDuplicates(["text_hash"])
+    sets = stored(texts.join(each, "text_hash").select("key", "cluster", "sets", "large", "text").mapInArrow(sets_of, "key binary, cluster binary, sets long, large boolean, tokens binary"))
 
-    texts = docs.select("text", F.xxhash64("text").alias("text_hash")).join(wanted, "text_hash", "left_semi").select("text")
-    sets = stored(texts.mapInArrow(sets_of, "key string, tokens array<long>").dropDuplicates(["key"]))
+    def arrays(frame: pd.DataFrame) -> list[np.ndarray]:
+        return [np.frombuffer(t, np.uint64) for t in frame["tokens"]]
 
     def joined(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.drop_duplicates("key").sort_values("key")
         keys, roots = frame["key"].tolist(), frame["root"].tolist()
-        links = tree_join([np.asarray(t) for t in frame["tokens"]], roots, threshold) if len(set(roots)) > 1 else []
-        return pd.DataFrame({"a": [keys[i] for i, _ in links], "b": [keys[j] for _, j in links]}, dtype=object)
-
-    small = clustered.where("not large").join(sets, "key").withColumn("root", F.col("key"))
-    edges = stored(small.groupBy("cluster").applyInPandas(joined, "a string, b string"))
-
-    if not large.isEmpty():
-        # In a large one, pivots of groups connect what is alike, and only groups that still hold several components
-        # are joined.
-        inside = stored(members.join(clustered.where("large").select("key"), "key", "left_semi"))
-        pairs = inside.where("key <> pivot.key").select(F.col("key").alias("a"), F.col("pivot.key").alias("b")).distinct()
-        both = pairs.join(sets.select(F.col("key").alias("a"), F.col("tokens").alias("left")), "a").join(sets.select(F.col("key").alias("b"), F.col("tokens").alias("right")), "b")
-        shared = F.size(F.array_intersect("left", "right"))
-        near = stored(both.where(shared * (den + num) >= num * (F.size("left") + F.size("right"))).select("a", "b"))
-        labelled = inside.join(components(near).select(F.col("id").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-        open_ = stored(labelled.groupBy("token", "size").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("token", "size"))
-        blocks = F.ceil(F.col("m") / GROUP_CLASSES).cast("int")
-        cells = labelled.join(open_, ["token", "size"], "left_semi").withColumn("blocks", blocks).withColumn("mine", F.pmod(F.hash("key"), F.col("blocks")))
-        cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        cells = cells.select("token", "size", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "key", "root").join(sets, "key")
-        late = stored(cells.groupBy("token", "size", "i", "j").applyInPandas(joined, "a string, b string"))
-        edges = edges.unionByName(near).unionByName(late)
+        near = tree_join(arrays(frame), roots, threshold) if len(set(roots)) > 1 else []
+        return pd.DataFrame({"a": [keys[i] for i, _ in near], "b": [keys[j] for _, j in near]}, dtype=object)
+
+    def beside(frame: pd.DataFrame) -> pd.DataFrame:
+        """Links of a hub with the others."""
+        frame = frame.drop_duplicates("key").sort_values("key")
+        keys, side = frame["key"].tolist(), (frame["key"] == frame["hub"]).astype(int).tolist()
+        near = tree_join(arrays(frame), keys, threshold, side, True) if len(set(side)) > 1 else []
+        return pd.DataFrame({"a": [keys[i] for i, _ in near], "b": [keys[j] for _, j in near]}, dtype=object)
+
+    def counted(frame: pd.DataFrame) -> pd.DataFrame:
+        """Links of a cell's sets: how many documents each set links with, and a forest of the links."""
+        frame = frame.drop_duplicates("key").sort_values("key")
+        keys, copies = frame["key"].tolist(), frame["copies"].to_numpy()
+        side = frame["mine"].tolist() if frame["i"].iloc[0] != frame["j"].iloc[0] else None
+        near = tree_join(arrays(frame), keys, threshold, side, True) if side is None or len(set(side)) > 1 else []
+        n, parent, forest = np.zeros(len(keys), dtype=np.int64), list(range(len(keys))), []
+
+        def top(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for i, j in near:
+            n[i] += copies[j]
+            n[j] += copies[i]
+            if top(i) != top(j):
+                parent[top(i)] = top(j)
+                forest.append((keys[i], keys[j], 0))
+        return pd.DataFrame([*forest, *((k, None, int(m)) for k, m in zip(keys, n) if m)], columns=["a", "b", "n"], dtype=object)
+
+    def dealt(rows: DataFrame, size: str) -> DataFrame:
+        """Rows with their cells (i, j): pairs of blocks, of GROUP_CLASSES sets or so."""
+        blocks = F.ceil(F.col(size) / GROUP_CLASSES).cast("int")
+        rows = rows.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.hash("key"), F.col("blocks")))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        return rows.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
+
+    counts = documents.groupBy("key").agg(F.count("*").alias("copies"))
+    if links:
+        cells = dealt(sets.join(counts, "key"), "sets").groupBy("cluster", "i", "j").applyInPandas(counted, "a binary, b binary, n long")
+        cells = stored(cells)
+        edges = cells.where("b is not null").select("a", "b")
+        beyond = cells.where("b is null").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("beyond"))
+    else:
+        edges = stored(sets.where("not large").withColumn("root", F.col("key")).groupBy("cluster").applyInPandas(joined, "a binary, b binary"))
+        if not each.where("large").isEmpty():
+            edges = edges.unionByName(_large(members, each, sets, beside, joined, dealt))
     label = components(edges)
     rows = documents.join(label.select(F.col("id").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = rows.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return rows.join(least, "root", "left").select(
+    rows = rows.join(least, "root", "left").select(
         "doc_id", "text_hash", F.col("n").cast("long").alias("n_shingles"), F.col("key").alias("class"), "root", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id")
     )
+    if not links:
+        return rows
+    per = counts.join(beyond, "key", "left").select(F.col("key").alias("class"), (F.col("copies") - 1 + F.coalesce("beyond", F.lit(0))).alias("n_links"))
+    return rows.join(per, "class").withColumn("n_links", F.when(F.col("n_shingles") > 0, F.col("n_links")).otherwise(F.lit(0)).cast("long"))
+
+
+def _large(members: DataFrame, each: DataFrame, sets: DataFrame, beside, joined, dealt) -> DataFrame:
+    """Links that connect the sets of large clusters as all links would.
+
+    Each set is first held, in the tree, against one hub: a pivot of its groups. Groups that still hold several
+    components are joined whole, in cells of blocks.
+    """
+    large = each.where("large").select("key")
+    inside = stored(members.join(large, "key", "left_semi").select("token", "size", "m", "pivot", "key"))
+    held = sets.where("large").select("key", "tokens")
+    edges, left = None, inside
+    for hub in (F.min("pivot"), F.max("pivot")):
+        to = left.groupBy("key").agg(hub.alias("hub")).where("key <> hub")
+        blocks = to.groupBy("hub").agg(F.ceil(F.count("*") / GROUP_CLASSES).cast("int").alias("blocks"))
+        to = stored(to.join(blocks, "hub").select("key", "hub", F.pmod(F.hash("key"), F.col("blocks")).alias("block")))
+        rows = to.unionByName(to.select(F.col("hub").alias("key"), "hub", "block").distinct()).join(held, "key")
+        near = stored(rows.groupBy("hub", "block").applyInPandas(beside, "a binary, b binary"))
+        edges = near if edges is None else edges.unionByName(near)
+        root = components(edges).select(F.col("id").alias("key"), "root")
+        labelled = inside.join(root, "key", "left").withColumn("root", F.coalesce("root", "key"))
+        several = labelled.groupBy("token", "size").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("token", "size")
+        left = stored(labelled.join(several, ["token", "size"], "left_semi"))
+    cells = dealt(left, "m").select("token", "size", "i", "j", "key", "root").join(held, "key")
+    return edges.unionByName(stored(cells.groupBy("token", "size", "i", "j").applyInPandas(joined, "a binary, b binary")))
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@ from fractions import Fraction
 
 import numpy as np
 from fluorite.llm import ngram_join as N
+from pyspark.sql import functions as F
 
 from .helpers import documents, rows
 
@@ -76,6 +77,29 @@ def test_tree_join_alone_connects_what_links():
         assert got == want
 
 
+def test_links_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(N, "GROUP_CLASSES", 5)
+    texts = corpus(9, 25) + ["a b c d e f g h i j k l"] * 3 + [None]
+    whole = plain(texts, 3, 9, 10)
+    want = []
+    for i, t in enumerate(texts):
+        pair = [plain([t, o], 3, 9, 10)[1][2] == 0 for j, o in enumerate(texts) if j != i and whole[i][1] and whole[j][1]]
+        want.append((i, sum(pair), whole[i][2]))
+    assert rows(N.join(documents(spark, texts), 3, links=True), "doc_id", "n_links", "component_id") == sorted(want, key=repr)
+
+
+def test_blocks_are_spread_over_partitions(spark):
+    docs = documents(spark, [f"a{i} b{i} c{i} d{i % 7}" for i in range(400)]).repartition(24)
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        payload = N._prefixes(docs, 3, N.THRESHOLD).groupBy(F.spark_partition_id()).count().collect()
+        assert len(payload) > 2 and max(r["count"] for r in payload) < 300
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
 def test_groups_over_a_block_and_repeated_rows(spark, monkeypatch):
     monkeypatch.setattr(N, "GROUP_CLASSES", 4)
     monkeypatch.setattr(N, "CLUSTER_SETS", 4)
