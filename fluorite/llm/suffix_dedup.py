@@ -26,10 +26,11 @@ LEAST = 50
 GRAM = 16
 #: A fingerprint in more documents than this (of 65535 that a block counts) is dealt over shards by whole strings.
 HOT_DOCUMENTS = 5_000
-#: Bytes of one suffix array, about.
-SHARD_BYTES = 1 << 20
-_CHUNK = 1 << 18
-_PLACES = 1 << 20
+#: Bytes of one suffix array, about; blocks of texts, and shards, for each shuffle partition: one is held at a time.
+SHARD_BYTES = 1 << 18
+BLOCKS, SHARDS = 4, 3
+_CHUNK = 1 << 17
+_PLACES = 1 << 17
 
 _TABLE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
@@ -39,7 +40,7 @@ def _types(s: np.ndarray) -> np.ndarray:
     """True for suffixes smaller than the next one; the end is smaller than any byte, so the last suffix is larger."""
     n = len(s)
     step = np.r_[s[:-1] != s[1:], True]
-    at = np.where(step, np.arange(n), n)
+    at = np.where(step, np.arange(n, dtype=np.int32), np.int32(n))
     at = np.minimum.accumulate(at[::-1])[::-1]
     after = np.r_[s[1:].astype(np.int16), np.int16(-1)][at]
     return s[at] < after
@@ -68,7 +69,7 @@ def _induce(s: np.ndarray, small: np.ndarray, seeds: np.ndarray, values: int) ->
     for c in range(values):
         by[c] = seeds[order[ends[c] : ends[c + 1]]]
     if not small[n - 1]:
-        large[int(s[n - 1])].append(np.array([n - 1]))  # before it stands the end, the least suffix of all
+        large[int(s[n - 1])].append(np.array([n - 1], dtype=np.int32))  # before it stands the end, the least suffix of all
     for c in range(values):
         k = 0
         while k < len(large[c]):
@@ -105,14 +106,14 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     if n < 2:
         return np.arange(n)
     small = _types(s)
-    heads = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    heads = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32)
     if not len(heads):
         return _induce(s, small, heads, 256)
     sorted_ = _induce(s, small, heads, 256)
     is_head = np.zeros(n, dtype=bool)
     is_head[heads] = True
     sorted_ = sorted_[is_head[sorted_]]
-    following = np.full(n, n)
+    following = np.full(n, n, dtype=np.int32)
     following[heads[:-1]] = heads[1:]
     length = np.minimum(following[sorted_] - sorted_ + 1, depth + 1)
     same = length[1:] == length[:-1]
@@ -126,9 +127,9 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
         differ = inside & (padded[a[alive] + k] != padded[b[alive] + k])
         same[alive[differ]] = False
         alive = alive[inside & ~differ]
-    name = np.empty(n, dtype=np.int64)
+    name = np.empty(n, dtype=np.int32)
     name[sorted_] = np.cumsum(np.r_[0, ~same])
-    names, reach = name[heads], 1
+    names, reach = name[heads].astype(np.int64), 1
     while names.max() + 1 < len(names) and reach <= depth:
         pair = names * (len(names) + 1) + np.r_[names[reach:] + 1, np.zeros(min(reach, len(names)), dtype=np.int64)][: len(names)]
         names = np.unique(pair, return_inverse=True)[1]
@@ -140,20 +141,20 @@ def common_prefixes(text: np.ndarray, array: np.ndarray, depth: int) -> np.ndarr
     """For each position, in text order, the prefix (up to `depth`) that its suffix shares with the one before it in the
     suffix array: the permuted common prefixes."""
     n = len(text)
-    before = np.full(n, n)
+    before = np.full(n, n, dtype=np.int32)
     before[array[1:]] = array[:-1]
     # Eight bytes at once: the lowest bit in which two words differ lies in the first byte that differs.
     padded = np.r_[text, np.zeros(depth + 8, dtype=np.uint8)]
     word = np.ndarray(n + depth, dtype="<u8", buffer=padded, strides=(1,)).copy()
-    shared = np.zeros(n, dtype=np.int64)
-    alive = np.flatnonzero(before < n)
+    shared = np.zeros(n, dtype=np.int32)
+    alive = np.flatnonzero(before < n).astype(np.int32)
     for k in range(0, depth, 8):
         differ = word[alive + k] ^ word[before[alive] + k]
         same = differ == 0
         lowest = differ & (~differ + np.uint64(1))
         shared[alive] = np.where(same, k + 8, k + np.bitwise_count(lowest - np.uint64(1)) // 8)
         alive = alive[same]
-    return np.minimum(np.minimum(shared, depth), np.maximum(0, n - np.maximum(np.arange(n), before)))
+    return np.minimum(np.minimum(shared, depth), np.maximum(0, n - np.maximum(np.arange(n, dtype=np.int32), before)))
 
 
 def least_owner(contexts: list[bytes], owners: np.ndarray, least: int = LEAST) -> np.ndarray:
@@ -162,7 +163,7 @@ def least_owner(contexts: list[bytes], owners: np.ndarray, least: int = LEAST) -
     text = np.frombuffer(b"".join(contexts), dtype=np.uint8)
     sizes = np.array([len(c) for c in contexts])
     ends = np.cumsum(sizes)
-    which = np.repeat(np.arange(len(contexts)), sizes)
+    which = np.repeat(np.arange(len(contexts), dtype=np.int32), sizes)
     starts_here = np.arange(len(text)) + least <= ends[which]
     array = suffix_array(text, least)
     shared = common_prefixes(text, array, least)
@@ -245,7 +246,7 @@ def _hashed(docs: DataFrame) -> DataFrame:
 def _dealt(hashed: DataFrame) -> DataFrame:
     """Different texts dealt into blocks by their hash. A task sends each text once, however many rows hold it, and after
     that only doc_ids that are smaller than those before."""
-    n = partitions(hashed.sparkSession)
+    n = partitions(hashed.sparkSession) * BLOCKS
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: dict[tuple[int, int], int] = {}
@@ -262,12 +263,12 @@ def _dealt(hashed: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([some.column(0), text, some.column(2), some.column(3)], names=["doc_id", "text", "h0", "h1"])
 
     kept = hashed.where("doc_id is not null").mapInArrow(once, "doc_id long, text string, h0 long, h1 long")
-    return kept.withColumn("block", F.pmod("h0", F.lit(n)).cast("int")).repartition(n, "block")
+    return kept.withColumn("block", F.pmod("h0", F.lit(n)).cast("int")).repartition(n // BLOCKS, "block")
 
 
 def repeats(blocks: DataFrame, least: int = LEAST, hot_documents: int = HOT_DOCUMENTS) -> DataFrame:
     """For each block of different texts the byte ranges of them that repeat from texts of smaller doc_ids."""
-    parts = partitions(blocks.sparkSession)
+    parts = partitions(blocks.sparkSession) * SHARDS
 
     def fingerprints(frame: pd.DataFrame) -> pd.DataFrame:
         ids, texts, _ = _texts(frame)
@@ -303,6 +304,7 @@ def repeats(blocks: DataFrame, least: int = LEAST, hot_documents: int = HOT_DOCU
             return _told([])
         ids, texts, _ = _texts(frame)
         block = int(frame["block"].iloc[0])
+        frame.drop(frame.index, inplace=True)  # its texts are held as bytes now
         wanted = np.sort(np.concatenate([np.frombuffer(a, np.uint64) for a in flagged["a"]]))
         hot = set(np.concatenate([np.frombuffer(b, np.uint64) for b in flagged["b"]]).tolist())
         out: list[list] = [[] for _ in range(parts)]
@@ -320,6 +322,7 @@ def repeats(blocks: DataFrame, least: int = LEAST, hot_documents: int = HOT_DOCU
                     out[key % parts].append((key, doc, start, text[start : end + least]))
         rows = []
         for k, some in enumerate(out):
+            out[k] = []
             if some:
                 some.sort(key=lambda x: (x[0], x[3]))
                 head = np.array([(x[0], ids[x[1]], x[1], x[2]) for x in some], dtype=np.int64)
@@ -336,10 +339,11 @@ def repeats(blocks: DataFrame, least: int = LEAST, hot_documents: int = HOT_DOCU
         for b, a, bb, c, d in zip(frame["block"], frame["a"], frame["b"], frame["c"], frame["d"]):
             long, short = np.frombuffer(a, np.int64).reshape(2, -1), np.frombuffer(bb, np.uint32).reshape(3, -1)
             ends = np.cumsum(np.frombuffer(d, np.uint32)).tolist()
-            number = np.array([known.setdefault(c[i:j], len(known)) for i, j in zip([0, *ends[:-1]], ends)])
+            number = np.array([known.setdefault(c[i:j], len(known)) for i, j in zip([0, *ends[:-1]], ends)], dtype=np.int32)
             which.append(number[short[0]])
             key.append(long[0]), owner.append(long[1]), doc.append(short[1]), start.append(short[2])
-            block.append(np.full(long.shape[1], b))
+            block.append(np.full(long.shape[1], b, dtype=np.int32))
+        frame.drop(frame.index, inplace=True)
         which, key, owner, doc, start, block = map(np.concatenate, (which, key, owner, doc, start, block))
         strings = list(known)
         sizes = np.array([len(x) for x in strings])

@@ -60,6 +60,15 @@ def test_whole_table_matches_plain(spark):
     assert sorted(tuple(r) for r in hot.collect()) == want
 
 
+def test_several_arrays_for_a_shard(spark, monkeypatch):
+    monkeypatch.setattr(S, "SHARD_BYTES", 400)
+    monkeypatch.setattr(S, "_PLACES", 64)
+    monkeypatch.setattr(S, "SHARDS", 1)
+    texts = corpus()
+    want = plain([(i, (t or "").encode()) for i, t in enumerate(texts)], 50)
+    assert sorted(tuple(r) for r in S.digest(documents(spark, texts)).collect()) == want
+
+
 def test_same_and_null_ids_take_nothing(spark):
     t = "".join(chr(97 + i % 23) for i in range(80))
     got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_removed"]) for r in S.digest(documents(spark, [t, t, t, t], ids=[3, 3, None, 8])).collect())
