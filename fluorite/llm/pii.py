@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import packed, stored, unpacked
+from ._shared import let, packed, stored, unpacked
 
 KINDS = ("email", "ip", "card", "phone")
 #: Each kind as the contract words it, written so that no text takes more than linear time: a run is entered at its
@@ -18,11 +18,11 @@ PATTERNS = {
 }
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
 
-#: A term of letters near a value counts as context up to so many words away.
-NEAR = 4
-#: A term is disclosing if it stands near a value in so many different contexts, if so large a share of the documents
-#: with the term hold the value near it, and if that tells so many bits more than the corpus does.
-LEAST_CONTEXTS, LEAST_SHARE, LEAST_BITS = 3, 0.5, 3.0
+#: A term of letters counts as seen with a value if it stands within so many words of it.
+NEAR = 50
+#: A term is disclosing if the share of the texts with the term that hold the value near it, drawn towards the value's
+#: share of all texts with this weight, is so large, and if that tells so many bits more than the corpus does.
+LEAST_SHARE, LEAST_BITS, WEIGHT = 0.6, 3.0, 1.0
 TERM = r"\p{L}[\p{L}\p{M}'’-]*"
 
 
@@ -51,23 +51,63 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
+def _scan(items: Column, start: Column, step, kind: str) -> Column:
+    """The state after each item, of type `kind`, in blocks of about the root of their number: an array grows by copies,
+    so one pass over n items would copy n * n / 2 states, and this copies n ** 1.5."""
+    none = F.array().cast(f"array<{kind}>")
+    wide = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(items))).cast("int"))
+
+    def grown(state: Column, x: Column) -> Column:
+        after = step(state["at"], x)
+        return F.struct(after.alias("at"), F.concat(state["out"], F.array(after)).alias("out"))
+
+    def ran(block: Column, at: Column) -> Column:
+        return F.aggregate(block, F.struct(at.alias("at"), none.alias("out")), grown, lambda s: s["out"])
+
+    def headed(state: Column, block: Column) -> Column:
+        return F.struct(F.aggregate(block, state["at"], step).alias("at"), F.concat(state["out"], F.array(state["at"])).alias("out"))
+
+    def all_of(blocks: Column) -> Column:
+        heads = F.aggregate(blocks, F.struct(start.alias("at"), none.alias("out")), headed, lambda s: s["out"])
+        return F.flatten(F.zip_with(blocks, heads, ran))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / wide).cast("int")), lambda k: F.slice(items, k * wide + 1, wide))
+    return F.when(F.size(items) > 0, let(blocks, all_of)).otherwise(none)
+
+
 def _located(text: Column, pattern: Column, valid) -> Column:
     """Spans array<struct<start, end>> of a pattern's matches that are valid, in code points.
 
     The gaps between matches and the matches themselves, both from one left-to-right search, add up to the positions.
     """
-    empty = F.array().cast("array<struct<start:int,end:int>>")
-    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, 0)
-    steps = F.zip_with(F.slice(gaps, 1, F.size(gaps) - 1), found, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("size"), valid(m).alias("ok")))
+    def of(both: Column) -> Column:
+        gaps, found = both["gaps"], both["found"]
+        steps = F.zip_with(F.slice(gaps, 1, F.size(gaps) - 1), found, lambda g, m: F.struct((F.length(g) + F.length(m)).alias("size"), F.length(m).alias("own"), valid(m).alias("ok")))
+        ends = lambda x: _scan(x, F.lit(0), lambda at, y: at + y["size"], "int")
+        placed = let(steps, lambda x: F.zip_with(ends(x), x, lambda end, y: F.struct((end - y["own"]).alias("start"), end.alias("end"), y["ok"].alias("ok"))))
+        return F.transform(F.filter(placed, lambda y: y["ok"]), lambda y: F.struct(y["start"].alias("start"), y["end"].alias("end")))
+
+    return let(F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, pattern, 0).alias("found")), of)
+
+
+def _pieces(text: Column, spans: Column) -> Column:
+    """For sorted spans array<struct<start, end, ...>> of a text: array<struct<gap, span, own, free>>, the text before each
+    span that no span covers, the span, its own text, and whether it starts beyond all spans before it; a last one with
+    null span has the rest. Linear in the text."""
+    def of(c: Column) -> Column:
+        chars, spans = c["chars"], c["spans"]
+        cut = lambda lo, hi: F.array_join(F.slice(chars, lo + 1, F.greatest(hi - lo, F.lit(0))), "")
+        reached = _scan(spans, F.lit(0), lambda at, x: F.greatest(at, x["end"]), "int")
+
+        def made(ends: Column) -> Column:
+            before = F.concat(F.array(F.lit(0)), ends)
+            each = F.zip_with(F.slice(before, 1, F.size(spans)), spans, lambda at, x: F.struct(cut(at, x["start"]).alias("gap"), x.alias("span"), cut(x["start"], x["end"]).alias("own"), (x["start"] >= at).alias("free")))
+            last = F.struct(cut(F.element_at(before, -1), F.size(chars)).alias("gap"), F.get(F.slice(spans, 1, 0), F.lit(0)).alias("span"), F.lit("").alias("own"), F.lit(True).alias("free"))
+            return F.concat(each, F.array(last))
 
-    def step(state: Column, s: Column) -> Column:
-        start = state["at"] + s["gap"]
-        end = start + s["size"]
-        grown = F.concat(state["spans"], F.array(F.struct(start.alias("start"), end.alias("end"))))
-        return F.struct(end.alias("at"), F.when(s["ok"], grown).otherwise(state["spans"]).alias("spans"))
+        return let(reached, made)
 
-    start = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
-    return F.aggregate(steps, start, step, lambda s: s["spans"])
+    return let(F.struct(F.split(text, "", -1).alias("chars"), spans.alias("spans")), of)
 
 
 def base_spans(text: Column, kind: str) -> Column:
@@ -78,72 +118,95 @@ def base_spans(text: Column, kind: str) -> Column:
 
 
 def with_base(docs: DataFrame) -> DataFrame:
-    """docs with _text (null: empty) and an array of spans for each kind."""
-    return docs.withColumn("_text", F.coalesce("text", F.lit(""))).withColumns({f"_{k}": base_spans(F.coalesce("text", F.lit("")), k) for k in KINDS})
+    """docs with _text (null: empty), its hashes _h0 and _h1, and an array of spans for each kind."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.withColumns({"_text": text, "_h0": F.xxhash64(text), "_h1": F.xxhash64(F.lit(1), text)} | {f"_{k}": base_spans(text, k) for k in KINDS})
 
 
-def disclosing_terms(docs: DataFrame, contexts=LEAST_CONTEXTS, share=LEAST_SHARE, bits=LEAST_BITS, near=NEAR) -> DataFrame:
-    """Terms that reveal protected values: (term, value, contexts, documents, share, bits), by corpus co-occurrence.
+def _words(part: Column) -> Column:
+    return F.regexp_extract_all(F.lower(part), F.lit(TERM), 0)
 
-    docs has doc_id, _text and the base spans. Context is taken around every base span of the whole corpus; copies of one
-    context count once, so that a copied page does not make its words disclosing. For each term that stands near a value
-    in enough contexts, the documents with the term are counted over the whole corpus: share is the part of them that
-    hold the value, and bits is log2(share / the value's share of all documents), what the term tells about the value.
-    """
-    words = lambda part: F.regexp_extract_all(F.lower(part), F.lit(TERM), 0)
+
+def _tagged(kinds: tuple[str, ...], put) -> Column:
+    """All spans of these kinds in order, with what put(kind) says."""
     def of(kind: str) -> Column:
-        return F.transform(f"_{kind}", lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-
-    kinds = F.concat(*map(of, KINDS))
-    spans = docs.where(F.size(kinds) > 0).select("doc_id", F.col("_text").alias("text"), F.explode(kinds).alias("s"))
-    reach = 40 * near
-    lead = F.greatest(F.col("s.start") - reach, F.lit(0))
-    seen = spans.select(
-        "doc_id",
-        F.concat_ws(":", "s.kind", F.lower(F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")))).alias("value"),
-        words(F.substring("text", lead + 1, F.col("s.start") - lead)).alias("left"),
-        words(F.substring("text", F.col("s.end") + 1, F.lit(reach))).alias("right"),
-    ).select("doc_id", "value", F.concat(F.slice("left", F.greatest(F.size("left") - near + 1, F.lit(1)), near), F.slice("right", 1, near)).alias("around"))
-    seen = stored(seen)
-    pairs = (
-        seen.select("value", "around").distinct().select("value", F.explode(F.array_distinct("around")).alias("term"))
-        .groupBy("value", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= contexts)
-    )
-    pairs = stored(pairs)
-    if pairs.isEmpty():
-        return pairs.selectExpr("term", "value", "contexts", "0L as documents", "0D as share", "0D as bits")
-    total = docs.count()
-    with_term = docs.select(F.explode(F.array_distinct(words(F.col("_text")))).alias("term")).groupBy("term").agg(F.count("*").alias("documents"))
-    with_both = seen.select("doc_id", "value", F.explode(F.array_distinct("around")).alias("term")).join(pairs.select("value", "term"), ["value", "term"]).groupBy("value", "term").agg(F.countDistinct("doc_id").alias("both"))
-    with_value = seen.groupBy("value").agg(F.countDistinct("doc_id").alias("holders"))
-    found = pairs.join(with_term, "term").join(with_both, ["value", "term"]).join(with_value, "value")
-    found = found.withColumn("share", F.least(F.lit(1.0), F.col("both") / F.col("documents"))).withColumn("bits", F.log2(F.col("share") * F.lit(float(total)) / F.col("holders")))
-    return found.where((F.col("share") >= share) & (F.col("bits") >= bits)).select("term", "value", "contexts", "documents", "share", "bits")
-
-
-def find(docs: DataFrame, **thresholds) -> DataFrame:
+        return F.transform(f"_{kind}", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(put(kind)).alias("put")))
+
+    return F.array_sort(F.concat(*map(of, kinds)))
+
+
+def _seen(docs: DataFrame, near: int) -> DataFrame:
+    """(_h0, _h1, value, around): the different terms within `near` words of each protected value of a text; words of
+    other values' text don't count. Each value takes at most 2 * near words, wherever it stands."""
+    spans = docs.where(F.size(F.concat(*[F.col(f"_{k}") for k in KINDS])) > 0).select("_h0", "_h1", _pieces(F.col("_text"), _tagged(KINDS, lambda k: k)).alias("p"))
+
+    def row(x: Column) -> Column:
+        terms = F.transform(_words(x["gap"]), lambda w: F.struct(F.lit(False).alias("is"), w.alias("what")))
+        value = F.array(F.struct(F.lit(True).alias("is"), F.concat_ws(":", x["span"]["put"], F.lower(x["own"])).alias("what")))
+        return F.when(x["span"].isNull(), terms).otherwise(F.concat(terms, value))
+
+    lines = spans.select("_h0", "_h1", F.flatten(F.transform("p", row)).alias("line"))
+    at = F.filter(F.sequence(F.lit(0), F.size("line") - 1), lambda i: F.get("line", i)["is"])
+    each = F.explode(F.transform(at, lambda i: F.struct(F.get("line", i)["what"].alias("value"), F.slice("line", F.greatest(i - near + 1, F.lit(1)), F.least(i, F.lit(near)) + near + 1).alias("around"))))
+    seen = lines.select("_h0", "_h1", each.alias("e")).select("_h0", "_h1", "e.value", F.filter("e.around", lambda x: ~x["is"]).alias("around"))
+    return seen.select("_h0", "_h1", "value", F.array_distinct(F.transform("around", lambda x: x["what"])).alias("around"))
+
+
+def _holding(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(_h0, _h1, term): the different texts that hold each of these terms."""
+    words = docs.select("_h0", "_h1", F.explode(F.array_distinct(_words(F.col("_text")))).alias("term"))
+    return words.join(terms.select("term").distinct(), "term", "left_semi").distinct()
+
+
+def _estimated(docs: DataFrame, share: float, bits: float, weight: float, near: int) -> tuple[DataFrame, DataFrame]:
+    """Candidates (term, value, both, documents, share, bits), before thresholds, and the texts that hold their terms."""
+    seen = stored(_seen(docs, near))
+    holders = seen.groupBy("value", "_h0", "_h1").agg(F.lit(1)).groupBy("value").agg(F.count("*").alias("holders"))
+    # Below so many texts no pair can reach the thresholds, whatever the rest of the corpus holds: an exact bound.
+    support = next(n for n in range(1, 1 << 20) if n + weight * 2.0**-bits >= share * (n + weight))
+    holders = stored(holders.where(F.col("holders") >= support))
+    pairs = seen.join(holders.select("value"), "value", "left_semi").select("value", "_h0", "_h1", F.explode("around").alias("term")).distinct()
+    pairs = stored(pairs.groupBy("value", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support))
+    held = stored(_holding(docs, pairs))
+    total = float(docs.select("_h0", "_h1").distinct().count())
+    found = pairs.join(held.groupBy("term").agg(F.count("*").alias("documents")), "term").join(holders, "value")
+    usual = F.col("holders") / total
+    found = found.withColumn("share", (F.col("both") + weight * usual) / (F.col("documents") + weight))
+    return found.withColumn("bits", F.log2(F.col("share") / usual)).select("term", "value", "both", "documents", "share", "bits"), held
+
+
+def disclosing_terms(docs: DataFrame, share=LEAST_SHARE, bits=LEAST_BITS, weight=WEIGHT, near=NEAR) -> DataFrame:
+    """Terms that reveal protected values: (term, value, both, documents, share, bits), by corpus co-occurrence.
+
+    docs is with_base() of documents. Texts are counted, not rows, so that copies of a page don't make its words disclosing.
+    Of a term, documents counts the texts that hold it, anywhere, and both those that hold the value within `near` words of
+    it; share is both / documents, drawn towards the value's share of all texts as if by `weight` more texts, so that what
+    was seen once proves little; bits is log2(share / the value's share of all texts), what the term tells of the value.
+    """
+    found, _ = _estimated(docs, share, bits, weight, near)
+    return found.where((F.col("share") >= share) & (F.col("bits") >= bits))
+
+
+def find(docs: DataFrame, share=LEAST_SHARE, bits=LEAST_BITS, weight=WEIGHT, near=NEAR) -> DataFrame:
     """docs' rows with _text, the base spans (_email, _ip, _card, _phone) and _term, the spans of disclosing terms.
 
-    A disclosing term is found in every document that holds it as a whole word, in any case; its spans within a base span
-    are left out. Null text is empty and has no spans; a row with a null doc_id has base spans only; rows of one doc_id
-    have the terms of any of them looked for; repeated rows are judged each; empty tables work; docs' other columns pass
-    through unless they are named like these.
+    A disclosing term is found in every text that holds it as a whole word, in any case; its spans within a base span
+    are left out. Null text is empty and has no spans; doc_ids play no part, null or repeated; repeated rows are judged
+    each; empty tables work; docs' other columns pass through unless they are named like these.
     """
     based = with_base(docs).withColumn("_null", F.col("text").isNull()).drop("text")  # texts are shuffled once
-    revealing = stored(disclosing_terms(based, **thresholds).select("term").distinct())
+    found, held = _estimated(based, share, bits, weight, near)
+    revealing = stored(found.where((F.col("share") >= share) & (F.col("bits") >= bits)).select("term").distinct())
     empty = F.array().cast("array<struct<start:int,end:int>>")
     if revealing.isEmpty():
-        return based.withColumn("_term", empty)
-    held = (
-        based.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(TERM), 0))).alias("term"))
-        .join(revealing, "term", "left_semi").groupBy("doc_id").agg(F.array_sort(F.collect_set("term")).alias("_terms"))
-    )
-    based = based.join(held, "doc_id", "left")
+        return based.drop("_h0", "_h1").withColumn("_term", empty)
     # Terms hold letters, marks, ', ’ and - only: none of these is special in a pattern outside brackets.
-    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{M}'’-])(?:"), F.array_join("_terms", "|"), F.lit(r")(?![\p{L}\p{M}'’-])"))
+    of = held.join(revealing, "term", "left_semi").groupBy("_h0", "_h1").agg(F.array_join(F.array_sort(F.collect_set("term")), "|").alias("_terms"))
+    based = based.join(stored(of), ["_h0", "_h1"], "left").drop("_h0", "_h1")
+    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{M}'’-])(?:"), F.col("_terms"), F.lit(r")(?![\p{L}\p{M}'’-])"))
     base = F.concat(*[F.col(f"_{k}") for k in KINDS])
     spans = F.filter(_located(F.col("_text"), pattern, lambda m: F.lit(True)), lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return based.withColumn("_term", F.when(F.size("_terms") > 0, spans).otherwise(empty)).drop("_terms")
+    return based.withColumn("_term", F.when(F.col("_terms").isNotNull(), spans).otherwise(empty)).drop("_terms")
 
 
 def _listed(kinds: tuple[str, ...]) -> Column:
@@ -167,22 +230,12 @@ def sanitise(docs: DataFrame, **thresholds) -> DataFrame:
     Where spans overlap, what they cover goes once. Text without spans stays as it is, null included; n_chars, if docs
     has that column, follows. docs' columns are returned.
     """
-    found = find(packed(docs, "doc_id", "text", apart="text"), **thresholds)
-
-    def of(kind: str) -> Column:
-        put = "" if kind == "term" else f"<{kind}>"
-        return F.transform(f"_{kind}", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(put).alias("put")))
-
-    kinds = F.concat(*map(of, (*KINDS, "term")))
-
-    def step(state: Column, s: Column) -> Column:
-        fresh = s["start"] >= state["at"]
-        gap = F.substring("_text", state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(fresh, F.concat(state["out"], gap, s["put"])).otherwise(state["out"]).alias("out"))
+    found = find(packed(docs, "text", apart="text"), **thresholds)
+    pieces = _pieces(F.col("_text"), _tagged((*KINDS, "term"), lambda kind: "" if kind == "term" else f"<{kind}>"))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate(F.array_sort(kinds), start, step, lambda s: F.concat(s["out"], F.substring("_text", s["at"] + 1, F.length("_text"))))
-    out = found.withColumn("_changed", F.size(kinds) > 0).withColumn("_clean", F.when(F.col("_changed"), clean).when(~F.col("_null"), F.col("_text")))
+    put = lambda x: F.concat(x["gap"], F.when(x["free"], F.coalesce(x["span"]["put"], F.lit(""))).otherwise(F.lit("")))
+    clean = F.array_join(F.transform(pieces, put), "")
+    out = found.withColumn("_changed", F.size(F.concat(*[F.col(f"_{k}") for k in (*KINDS, "term")])) > 0).withColumn("_clean", F.when(F.col("_changed"), clean).when(~F.col("_null"), F.col("_text")))
     changed = {"text": F.col("_clean")}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.when(F.col("_changed"), F.char_length("_clean")).otherwise(F.col("_row.n_chars"))

@@ -1,6 +1,10 @@
 import hashlib
+import math
+import random
 import re
+from collections import Counter
 
+import regex
 from fluorite.llm import pii
 
 from .helpers import documents
@@ -37,17 +41,63 @@ def test_base_spans_match_plain(spark):
         assert [got[i][f"n_{k}"] for k in P] == [sum(w.startswith(k + ":") for w in want) for k in P]
 
 
+def co_occurrence(texts, near=pii.NEAR, share=pii.LEAST_SHARE, bits=pii.LEAST_BITS, weight=pii.WEIGHT):
+    """A plain count of terms near values over the different texts."""
+    texts = sorted({t or "" for t in texts})
+    holders, both, held = Counter(), Counter(), Counter()
+    for t in texts:
+        spans = sorted((int(x.split(":")[1]), int(x.split(":")[2]), x.split(":")[0]) for x in plain(t))
+        line, at = [], 0
+        for a, b, kind in spans:
+            line += [(False, w) for w in regex.findall(pii.TERM, t[at:max(a, at)].lower())] + [(True, f"{kind}:{t[a:b].lower()}")]
+            at = max(at, b)
+        line += [(False, w) for w in regex.findall(pii.TERM, t[at:].lower())]
+        pairs = {(v, w) for i, (is_value, v) in enumerate(line) if is_value for other, w in line[max(0, i - near) : i + near + 1] if not other}
+        both.update(pairs)
+        holders.update({v for is_value, v in line if is_value})
+        held.update(set(regex.findall(pii.TERM, t.lower())))
+    out = set()
+    for (v, w), n in both.items():
+        usual = holders[v] / len(texts)
+        p = (n + weight * usual) / (held[w] + weight)
+        if p >= share and math.log2(p / usual) >= bits:
+            out.add((w, v))
+    return out
+
+
 def test_disclosing_terms_go_and_common_ones_stay(spark):
     texts = [f"{w} call Zorbla at z@ex.com about {w}s at {w}" for w in "oak elm ash yew fir".split()] + [f"plain call about text{i} at noon" for i in range(80)] + ["ZORBLA said so", "same call Quux at q@ex.com", "same call Quux at q@ex.com", "same call Quux at q@ex.com"]
-    docs = documents(spark, texts).selectExpr("*", "1 as _email", "2 as _terms", "3 as term")
+    docs = documents(spark, texts, ids=[*range(84), None, *range(85, 89)]).selectExpr("*", "1 as _email", "2 as _terms", "3 as term")
     terms = {(r["term"], r["value"]) for r in pii.disclosing_terms(pii.with_base(docs.select("doc_id", "text"))).collect()}
-    assert terms == {("zorbla", "email:z@ex.com")}  # copies are one context: quux stays
+    assert terms == {("zorbla", "email:z@ex.com")} == co_occurrence(texts)  # copies are one text: quux stays
     clean = {r["doc_id"]: r for r in pii.sanitise(docs).collect()}
     assert clean[0]["text"] == "oak call  at <email> about oaks at oak" and clean[85]["text"] == " said so" and clean[6]["text"] == texts[6]
     assert clean[0]["n_chars"] == len(clean[0]["text"]) and clean[0]["_email"] == 1
     assert {r["doc_id"]: r["spans"] for r in pii.digest(docs).collect()}[0] == "email:19:27,term:9:15"
 
 
+def test_terms_match_a_plain_count(spark):
+    r = random.Random(8)
+    common = [a + b for a in "th er in on at ea".split() for b in "e an ing ed ly or".split()]
+    texts = []
+    for person in range(12):
+        for _ in range(r.choice([1, 2, 3, 5])):
+            words = r.choices(common, k=r.choice([5, 60, 200]))
+            for x in [f"p{chr(97 + person)}name", f"{chr(97 + person)}town", f"p{person}@h.org", f"+1 555 010 {1000 + person}", "10.0.0.1"][: r.choice([2, 3, 4, 5])]:
+                words.insert(r.randrange(len(words)), x)
+            texts.append(" ".join(words))
+    texts += [" ".join(r.choices(common, k=30)) for _ in range(150)] + texts[:5] + [None, "", "a@b.c" * 300]
+    found = {(x["term"], x["value"]) for x in pii.disclosing_terms(pii.with_base(documents(spark, texts).select("doc_id", "text"))).collect()}
+    assert found == co_occurrence(texts) and len(found) > 5
+
+
+def test_many_overlapping_spans(spark):
+    texts = [" ".join(f"x{i}@a.b {i}.1.2.3@q.r" for i in range(400)), "1.2.3.4@a.b 4111111111111111@x.y z"]
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(documents(spark, texts)).collect()}
+    # Of spans with one start the shorter one names what both cover; 256 and more is no ip.
+    assert clean[0] == " ".join("<email> <ip>" if i < 256 else "<email> <email>" for i in range(400)) and clean[1] == "<ip> <card> z"
+
+
 def test_empty_repeated_and_null_ids(spark):
     docs = documents(spark, ["a@b.c", "a@b.c", None], ids=[1, 1, None])
     assert sorted(r["spans"] for r in pii.digest(docs).collect()) == ["", "email:0:5", "email:0:5"]
