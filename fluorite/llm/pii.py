@@ -20,9 +20,10 @@ _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
 
 #: A term of letters counts as seen with a value if it stands within so many words of it.
 NEAR = 50
-#: A term is disclosing if the share of the texts with the term that hold the value near it, drawn towards the value's
-#: share of all texts with this weight, is so large, and if that tells so many bits more than the corpus does.
-LEAST_SHARE, LEAST_BITS, WEIGHT = 0.6, 3.0, 1.0
+#: A term is disclosing if the share of the documents with the term that hold the value near it, drawn towards the value's
+#: share of all documents with this weight, is so large, and if that tells so many bits more than the corpus does. So a
+#: term that one document holds, near a value, is disclosing; one that another document without the value holds too, isn't.
+LEAST_SHARE, LEAST_BITS, WEIGHT = 0.6, 3.0, 0.5
 TERM = r"\p{L}[\p{L}\p{M}'’-]*"
 
 
@@ -136,55 +137,49 @@ def _tagged(kinds: tuple[str, ...], put) -> Column:
 
 
 def _seen(docs: DataFrame, near: int) -> DataFrame:
-    """(_h0, _h1, value, around): the different terms within `near` words of each protected value of a text; words of
-    other values' text don't count. Each value takes at most 2 * near words, wherever it stands."""
-    spans = docs.where(F.size(F.concat(*[F.col(f"_{k}") for k in KINDS])) > 0).select("_h0", "_h1", _pieces(F.col("_text"), _tagged(KINDS, lambda k: k)).alias("p"))
+    """(values, pairs) of each document with protected values: its different values, and "value\\nterm" for each different
+    term within `near` words of one; what other values are made of doesn't count. Each value takes at most 2 * near words,
+    wherever it stands, so what is made grows with the text."""
+    spans = docs.where(F.size(F.concat(*[F.col(f"_{k}") for k in KINDS])) > 0).select(_pieces(F.col("_text"), _tagged(KINDS, lambda k: k)).alias("p"))
 
     def row(x: Column) -> Column:
         terms = F.transform(_words(x["gap"]), lambda w: F.struct(F.lit(False).alias("is"), w.alias("what")))
         value = F.array(F.struct(F.lit(True).alias("is"), F.concat_ws(":", x["span"]["put"], F.lower(x["own"])).alias("what")))
         return F.when(x["span"].isNull(), terms).otherwise(F.concat(terms, value))
 
-    lines = spans.select("_h0", "_h1", F.flatten(F.transform("p", row)).alias("line"))
+    lines = spans.select(F.flatten(F.transform("p", row)).alias("line"))
     at = F.filter(F.sequence(F.lit(0), F.size("line") - 1), lambda i: F.get("line", i)["is"])
-    each = F.explode(F.transform(at, lambda i: F.struct(F.get("line", i)["what"].alias("value"), F.slice("line", F.greatest(i - near + 1, F.lit(1)), F.least(i, F.lit(near)) + near + 1).alias("around"))))
-    seen = lines.select("_h0", "_h1", each.alias("e")).select("_h0", "_h1", "e.value", F.filter("e.around", lambda x: ~x["is"]).alias("around"))
-    return seen.select("_h0", "_h1", "value", F.array_distinct(F.transform("around", lambda x: x["what"])).alias("around"))
 
+    def paired(i: Column) -> Column:
+        around = F.filter(F.slice("line", F.greatest(i - near + 1, F.lit(1)), F.least(i, F.lit(near)) + near + 1), lambda x: ~x["is"])
+        return F.transform(around, lambda x: F.concat(F.get("line", i)["what"], F.lit("\n"), x["what"]))
 
-def _holding(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(_h0, _h1, term): the different texts that hold each of these terms."""
-    words = docs.select("_h0", "_h1", F.explode(F.array_distinct(_words(F.col("_text")))).alias("term"))
-    return words.join(terms.select("term").distinct(), "term", "left_semi").distinct()
+    values = F.array_distinct(F.transform(F.filter("line", lambda x: x["is"]), lambda x: x["what"]))
+    return lines.select(values.alias("values"), F.array_distinct(F.flatten(F.transform(at, paired))).alias("pairs"))
 
 
-def _estimated(docs: DataFrame, share: float, bits: float, weight: float, near: int) -> tuple[DataFrame, DataFrame]:
-    """Candidates (term, value, both, documents, share, bits), before thresholds, and the texts that hold their terms."""
-    seen = stored(_seen(docs, near))
-    holders = seen.groupBy("value", "_h0", "_h1").agg(F.lit(1)).groupBy("value").agg(F.count("*").alias("holders"))
-    # Below so many texts no pair can reach the thresholds, whatever the rest of the corpus holds: an exact bound.
-    support = next(n for n in range(1, 1 << 20) if n + weight * 2.0**-bits >= share * (n + weight))
-    holders = stored(holders.where(F.col("holders") >= support))
-    pairs = seen.join(holders.select("value"), "value", "left_semi").select("value", "_h0", "_h1", F.explode("around").alias("term")).distinct()
-    pairs = stored(pairs.groupBy("value", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support))
-    held = stored(_holding(docs, pairs))
-    total = float(docs.select("_h0", "_h1").distinct().count())
-    found = pairs.join(held.groupBy("term").agg(F.count("*").alias("documents")), "term").join(holders, "value")
-    usual = F.col("holders") / total
-    found = found.withColumn("share", (F.col("both") + weight * usual) / (F.col("documents") + weight))
-    return found.withColumn("bits", F.log2(F.col("share") / usual)).select("term", "value", "both", "documents", "share", "bits"), held
+def _holding(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(_h0, _h1, term): which of these terms each document holds, once each."""
+    return docs.select("_h0", "_h1", F.explode(F.array_distinct(_words(F.col("_text")))).alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
 
 
 def disclosing_terms(docs: DataFrame, share=LEAST_SHARE, bits=LEAST_BITS, weight=WEIGHT, near=NEAR) -> DataFrame:
     """Terms that reveal protected values: (term, value, both, documents, share, bits), by corpus co-occurrence.
 
-    docs is with_base() of documents. Texts are counted, not rows, so that copies of a page don't make its words disclosing.
-    Of a term, documents counts the texts that hold it, anywhere, and both those that hold the value within `near` words of
-    it; share is both / documents, drawn towards the value's share of all texts as if by `weight` more texts, so that what
-    was seen once proves little; bits is log2(share / the value's share of all texts), what the term tells of the value.
+    docs is with_base() of documents. Of a term, documents counts those that hold it, anywhere, and both those that hold
+    the value within `near` words of it; share is both / documents, drawn towards the value's share of all documents as if by
+    `weight` more of them; bits is log2(share / the value's share of all documents), what the term tells of the value. All
+    counts are combined before they are shuffled.
     """
-    found, _ = _estimated(docs, share, bits, weight, near)
-    return found.where((F.col("share") >= share) & (F.col("bits") >= bits))
+    seen = stored(_seen(docs, near))
+    holders = seen.select(F.explode("values").alias("value")).groupBy("value").agg(F.count("*").alias("holders"))
+    pairs = seen.select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count("*").alias("both"))
+    pairs = stored(pairs.select(F.substring_index("pair", "\n", 1).alias("value"), F.substring_index("pair", "\n", -1).alias("term"), "both"))
+    total = float(docs.count())
+    found = pairs.join(_holding(docs, pairs).groupBy("term").agg(F.count("*").alias("documents")), "term").join(holders, "value")
+    usual = F.col("holders") / total
+    found = found.withColumn("share", (F.col("both") + weight * usual) / (F.col("documents") + weight)).withColumn("bits", F.log2(F.col("share") / usual))
+    return found.where((F.col("share") >= share) & (F.col("bits") >= bits)).select("term", "value", "both", "documents", "share", "bits")
 
 
 def find(docs: DataFrame, share=LEAST_SHARE, bits=LEAST_BITS, weight=WEIGHT, near=NEAR) -> DataFrame:
@@ -195,13 +190,12 @@ def find(docs: DataFrame, share=LEAST_SHARE, bits=LEAST_BITS, weight=WEIGHT, nea
     each; empty tables work; docs' other columns pass through unless they are named like these.
     """
     based = with_base(docs).withColumn("_null", F.col("text").isNull()).drop("text")  # texts are shuffled once
-    found, held = _estimated(based, share, bits, weight, near)
-    revealing = stored(found.where((F.col("share") >= share) & (F.col("bits") >= bits)).select("term").distinct())
+    revealing = stored(disclosing_terms(based, share, bits, weight, near).select("term").distinct())
     empty = F.array().cast("array<struct<start:int,end:int>>")
     if revealing.isEmpty():
         return based.drop("_h0", "_h1").withColumn("_term", empty)
     # Terms hold letters, marks, ', ’ and - only: none of these is special in a pattern outside brackets.
-    of = held.join(revealing, "term", "left_semi").groupBy("_h0", "_h1").agg(F.array_join(F.array_sort(F.collect_set("term")), "|").alias("_terms"))
+    of = _holding(based, revealing).groupBy("_h0", "_h1").agg(F.array_join(F.array_sort(F.collect_set("term")), "|").alias("_terms"))
     based = based.join(stored(of), ["_h0", "_h1"], "left").drop("_h0", "_h1")
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{M}'’-])(?:"), F.col("_terms"), F.lit(r")(?![\p{L}\p{M}'’-])"))
     base = F.concat(*[F.col(f"_{k}") for k in KINDS])

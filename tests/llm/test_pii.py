@@ -42,8 +42,8 @@ def test_base_spans_match_plain(spark):
 
 
 def co_occurrence(texts, near=pii.NEAR, share=pii.LEAST_SHARE, bits=pii.LEAST_BITS, weight=pii.WEIGHT):
-    """A plain count of terms near values over the different texts."""
-    texts = sorted({t or "" for t in texts})
+    """A plain count of terms near values."""
+    texts = [t or "" for t in texts]
     holders, both, held = Counter(), Counter(), Counter()
     for t in texts:
         spans = sorted((int(x.split(":")[1]), int(x.split(":")[2]), x.split(":")[0]) for x in plain(t))
@@ -66,14 +66,14 @@ def co_occurrence(texts, near=pii.NEAR, share=pii.LEAST_SHARE, bits=pii.LEAST_BI
 
 
 def test_disclosing_terms_go_and_common_ones_stay(spark):
-    texts = [f"{w} call Zorbla at z@ex.com about {w}s at {w}" for w in "oak elm ash yew fir".split()] + [f"plain call about text{i} at noon" for i in range(80)] + ["ZORBLA said so", "same call Quux at q@ex.com", "same call Quux at q@ex.com", "same call Quux at q@ex.com"]
-    docs = documents(spark, texts, ids=[*range(84), None, *range(85, 89)]).selectExpr("*", "1 as _email", "2 as _terms", "3 as term")
+    texts = ["call Zorbla at z@ex.com about noon"] * 2 + ["noon call about Zorbla, at z@ex.com"] + [f"plain call about text{i} at noon" for i in range(80)] + ["ZORBLA said so", "same call Quux at q@ex.com", "plain quux", "said it so"]
+    docs = documents(spark, texts, ids=[*range(83), None, *range(84, 87)]).selectExpr("*", "1 as _email", "2 as _terms", "3 as term")
     terms = {(r["term"], r["value"]) for r in pii.disclosing_terms(pii.with_base(docs.select("doc_id", "text"))).collect()}
-    assert terms == {("zorbla", "email:z@ex.com")} == co_occurrence(texts)  # copies are one text: quux stays
+    assert terms == {("zorbla", "email:z@ex.com"), ("same", "email:q@ex.com")} == co_occurrence(texts)  # quux stands elsewhere too
     clean = {r["doc_id"]: r for r in pii.sanitise(docs).collect()}
-    assert clean[0]["text"] == "oak call  at <email> about oaks at oak" and clean[85]["text"] == " said so" and clean[6]["text"] == texts[6]
+    assert clean[0]["text"] == "call  at <email> about noon" and clean[None]["text"] == " said so" and clean[6]["text"] == texts[6]
     assert clean[0]["n_chars"] == len(clean[0]["text"]) and clean[0]["_email"] == 1
-    assert {r["doc_id"]: r["spans"] for r in pii.digest(docs).collect()}[0] == "email:19:27,term:9:15"
+    assert {r["doc_id"]: r["spans"] for r in pii.digest(docs).collect()}[0] == "email:15:23,term:5:11"
 
 
 def test_terms_match_a_plain_count(spark):
