@@ -20,6 +20,8 @@ WORDS_KEPT = 800_000
 
 #: One of these marks after an ASCII letter, at a word's end, has an id of its own: the word before it is encoded alone.
 _MARKS = (b",", b".")
+#: What the text of every special token begins with.
+_SPECIAL = b"<|"
 _ENDS, _LETTERS = frozenset(_MARKS), frozenset(bytes([c]) for c in b"abcdefghijklmnopqrstuvwxyz")
 
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -28,16 +30,16 @@ _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 def _word_ids(path: str):
     """A function from a text's UTF-8 bytes to its ids as little-endian unsigned 32-bit bytes.
 
-    The tokenizer drops white space and never joins over it, and lower-cases: so words are encoded once each.
+    The tokenizer drops white space and never joins over it, and lower-cases: so words are encoded once each. The text of
+    a special token, in its own case, is that token, as the tokenizer has it.
     """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     known: dict[bytes, bytes] = {}
 
     def ids(text: bytes) -> bytes:
-        words = text.lower().split()
+        words = text.lower().split() if _SPECIAL not in text else [w if _SPECIAL in w else w.lower() for w in text.split()]
         try:
             return b"".join(map(known.__getitem__, words))
         except KeyError:

@@ -26,10 +26,9 @@ def test_patterns_meet_demand_near_the_bound():
 
 
 def test_whole_round_trip(spark):
-    texts = ["It's a.% Test, 12 é. <|endoftext|>", None, "", "word " * 5000, "Größe, über. " * 300, "a,b. c.d, ...", "a,b. c.d, ..."] + [f"tiny {i}" for i in range(50)]
+    texts = ["It's a.% Test, 12 é. <|endoftext|>", "Hello <|endoftext|> World<|startoftext|>x, <|ENDOFTEXT|> A <| B.", None, "", "word " * 5000, "Größe, über. " * 300, "a,b. c.d, ...", "a,b. c.d, ..."] + [f"tiny {i}" for i in range(50)]
     docs = documents(spark, texts).selectExpr("*", "1 as size", "2 as turn", "3 as upper")
     tokenizer = Tokenizer.from_file(public_tokenizers.path(K.VOCABULARY))
-    tokenizer.encode_special_tokens = True
     ids = {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in K.pack(docs).collect():
@@ -51,6 +50,15 @@ def test_whole_round_trip(spark):
         assert at <= 2048
 
 
+def test_padding_is_small(spark):
+    r = np.random.default_rng(4)
+    docs = documents(spark, [" ".join(["word"] * int(n)) for n in np.clip(r.lognormal(5.5, 1.2, 1500), 1, 9000)])
+    ends = defaultdict(int)
+    for x in K.pack(docs).collect():
+        ends[x["sequence_id"]] += x["length"]
+    assert 1 - sum(ends.values()) / (2048 * len(ends)) < 0.05
+
+
 def test_repeated_rows_and_empty(spark):
     docs = documents(spark, ["a b c"] * 4, ids=[1, 1, 1, None])
     got = K.pack(docs).collect()
