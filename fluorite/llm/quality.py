@@ -108,14 +108,12 @@ def _features(text: bytes, known: dict[bytes, int], size: int) -> np.ndarray:
     return found
 
 
-def train(texts: list[str | None], labels: np.ndarray, size: int = WEIGHTS_KEPT, rounds: int = 60) -> tuple[np.ndarray, float]:
+def train(rows: list[np.ndarray], labels: np.ndarray, size: int = WEIGHTS_KEPT, rounds: int = 60) -> tuple[np.ndarray, float]:
     """Logistic regression on distinct hashed features, scaled by 1 / sqrt of their number, by Adagrad over all rows at once.
 
-    The soft labels are posteriors. Returns the weights and the bias.
+    Each row has the weights that it falls on; the soft labels are posteriors. Returns the weights and the bias.
     """
-    known: dict[bytes, int] = {}
-    rows = [_features((t or "").encode("utf-8", "surrogatepass"), known, size) for t in texts]
-    n = np.array([len(r) for r in rows])
+    n = np.array([len(r) for r in rows], dtype=np.int64)
     at, doc = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64), np.repeat(np.arange(len(rows)), n)
     scale = 1 / np.sqrt(np.maximum(n, 1))
     weights, squares, bias = np.zeros(size), np.full(size, 1e-8), 0.0
@@ -133,16 +131,25 @@ def fit(docs: DataFrame, documents: int = TRAINING_DOCUMENTS, size: int = WEIGHT
     """The scorer (weights, bias), and the weak-label model (prior, rates, posteriors), of docs (doc_id, text).
 
     Patterns of votes are counted over all documents; only those counts reach the driver. About `documents` documents,
-    drawn by a hash of their id, train the scorer there.
+    drawn by a hash of their id, train the scorer there: tasks hash their texts, and what comes to the driver of each is at
+    most a number for each weight, however long its text is.
     """
     counts = {r["pattern"]: r["count"] for r in docs.select(pattern(F.col("text")).alias("pattern")).groupBy("pattern").count().collect()}
     prior, rate, posterior = accuracies(counts)
     total = sum(counts.values())
     turn = F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1 << 30)) / float(1 << 30)
     some = docs.where(turn * float(max(total, 1)) < documents).select("doc_id", "text", pattern(F.col("text")).alias("pattern"))
-    some = some.orderBy(F.xxhash64("doc_id", F.lit("train")), "doc_id", "text").limit(documents).collect()
-    labels = np.array([posterior[r["pattern"]] for r in some])
-    return train([r["text"] for r in some], labels, size), (prior, rate, posterior)
+    some = some.orderBy(F.xxhash64("doc_id", F.lit("train")), "doc_id", "text").limit(documents)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
+        for batch in batches:
+            found = [_features((t.as_py() or "").encode("utf-8", "surrogatepass"), known, size).astype("<u4").tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(found, pa.binary())], names=["pattern", "features"])
+
+    rows = some.mapInArrow(hashed, "pattern string, features binary").collect()
+    labels = np.array([posterior[r["pattern"]] for r in rows])
+    return train([np.frombuffer(r["features"], "<u4").astype(np.int64) for r in rows], labels, size), (prior, rate, posterior)
 
 
 def score(docs: DataFrame, scorer: tuple[np.ndarray, float]) -> DataFrame:
