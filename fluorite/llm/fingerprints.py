@@ -10,39 +10,50 @@ from ._shared import WORD, let, partitions
 
 #: k-mers of so many words; buckets, each giving one tuple; k-mers in a tuple.
 WORDS, BUCKETS, TUPLE = 3, 64, 2
-_PLACES = 24
+#: Bits of a place: no string is long enough for more words.
+_PLACES = 28
 
 
 def order_minhash(text: Column, words: int = WORDS, buckets: int = BUCKETS) -> Column:
     """The fingerprint of a text: a sorted array of up to `buckets` numbers, bucket and tuple hash in one.
 
-    Every run of `words` words is a k-mer (a shorter text is one), numbered by its occurrence in the text. A hash deals
-    k-mers over the buckets. In each, the two that are least by hash, then by occurrence, are selected, put in the order
-    in which they stand in the text, and hashed as a tuple: so both what a text holds and in which order counts. White
-    space only separates words; a text without words has an empty fingerprint. Places beyond 2 ** 24 words wrap around.
+    Every run of `words` words is a k-mer (a shorter text is one), numbered by its occurrence in the text. A hash of k-mer
+    and number deals them over the buckets (up to 64). In each, the two that are least by hash are selected, put in the
+    order in which they stand in the text, and hashed as a tuple: so what a text holds, how often, and in which order
+    counts. White space only separates words; a text without words has an empty fingerprint.
     """
     def grams(hashes: Column) -> Column:
         last = F.size(hashes) - words
-        longer = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: _placed(F.xxhash64(*[F.get(hashes, i + j) for j in range(words)]), i, buckets))
-        single = F.array(_placed(F.xxhash64(hashes), F.lit(0), buckets))
+        longer = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.shiftrightunsigned(F.xxhash64(*[F.get(hashes, i + j) for j in range(words)]), _PLACES))
+        single = F.array(F.shiftrightunsigned(F.xxhash64(hashes), _PLACES))
         return F.when(F.size(hashes) == 0, F.array().cast("array<bigint>")).when(last < 0, single).otherwise(longer)
 
+    def numbered(kmers: Column) -> Column:
+        once = F.transform(kmers, lambda x, i: _placed(x, F.lit(0), i, buckets))
+        ordered = F.sort_array(F.transform(kmers, lambda x, i: F.shiftleft(x, _PLACES).bitwiseOR(i.cast("bigint"))))
+        return F.when(F.size(F.array_distinct(kmers)) == F.size(kmers), once).otherwise(let(ordered, repeated))
+
+    def repeated(ordered: Column) -> Column:
+        kmer = lambda x: F.shiftrightunsigned(x, _PLACES)
+        heads = F.filter(F.sequence(F.lit(0), F.size(ordered) - 1), lambda i: (i == 0) | (kmer(F.get(ordered, i)) != kmer(F.get(ordered, i - 1))))
+        number = let(heads, lambda h: F.flatten(F.zip_with(h, F.concat(F.slice(h, 2, F.size(h)), F.array(F.size(ordered))), lambda a, b: F.sequence(F.lit(0), b - a - 1))))
+        return F.zip_with(ordered, number, lambda x, n: _placed(kmer(x), n, x.bitwiseAND(F.lit((1 << _PLACES) - 1)), buckets))
+
     hashes = F.transform(F.regexp_extract_all(text, F.lit(WORD), 0), lambda w: F.xxhash64(w))
-    return let(F.sort_array(let(hashes, grams)), _tuples)
+    return let(F.sort_array(let(let(hashes, grams), numbered)), _tuples)
 
 
-def _placed(h: Column, place: Column, buckets: int) -> Column:
-    """bucket, 30 bits of hash and place in one number, from the highest bits down."""
-    bucket = F.pmod(h, F.lit(buckets))
-    rest = F.shiftrightunsigned(h, 34)
-    return F.shiftleft(bucket, 30 + _PLACES).bitwiseOR(F.shiftleft(rest, _PLACES)).bitwiseOR(place.cast("bigint").bitwiseAND(F.lit((1 << _PLACES) - 1)))
+def _placed(kmer: Column, number: Column, place: Column, buckets: int) -> Column:
+    """bucket, 30 bits of the hash of k-mer and number, and place in one number, from the highest bits down."""
+    h = F.xxhash64(kmer, number)
+    return F.shiftleft(F.pmod(h, F.lit(buckets)), 30 + _PLACES).bitwiseOR(F.shiftleft(F.shiftrightunsigned(h, 34), _PLACES)).bitwiseOR(place.cast("bigint"))
 
 
 def _tuples(grams: Column) -> Column:
     high = 30 + _PLACES
-    bucket = lambda x: F.shiftright(x, high)
+    bucket = lambda x: F.shiftrightunsigned(x, high)
     place = lambda x: x.bitwiseAND(F.lit((1 << _PLACES) - 1))
-    kmer = lambda x: F.shiftright(x, _PLACES)
+    kmer = lambda x: F.shiftrightunsigned(x, _PLACES)
 
     def made(x: Column, i: Column, of: Column) -> Column:
         y = F.get(of, i + 1)
@@ -70,24 +81,23 @@ def with_next(docs: DataFrame) -> DataFrame:
     first follows the last.
 
     Quantiles of doc_id, one number for each task, cut the table into ranges; each is ordered in its own task, and the
-    first row of every range, one for each task, is handed to the range before it. Null ids come first; rows of equal id
-    are in the order of their text.
+    first row of every range, one for each task, is handed to the range before it. Null ids come first, in the order of a
+    hash of their text, by which they are cut too; rows of equal id are in the order of their text.
     """
     spark = docs.sparkSession
     n = partitions(spark)
     cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n)).first()[0] if n > 1 else None
     bounds = sorted(set(cuts or []))
     part = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col("doc_id"))) if bounds else F.lit(0)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text")).withColumn("_part", F.coalesce(F.when(F.col("doc_id").isNull(), -1).otherwise(part), F.lit(-1)))
-    inside = Window.partitionBy("_part").orderBy(F.col("doc_id").asc_nulls_first(), "_text")
-    rows = rows.withColumn("_fp", order_minhash(F.col("_text"))).select(
-        "*", F.lead(F.struct("_text", "_fp")).over(inside).alias("_ahead"), F.row_number().over(inside).alias("_nth")
-    )
+    turn = F.when(F.col("doc_id").isNull(), F.xxhash64("_text"))
+    unknown = F.floor((F.col("_turn") / float(1 << 64) + 0.5) * n).cast("int") - n - 1
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text")).withColumn("_turn", turn).withColumn("_part", F.when(F.col("doc_id").isNull(), unknown).otherwise(part))
+    inside = Window.partitionBy("_part").orderBy(F.col("doc_id").asc_nulls_first(), "_turn", "_text")
+    first = rows.withColumn("_nth", F.row_number().over(inside)).where("_nth = 1").select("_part", F.struct("_text", order_minhash(F.col("_text")).alias("_fp")).alias("_own"))
     parts = Window.orderBy("_part")
-    first = rows.where("_nth = 1").select("_part", F.struct("_text", "_fp").alias("_own"))
     whole = parts.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     first = first.select("_part", F.coalesce(F.lead("_own").over(parts), F.first("_own").over(whole)).alias("_after"))
-    rows = rows.join(first, "_part")
+    rows = rows.withColumn("_fp", order_minhash(F.col("_text"))).withColumn("_ahead", F.lead(F.struct("_text", "_fp")).over(inside)).join(first, "_part")
     after = F.coalesce("_ahead", "_after")
     return rows.select("doc_id", "_text", "_fp", after["_text"].alias("_next_text"), after["_fp"].alias("_next_fp"))
 
