@@ -1,23 +1,24 @@
-"""Exact top-k search over binary codes by incremental multi-index hashing, in blocks."""
+"""Exact top-k search over binary codes by incremental multi-index hashing: equi-joins with one index, radius by radius."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._shared import partitions
+from ._shared import stored
 
 TOP = 10
 BITS = 64
 SEGMENT = 16
-#: Codes and queries of one block at most: what a task holds doesn't depend on the size of the table.
-BLOCK_CODES = 1 << 16
-BLOCK_QUERIES = 1 << 12
+#: Up to so many bits of a segment, its values that occur (a bit for each possible one) are known to all tasks.
+KNOWN_BITS = 20
+_PROBES = 1 << 20
 
 
 def sign_code(embedding: Column, bits: int = BITS, segment: int = SEGMENT) -> Column:
@@ -34,104 +35,95 @@ def sign_code(embedding: Column, bits: int = BITS, segment: int = SEGMENT) -> Co
     return F.when(embedding.isNotNull(), F.array(*parts))
 
 
-_masks: dict[tuple[int, int], np.ndarray] = {}
+def _flips(bits: int, radius: int) -> np.ndarray:
+    return np.array([sum(1 << i for i in c) for c in combinations(range(bits), radius)], dtype=np.int64)
 
 
-def _flips(bits: int, radius: int) -> np.ndarray:
-    if (bits, radius) not in _masks:
-        _masks[bits, radius] = np.array([sum(1 << i for i in c) for c in combinations(range(bits), radius)], dtype=np.int64)
-    return _masks[bits, radius]
+def _away(a: Column, b: Column) -> Column:
+    return F.bit_count(a.bitwiseXOR(b))
 
 
-def search_block(queries: np.ndarray, codes: np.ndarray, ids: np.ndarray, k: int, segment: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each row of queries, the k nearest of `codes` (rows of segments) as (distances, ids), ties by id; exact.
+def _probes(open_: DataFrame, m: int, segment: int, radius: int, known: dict[int, np.ndarray]) -> DataFrame:
+    """open_ (c0, c1, ..., bound) with j and value: the buckets at this radius from each code's segments; only those that
+    occur, where `known` says so."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flips = _flips(segment, radius)
+        step = max(1, _PROBES // len(flips))
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                some = batch.slice(at, step)
+                for j in range(m):
+                    value = some.column(j).to_numpy()[:, None] ^ flips[None, :]
+                    row, flip = np.nonzero(known[j][value]) if j in known else np.divmod(np.arange(value.size), len(flips))
+                    rows = some.take(pa.array(row))
+                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.full(len(row), j, dtype=np.int32)), pa.array(value[row, flip])], names=[*some.schema.names, "j", "value"])
 
-    Every segment has a table of buckets. Radius by radius, the buckets at that distance from the query's segments are
-    opened and their codes verified. A code in no bucket opened up to radius r differs by over r bits in each segment,
-    so by segments * (r + 1) bits at least: as soon as the kth verified distance is below that, the answer is complete.
-    """
-    order = np.lexsort((ids, *codes.T[::-1]))
-    codes, ids = codes[order], ids[order]
-    new = np.r_[True, (codes[1:] != codes[:-1]).any(axis=1)] if len(codes) else np.zeros(0, dtype=bool)
-    first = np.flatnonzero(new)
-    distinct = codes[first]
-    held = np.diff(np.r_[first, len(codes)])
-    m = codes.shape[1]
-    tables = []
-    for j in range(m):
-        by = np.argsort(distinct[:, j], kind="stable")
-        tables.append((by, np.searchsorted(distinct[by, j], np.arange((1 << segment) + 1))))
-    out = []
-    for q in queries:
-        seen = np.zeros(len(distinct), dtype=bool)
-        distance = np.full(len(distinct), 1 << 20, dtype=np.int64)
-        for radius in range(segment + 1):
-            for j in range(m):
-                by, start = tables[j]
-                near = q[j] ^ _flips(segment, radius)
-                lo, hi = start[near], start[near + 1]
-                some = hi > lo
-                lo, n = lo[some], (hi - lo)[some]
-                if not len(n):
-                    continue
-                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-                found = by[at]
-                found = found[~seen[found]]
-                seen[found] = True
-                distance[found] = np.bitwise_count(distinct[found] ^ q).sum(axis=1)
-            have = np.flatnonzero(seen)
-            if np.minimum(held[have], k).sum() >= k:
-                near = have[np.argsort(distance[have], kind="stable")]
-                kth = distance[near[np.searchsorted(np.cumsum(held[near]), k)]]
-                if kth < m * (radius + 1):
-                    break
-            elif len(have) == len(distinct):
-                break
-        have = np.flatnonzero(seen)
-        near = have[np.argsort(distance[have], kind="stable")]
-        if held[near].sum() > k:
-            kth = distance[near[np.searchsorted(np.cumsum(held[near]), k)]]
-            near = near[distance[near] <= kth]
-        rows = np.concatenate([np.arange(first[i], first[i] + min(held[i], k)) for i in near]) if len(near) else np.zeros(0, dtype=np.int64)
-        away = np.concatenate([np.full(min(held[i], k), distance[i]) for i in near]) if len(near) else np.zeros(0, dtype=np.int64)
-        best = np.lexsort((ids[rows], away))[:k]
-        out.append((away[best], ids[rows][best]))
-    return out
+    code = ", ".join(f"c{j} long" for j in range(m))
+    return open_.mapInArrow(run, f"{code}, bound int, j int, value long")
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP, bits: int = BITS, segment: int = SEGMENT) -> DataFrame:
     """For each row of queries (vec_id, embedding) its k nearest of vectors by Hamming distance of their sign codes.
 
     Returns query_id, rank (from 1), vec_id, distance; ties go to the smaller vec_id; a query that is itself among the
-    vectors finds itself. Blocks of queries meet blocks of codes; each pair of blocks is searched in a task by multi-index
-    hashing, and the best of all blocks are merged. Every code is in the index, so the result is exact.
+    vectors finds itself. Equal codes are one class, of which the k smallest ids can be wanted; the index has a row for each
+    class and segment. Radius by radius, the buckets at that distance from the segments of each query code that is still
+    open meet the index by an equi-join on (segment, value). A class is taken from the first of its nearest segments, so
+    none comes twice. What no radius up to r finds differs by over r bits in each segment, so by segments * (r + 1) bits at
+    least: a query is answered as soon as its kth verified distance is below that. Every code is in the index, so the result
+    is exact. `segment` should be about the logarithm of the number of codes.
 
     Rows with a null id or vector are in neither; repeated rows of vectors are found each, repeated queries are answered
     once; vectors of another length are cut or filled with zeros; empty tables give no rows.
     """
     if bits % segment:
         raise ValueError("bits must be a multiple of segment")
-    code = sign_code(F.col("embedding"), bits, segment).alias("code")
-    every = vectors.where("vec_id is not null and embedding is not null").select("vec_id", code)
-    asked = queries.where("vec_id is not null and embedding is not null").select("vec_id", code).dropDuplicates(["vec_id"])
-    n, q = every.count(), asked.count()
-    rows = max(1, min(n // 1024, partitions(vectors.sparkSession)), -(-n // BLOCK_CODES))
-    columns = max(1, -(-q // BLOCK_QUERIES))
-    left = asked.withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(columns)).cast("int")).withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
-    right = every.withColumn("ib", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(rows)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
-
-    def pair(asked: pd.DataFrame, codes: pd.DataFrame) -> pd.DataFrame:
-        if not len(asked) or not len(codes):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "distance": []}).astype("int64")
-        found = search_block(np.array(asked["code"].tolist(), dtype=np.int64), np.array(codes["code"].tolist(), dtype=np.int64), codes["vec_id"].to_numpy(), k, segment)
-        return pd.DataFrame({
-            "query_id": np.repeat(asked["vec_id"].to_numpy(), [len(i) for _, i in found]),
-            "vec_id": np.concatenate([i for _, i in found]), "distance": np.concatenate([d for d, _ in found]),
-        })
-
-    found = left.groupBy("qb", "ib").cogroup(right.groupBy("qb", "ib")).applyInPandas(pair, "query_id long, vec_id long, distance long")
+    m, spark = bits // segment, vectors.sparkSession
+    names = [f"c{j}" for j in range(m)]
+    code = [F.get(sign_code(F.col("embedding"), bits, segment), F.lit(j)).cast("long").alias(c) for j, c in enumerate(names)]
+    every = vectors.where("vec_id is not null and embedding is not null").select("vec_id", *code)
+    asked = stored(queries.where("vec_id is not null and embedding is not null").select("vec_id", *code).dropDuplicates(["vec_id"]))
+    least = every.withColumn("n", F.row_number().over(Window.partitionBy(*names).orderBy("vec_id"))).where(F.col("n") <= k)
+    classes = least.groupBy(*names).agg(F.collect_list("vec_id").alias("ids"))
+    each = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.col(c).alias("value")) for j, c in enumerate(names)]))
+    index = stored(classes.select(*[F.col(c).alias(f"d{j}") for j, c in enumerate(names)], "ids", each.alias("s")).select("s.j", "s.value", *[f"d{j}" for j in range(m)], "ids"))
+
+    total = index.where("j = 0").agg(F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()[0]  # fewer than k: all are found
+    known = {}
+    if segment <= KNOWN_BITS:  # 2 ** KNOWN_BITS marks for each segment at most, whatever the number of codes
+        for row in index.groupBy("j").agg(F.collect_set("value").alias("values")).collect():
+            known[row["j"]] = np.zeros(1 << segment, dtype=bool)
+            known[row["j"]][row["values"]] = True
+
+    open_ = stored(asked.select(*names).distinct().withColumn("bound", F.lit(bits).cast("int")))
+    best = spark.createDataFrame([], ", ".join(f"{c} long" for c in names) + ", distance int, vec_id long")
+    done = None
+    nearest = Window.partitionBy(*names).orderBy("distance", "vec_id")
+    for radius in range(segment + 1):
+        if open_.isEmpty():
+            break
+        apart = [_away(F.col(c), F.col(f"d{j}")) for j, c in enumerate(names)]
+        found = _probes(open_, m, segment, radius, known).join(index, ["j", "value"])
+        # Its own segment is at this radius; of those at its least distance it must be the first.
+        first = F.lit(True)
+        for i in range(m):
+            first = first & F.when(F.col("j") > i, apart[i] > radius).when(F.col("j") < i, apart[i] >= radius).otherwise(F.lit(True))
+        found = found.where(first).withColumn("distance", sum(apart[1:], apart[0]).cast("int")).where("distance <= bound")
+        best = best.unionByName(found.select(*names, "distance", F.explode("ids").alias("vec_id")))
+        best = stored(best.withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= k).drop("n"))
+        kth = best.groupBy(*names).agg(F.when(F.count("*") >= k, F.max("distance")).when(F.count("*") >= total, F.lit(-1)).alias("kth"))
+        kth = open_.join(kth, names, "left")
+        ready = F.coalesce(F.col("kth") < m * (radius + 1), F.lit(False)) if radius < segment else F.lit(True)
+        now = stored(kth.select(*names, ready.alias("ready"), F.coalesce("kth", F.lit(bits)).cast("int").alias("bound")))
+        answered = best.join(now.where("ready").select(*names), names, "left_semi")
+        done = answered if done is None else done.unionByName(answered)
+        open_ = now.where("not ready").select(*names, "bound")
+        best = best.join(open_.select(*names), names, "left_semi")
+    if done is None:
+        done = best
+    found = asked.withColumnRenamed("vec_id", "query_id").join(done, names)
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.col("distance").cast("int").alias("distance"))
+    return ranked.select("query_id", "rank", "vec_id", "distance")
 
 
 ORACLE_SQL = """

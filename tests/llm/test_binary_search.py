@@ -26,6 +26,15 @@ def test_exact_for_spread_and_equal_codes(spark):
     assert many == plain(vectors, {0: dict(vectors)[0]}, 2000)
 
 
+def test_other_segments_and_unknown_values(spark, monkeypatch):
+    monkeypatch.setattr(B, "KNOWN_BITS", 4)
+    r = random.Random(5)
+    vectors = [(i, [r.gauss(0, 1) for _ in range(64)]) for i in range(120)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    queries = {i: v for i, v in vectors if i % 40 == 0}
+    assert sorted(tuple(x) for x in B.top_k(df, df.where("vec_id % 40 = 0"), 7, segment=8).collect()) == plain(vectors, queries, 7)
+
+
 def test_repeated_rows_and_empty(spark):
     df = spark.createDataFrame([(1, [1.0] * 64), (1, [1.0] * 64), (2, [-1.0] * 64)], "vec_id long, embedding array<double>")
     assert sorted(tuple(x) for x in B.top_k(df, df.where("vec_id = 1"), 5).collect()) == [(1, 1, 1, 0), (1, 2, 1, 0), (1, 3, 2, 64)]
