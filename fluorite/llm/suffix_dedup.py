@@ -268,7 +268,8 @@ def _dealt(hashed: DataFrame) -> DataFrame:
 
 def repeats(blocks: DataFrame, least: int = LEAST, hot_documents: int = HOT_DOCUMENTS) -> DataFrame:
     """For each block of different texts the byte ranges of them that repeat from texts of smaller doc_ids."""
-    parts = partitions(blocks.sparkSession) * SHARDS
+    parts = partitions(blocks.sparkSession)
+    shards = parts * SHARDS
 
     def fingerprints(frame: pd.DataFrame) -> pd.DataFrame:
         ids, texts, _ = _texts(frame)
@@ -307,7 +308,7 @@ def repeats(blocks: DataFrame, least: int = LEAST, hot_documents: int = HOT_DOCU
         frame.drop(frame.index, inplace=True)  # its texts are held as bytes now
         wanted = np.sort(np.concatenate([np.frombuffer(a, np.uint64) for a in flagged["a"]]))
         hot = set(np.concatenate([np.frombuffer(b, np.uint64) for b in flagged["b"]]).tolist())
-        out: list[list] = [[] for _ in range(parts)]
+        out: list[list] = [[] for _ in range(shards)]
         for d, lo, hi, f in runs(texts, least):
             at = np.minimum(np.searchsorted(wanted, f), len(wanted) - 1)
             use = np.flatnonzero(wanted[at] == f)
@@ -317,9 +318,9 @@ def repeats(blocks: DataFrame, least: int = LEAST, hot_documents: int = HOT_DOCU
                     for s in range(start, end + 1):
                         string = text[s : s + least]
                         own = int.from_bytes(hashlib.blake2b(string, digest_size=7).digest(), "little")
-                        out[own % parts].append((own, doc, s, string))
+                        out[own % shards].append((own, doc, s, string))
                 else:
-                    out[key % parts].append((key, doc, start, text[start : end + least]))
+                    out[key % shards].append((key, doc, start, text[start : end + least]))
         rows = []
         for k, some in enumerate(out):
             out[k] = []
