@@ -72,7 +72,7 @@ def order_components(a: DataFrame, traces: DataFrame) -> DataFrame:
     return score.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "k")))
 
 
-def by_size(a: DataFrame, smallest: int, largest: int) -> DataFrame:
+def by_size(a: DataFrame, smallest: float, largest: float) -> DataFrame:
     """Footprints of more than `smallest` and fewer than `largest` pixels."""
     keep = a.groupBy("k").agg(F.count("*").alias("n")).where((F.col("n") > smallest) & (F.col("n") < largest))
     return a.join(keep, "k", "left_semi")

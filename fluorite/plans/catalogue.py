@@ -81,7 +81,7 @@ def downscale_movie(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(I.downscale(T.pixels(T.frames(spark, d)), D1, 2, 4), "v")
 
 
-@_query(f"WITH {_FRAMES} SELECT t, p::INTEGER AS p, v FROM px WHERE session = 3 UNION ALL SELECT t + 1000000, p::INTEGER, v FROM px WHERE session = 5")
+@_query(f"WITH {_FRAMES}, s AS (SELECT session, max(t) AS last FROM frames GROUP BY 1), pl AS (SELECT session, (row_number() OVER (ORDER BY session) - 1) * greatest(1000000, max(last) OVER () + 1) AS start FROM s) SELECT t + start AS t, p::INTEGER AS p, v FROM px JOIN pl USING (session)")
 def concatenate_sessions(spark: SparkSession, d: str) -> DataFrame:
     """Every session's frames, one session after the other: a session starts at its place times 1,000,000 steps, or times
     as many as the longest one needs."""
@@ -92,7 +92,7 @@ def concatenate_sessions(spark: SparkSession, d: str) -> DataFrame:
     return T.pixels(f).join(F.broadcast(places), "session").select((F.col("t") + F.col("start")).alias("t"), "p", "v")
 
 
-@_query("SELECT event_id, json_extract_string(props, '$.' || k) AS setting, k FROM events, (VALUES ('k')) keys(k) WHERE event_id % 7 = 0")
+@_query("SELECT event_id, json_extract_string(props, '$.' || k) AS setting, k FROM events, (VALUES ('k')) keys(k)")
 def header_setting(spark: SparkSession, d: str) -> DataFrame:
     e = T.table(spark, d, "events")
     return e.select("event_id", F.get_json_object("props", "$.k").alias("setting"), F.lit("k").alias("k"))
@@ -317,7 +317,7 @@ def ata_overlap(spark: SparkSession, d: str) -> DataFrame:
     return FP.overlap(T.footprints(spark, d))
 
 
-_SMALL = f"{_FOOT}, a AS (SELECT k, p % 64 AS p, sum(w) AS w FROM fp WHERE k <= 12 GROUP BY ALL), c AS (SELECT o_custkey % 12 + 1 AS k, o_orderkey % 500 AS t, round(sum(o_totalprice), 2) AS v FROM orders GROUP BY ALL)"
+_SMALL = f"{_FOOT}, a AS (SELECT k, p % 64 AS p, sum(w) AS w FROM fp GROUP BY ALL), c AS (SELECT l_suppkey AS k, o_orderkey % 500 AS t, round(sum(o_totalprice), 2) AS v FROM orders JOIN (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) ON o_orderkey = l_orderkey GROUP BY ALL)"
 
 
 def _components(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -359,26 +359,29 @@ def order_components(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(FP.order_components(*_components(spark, d)), "score", places=1)
 
 
-@_query(f"WITH {_FOOT}, n AS (SELECT k, count(*) AS n FROM fp GROUP BY k) SELECT fp.k, fp.p, fp.w FROM fp JOIN n USING (k) WHERE n.n > 560 AND n.n < 600")
+@_query(f"WITH {_FOOT}, n AS (SELECT k, count(*) AS n FROM fp GROUP BY k), m AS (SELECT avg(n) AS m FROM n) SELECT fp.k, fp.p, fp.w FROM fp JOIN n USING (k), m WHERE n.n > 0.99 * m AND n.n < 1.02 * m")
 def components_by_size(spark: SparkSession, d: str) -> DataFrame:
-    return FP.by_size(T.footprints(spark, d), 560, 600)
+    """Footprints of about the usual size: one number, the mean, sets the bounds."""
+    a = T.footprints(spark, d)
+    mean = a.groupBy("k").count().agg(F.avg("count")).first()[0] or 0.0
+    return FP.by_size(a, 0.99 * mean, 1.02 * mean)
 
 
-_METRICS = "m AS (SELECT p_partkey AS k, p_size / 50.0 AS r, p_retailprice / 400.0 AS snr FROM part)"
+_METRICS = "m AS (SELECT p_partkey AS k, p_size / 50.0 AS r, p_retailprice / 250.0 AS snr FROM part)"
 
 
 def _metrics(spark: SparkSession, d: str) -> DataFrame:
-    return T.table(spark, d, "part").select(F.col("p_partkey").alias("k"), (F.col("p_size").cast("double") / 50.0).alias("r"), (F.col("p_retailprice") / 400.0).alias("snr"))
+    return T.table(spark, d, "part").select(F.col("p_partkey").alias("k"), (F.col("p_size").cast("double") / 50.0).alias("r"), (F.col("p_retailprice") / 250.0).alias("snr"))
 
 
-@_query(f"WITH {_METRICS} SELECT k FROM (SELECT k FROM m WHERE r >= 0.8 UNION SELECT k FROM m WHERE snr > 3.5) EXCEPT SELECT k FROM m WHERE r <= 0.1 OR snr <= 2.5")
+@_query(f"WITH {_METRICS} SELECT k FROM (SELECT k FROM m WHERE r >= 0.8 UNION SELECT k FROM m WHERE snr > 3.8) EXCEPT SELECT k FROM m WHERE r <= 0.1 OR snr <= 3.65")
 def quality_accept(spark: SparkSession, d: str) -> DataFrame:
-    return FP.quality(_metrics(spark, d), 0.8, 0.1, 3.5, 2.5).where("accepted").select("k")
+    return FP.quality(_metrics(spark, d), 0.8, 0.1, 3.8, 3.65).where("accepted").select("k")
 
 
-@_query(f"WITH {_METRICS} SELECT k FROM m WHERE NOT ((r >= 0.8 OR snr > 3.5) AND NOT (r <= 0.1 OR snr <= 2.5))")
+@_query(f"WITH {_METRICS} SELECT k FROM m WHERE NOT ((r >= 0.8 OR snr > 3.8) AND NOT (r <= 0.1 OR snr <= 3.65))")
 def quality_reject(spark: SparkSession, d: str) -> DataFrame:
-    return FP.quality(_metrics(spark, d), 0.8, 0.1, 3.5, 2.5).where("not accepted").select("k")
+    return FP.quality(_metrics(spark, d), 0.8, 0.1, 3.8, 3.65).where("not accepted").select("k")
 
 
 @_query(f"WITH {_FRAMES}, y AS (SELECT unnest([0, 2, 4]) AS y0), x AS (SELECT unnest([0, 2, 4]) AS x0) SELECT y0 // 2 * 3 + x0 // 2 AS tile, round(avg(v), 6) AS v, count(*) AS n FROM px, y, x WHERE p % 8 >= y0 AND p % 8 < y0 + 4 AND p // 8 >= x0 AND p // 8 < x0 + 4 GROUP BY ALL")
@@ -411,9 +414,9 @@ def active_in_sessions(spark: SparkSession, d: str) -> DataFrame:
     return M.active_in(T.masks(spark, d), ["A", "R"])
 
 
-@_query("SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'N' EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag <> 'N'")
+@_query("SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_returnflag = 'N' EXCEPT SELECT l_orderkey FROM lineitem WHERE l_returnflag <> 'N'")
 def only_in_session(spark: SparkSession, d: str) -> DataFrame:
-    m = T.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("set_id"), F.col("l_partkey").alias("k"))
+    m = T.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("set_id"), F.col("l_orderkey").alias("k"))
     return M.active_in(m, ["N"], only=True)
 
 
@@ -423,7 +426,7 @@ def assignment_pivot(spark: SparkSession, d: str) -> DataFrame:
     return m.groupBy("k").agg(*[F.countDistinct(F.when(F.col("l_returnflag") == s, F.col("l_suppkey"))).alias(s) for s in ("A", "N", "R")])
 
 
-@_query("SELECT l_suppkey AS k, '[' || string_agg(DISTINCT '[' || (l_partkey % 50) || ',' || (l_partkey // 50) || ']', ',' ORDER BY '[' || (l_partkey % 50) || ',' || (l_partkey // 50) || ']') || ']' AS coordinates FROM lineitem WHERE l_linenumber = 7 GROUP BY 1")
+@_query("SELECT l_suppkey AS k, '[' || string_agg(DISTINCT '[' || (l_partkey % 50) || ',' || (l_partkey // 50) || ']', ',' ORDER BY '[' || (l_partkey % 50) || ',' || (l_partkey // 50) || ']') || ']' AS coordinates FROM lineitem GROUP BY 1")
 def roi_json(spark: SparkSession, d: str) -> DataFrame:
     rows = T.table(spark, d, "lineitem")
     cell = F.format_string("[%d,%d]", F.expr(f"l_partkey % {W}"), F.expr(f"l_partkey div {W}"))
@@ -510,8 +513,10 @@ def assignment_optimal(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
+    from . import measures  # noqa: F401  registers its own
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import measures  # noqa: F401
     return dict(_SQL)

@@ -22,7 +22,7 @@ def plain(frame, columns):
     def value(v):
         if v is None or v is pd.NaT or isinstance(v, float) and math.isnan(v):
             return None
-        return v if isinstance(v, str) else float(v)
+        return v if isinstance(v, str) else float(v) + 0.0  # no negative zero
 
     return sorted((tuple(map(value, r)) for r in frame[columns].astype(object).itertuples(index=False)), key=repr)
 
