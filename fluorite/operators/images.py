@@ -1,15 +1,20 @@
 """Operators on frames: stencils, summary and correlation images.
 
-A stencil reads a frame's own array, so it is a projection without any shuffle; an image over time is one grouped
+A stencil reads a frame's own array, a batch of frames at once, without any shuffle; an image over time is one grouped
 aggregate, combined on the map side: what is shuffled is pixels by neighbours, not the movie.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .motion import images as image_batch
+from .motion import map_frames
+
 FOUR = ((-1, 0), (1, 0), (0, -1), (0, 1))
 EIGHT = tuple((a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0))
 
@@ -38,32 +43,46 @@ def neighbours(frames: DataFrame, d1: int, d2: int, offsets, keep: tuple[str, ..
     return frames.select(*keep, F.explode(pair).alias("c")).select(*keep, "c.p", "c.o", "c.v", "c.v2")
 
 
-def filter_frames(frames: DataFrame, d1: int, d2: int, kernel: dict[tuple[int, int], float]) -> DataFrame:
-    """Frames filtered by a kernel {(dy, dx): weight}, borders repeated outwards. No shuffle."""
-    def at(p: Column) -> Column:
-        total = F.lit(0.0)
+def _borders(x: np.ndarray, reach: int, mode: str = "edge") -> np.ndarray:
+    return np.pad(x, ((0, 0), (reach, reach), (reach, reach)), mode=mode)
+
+
+def filter_frames(frames: DataFrame, d1: int, d2: int, kernel: dict[tuple[int, int], float], mode: str = "edge") -> DataFrame:
+    """Frames filtered by a kernel {(dy, dx): weight}; borders are repeated outwards, or as another mode of np.pad has it.
+    A batch of frames at once, no shuffle."""
+    reach = max(max(abs(a), abs(b)) for a, b in kernel)
+
+    def run(x: np.ndarray) -> np.ndarray:
+        wide, out = _borders(x, reach, mode), np.zeros(x.shape)
         for (dy, dx), w in sorted(kernel.items()):
-            y = F.greatest(F.lit(0), F.least(F.lit(d1 - 1), p % d1 + dy))
-            x = F.greatest(F.lit(0), F.least(F.lit(d2 - 1), F.floor(p / d1).cast("int") + dx))
-            total = total + F.get("img", y + x * d1) * w
-        return total
+            out += w * wide[:, reach + dy : reach + dy + d1, reach + dx : reach + dx + d2]
+        return out
+
+    return map_frames(frames, d1, d2, run)
+
+
+def rank_frames(frames: DataFrame, d1: int, d2: int, reach: int, what: str, mode: str = "edge") -> DataFrame:
+    """Frames filtered by the median, maximum or minimum of squares of 2 * reach + 1 pixels, borders as above."""
+    def run(x: np.ndarray) -> np.ndarray:
+        wide = _borders(x, reach, mode)
+        around = np.stack([wide[:, a : a + d1, b : b + d2] for a in range(2 * reach + 1) for b in range(2 * reach + 1)])
+        return {"median": np.median, "max": np.max, "min": np.min}[what](around, axis=0)
 
-    return frames.withColumn("img", F.transform(F.sequence(F.lit(0), F.lit(d1 * d2 - 1)), at))
+    return map_frames(frames, d1, d2, run)
 
 
-def rank_frames(frames: DataFrame, d1: int, d2: int, reach: int, what: str) -> DataFrame:
-    """Frames filtered by the median or maximum of squares of 2 * reach + 1 pixels, borders repeated outwards."""
-    def at(p: Column) -> Column:
-        around = []
-        for dy in range(-reach, reach + 1):
-            for dx in range(-reach, reach + 1):
-                y = F.greatest(F.lit(0), F.least(F.lit(d1 - 1), p % d1 + dy))
-                x = F.greatest(F.lit(0), F.least(F.lit(d2 - 1), F.floor(p / d1).cast("int") + dx))
-                around.append(F.get("img", y + x * d1))
-        values = F.array_sort(F.array(*around))
-        return F.get(values, F.lit(len(around) // 2 if what == "median" else len(around) - 1))
+def bilateral(frames: DataFrame, d1: int, d2: int, reach: int, space: float, values: float) -> DataFrame:
+    """Frames smoothed by neighbours, weighted by how near they are in space and in value: edges stay."""
+    def run(x: np.ndarray) -> np.ndarray:
+        wide, total, weight = _borders(x, reach), np.zeros(x.shape), np.zeros(x.shape)
+        for a in range(-reach, reach + 1):
+            for b in range(-reach, reach + 1):
+                other = wide[:, reach + a : reach + a + d1, reach + b : reach + b + d2]
+                w = np.exp(-(a * a + b * b) / (2 * space * space) - (other - x) ** 2 / (2 * values * values))
+                total, weight = total + w * other, weight + w
+        return total / weight
 
-    return frames.withColumn("img", F.transform(F.sequence(F.lit(0), F.lit(d1 * d2 - 1)), at))
+    return map_frames(frames, d1, d2, run)
 
 
 def box(reach: int) -> dict[tuple[int, int], float]:
@@ -142,32 +161,44 @@ def crispness(frames: DataFrame, d1: int, d2: int) -> DataFrame:
     return m.select(F.coalesce(down, F.lit(0.0)).alias("a"), F.coalesce(right, F.lit(0.0)).alias("b")).agg(F.sqrt(F.sum(F.col("a") * F.col("a") + F.col("b") * F.col("b"))).alias("crispness"))
 
 
-def shift_scores(frames: DataFrame, template: DataFrame, d1: int, d2: int, reach: int) -> DataFrame:
-    """For each frame and whole shift up to `reach`, its correlation with a template (p, v) over the pixels both have.
-
-    The template is one image; it reaches each frame by an equi-join on pixels.
-    """
-    offsets = tuple((dy, dx) for dy in range(-reach, reach + 1) for dx in range(-reach, reach + 1))
-    names = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in offsets])
-    moved = neighbours(frames, d1, d2, offsets, ("t",)).select("t", "p", F.get(names, "o").alias("s"), "v2")
-    joined = moved.join(template.withColumnRenamed("v", "ref"), "p")
-    return joined.groupBy("t", "s.dy", "s.dx").agg(F.corr("v2", "ref").alias("r"))
-
-
 def rigid_shifts(frames: DataFrame, template: DataFrame, d1: int, d2: int, reach: int) -> DataFrame:
-    """Each frame's best whole shift (the first in order of dy, dx among equals)."""
-    best = Window.partitionBy("t").orderBy(F.round("r", 9).desc(), "dy", "dx")
-    scores = shift_scores(frames, template, d1, d2, reach).where("r is not null")
-    return scores.withColumn("n", F.row_number().over(best)).where("n = 1").drop("n")
+    """Each frame's best whole shift up to `reach` (the first in order of dy, dx among equals), by its correlation with a
+    template (p, v), one image, over the pixels that both have."""
+    ref = np.zeros(d1 * d2)
+    for r in template.collect():  # one image
+        ref[r["p"]] = r["v"]
+    ref = ref.reshape(d2, d1).T
+    offsets = [(dy, dx) for dy in range(-reach, reach + 1) for dx in range(-reach, reach + 1)]
+
+    def run(batches):
+        for batch in batches:
+            x = image_batch(batch, d1, d2)
+            scores = []
+            for dy, dx in offsets:
+                y0, y1, x0, x1 = max(0, -dy), min(d1, d1 - dy), max(0, -dx), min(d2, d2 - dx)
+                a, b = x[:, y0 + dy : y1 + dy, x0 + dx : x1 + dx].reshape(len(x), -1), ref[y0:y1, x0:x1].ravel()
+                a, b = a - a.mean(axis=1, keepdims=True), b - b.mean()
+                size = np.sqrt((a * a).sum(axis=1) * (b @ b))
+                scores.append(np.where(size > 0, a @ b / np.where(size > 0, size, 1), np.nan))
+            r = np.round(np.stack(scores, axis=1), 9)
+            some = ~np.isnan(r).all(axis=1)
+            best = np.where(np.isnan(r), -2, r).argmax(axis=1)
+            at = np.flatnonzero(some)
+            pick = np.array(offsets, dtype=np.int32)[best[at]]
+            score = np.stack(scores, axis=1)[at, best[at]]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(pick[:, 0]), pa.array(pick[:, 1]), pa.array(score)], names=["t", "dy", "dx", "r"])
+
+    return frames.select("t", "img").mapInArrow(run, f"t {dict(frames.dtypes)['t']}, dy int, dx int, r double")
 
 
 def apply_shift(frames: DataFrame, d1: int, d2: int, dy: int, dx: int, fill: float = 0.0) -> DataFrame:
     """Frames moved by a whole shift; what comes in from outside has the value `fill`."""
-    def at(p: Column) -> Column:
-        y, x = p % d1 - dy, F.floor(p / d1).cast("int") - dx
-        return F.when((y >= 0) & (y < d1) & (x >= 0) & (x < d2), F.get("img", y + x * d1)).otherwise(F.lit(fill))
+    def run(x: np.ndarray) -> np.ndarray:
+        out = np.full(x.shape, fill)
+        out[:, max(0, dy) : d1 + min(0, dy), max(0, dx) : d2 + min(0, dx)] = x[:, max(0, -dy) : d1 - max(0, dy), max(0, -dx) : d2 - max(0, dx)]
+        return out
 
-    return frames.withColumn("img", F.transform(F.sequence(F.lit(0), F.lit(d1 * d2 - 1)), at))
+    return map_frames(frames, d1, d2, run)
 
 
 def ring(d1: int, d2: int, radius: int) -> list[tuple[int, int]]:
@@ -177,8 +208,17 @@ def ring(d1: int, d2: int, radius: int) -> list[tuple[int, int]]:
 
 
 def ring_background(frames: DataFrame, d1: int, d2: int, radius: int) -> DataFrame:
-    """The mean over each pixel's ring, pixel by pixel and frame by frame."""
-    return neighbours(frames, d1, d2, tuple(ring(d1, d2, radius)), ("t",)).groupBy("t", "p").agg(F.avg("v2").alias("v"))
+    """(t, p, v): the mean over each pixel's ring, as far as it lies in the field. A stencil with a count, no shuffle."""
+    around, reach = ring(d1, d2, radius), radius + 1
+
+    def run(x: np.ndarray) -> np.ndarray:
+        wide = np.pad(x, ((0, 0), (reach, reach), (reach, reach)))
+        here = np.pad(np.ones((d1, d2)), reach)
+        cut = lambda z, a, b: z[..., reach + a : reach + a + d1, reach + b : reach + b + d2]
+        n = sum(cut(here, a, b) for a, b in around)
+        return sum(cut(wide, a, b) for a, b in around) / np.where(n > 0, n, np.nan)
+
+    return map_frames(frames, d1, d2, run).select("t", F.posexplode("img").alias("p", "v")).where(~F.isnan("v"))
 
 
 def affinity(frames: DataFrame, d1: int, d2: int, top: int) -> DataFrame:

@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import footprints as FP
+from ..operators import images as I
 from ..operators import matching as M
 from ..operators import measures as E
+from ..operators import motion as MO
 from ..operators import series as S
 from ..sources import tables as T
-from .catalogue import _BOXES, _FOOT, _FRAMES, _IOU, _MASKS, _PEAKS, _SMALL, _TRACES, _components, _query, _rounded, D1, W
+from .catalogue import _BOXES, _FOOT, _FRAMES, _IOU, _MASKS, _PEAKS, _SMALL, _TRACES, _components, _query, _rounded, D1, D2, W
 
 
 @_query(f"WITH {_TRACES}, b AS (SELECT t, avg(v) AS b FROM tr GROUP BY t), f AS (SELECT k, t, v, quantile_cont(v, 0.08) OVER (PARTITION BY k ORDER BY t ROWS BETWEEN 25 PRECEDING AND 25 FOLLOWING) AS f FROM tr) SELECT k, t, round((v - f) / nullif(f + b, 0), 6) AS dff FROM f JOIN b USING (t)")
@@ -176,3 +178,45 @@ def update_order(spark: SparkSession, d: str) -> DataFrame:
 def merged_components(spark: SparkSession, d: str) -> DataFrame:
     a, c = _components(spark, d)
     return E.merged(a, c, E.merge_groups(a, c, 0.22, 0.9))[0]
+
+
+# Motion: the tests hold these against movies moved by known shifts
+
+
+def _movie(spark: SparkSession, d: str) -> tuple[DataFrame, object]:
+    f = T.frames(spark, d).select("t", "img")
+    return f, MO.template_of(f, D1, D2)
+
+
+@_query()
+def motion_rigid_shifts(spark: SparkSession, d: str) -> DataFrame:
+    f, template = _movie(spark, d)
+    return MO.rigid_shifts(f, template, D1, D2, 2)
+
+
+@_query()
+def motion_rigid_movie(spark: SparkSession, d: str) -> DataFrame:
+    return MO.rigid(T.frames(spark, d).select("t", "img"), D1, D2, 2)[0]
+
+
+@_query()
+def motion_tile_shifts(spark: SparkSession, d: str) -> DataFrame:
+    f, template = _movie(spark, d)
+    return MO.piecewise_shifts(f, template, D1, D2, 2, 4, 2, 1)
+
+
+@_query()
+def motion_piecewise_movie(spark: SparkSession, d: str) -> DataFrame:
+    f, template = _movie(spark, d)
+    return MO.correct_piecewise(f, template, D1, D2, 2, 4, 2, 1)
+
+
+@_query()
+def motion_apply_shifts(spark: SparkSession, d: str) -> DataFrame:
+    f, template = _movie(spark, d)
+    return MO.apply_shifts(f, MO.rigid_shifts(f, template, D1, D2, 2), D1, D2)
+
+
+@_query()
+def bilateral_blur(spark: SparkSession, d: str) -> DataFrame:
+    return I.bilateral(T.frames(spark, d), D1, D2, 1, 1.0, 0.2)
