@@ -172,3 +172,86 @@ def spike_times(x: np.ndarray, width: int = 3, z: float = 3.5, rounds: int = 3)
         v = np.correlate(x, shape - shape.mean(), mode="same")
         found = crossings(v / (1.4826 * np.median(abs(v)) or 1.0), z)
     return found
+
+
+def impulse(g: np.ndarray, n: int) -> np.ndarray:
+    """What an autoregressive trace makes of one spike, over n steps."""
+    h = np.zeros(n)
+    for t in range(n):
+        h[t] = 1.0 if t == 0 else sum(a * h[t - i] for i, a in enumerate(g, 1) if t >= i)
+        if t > 10 and abs(h[t]) < 1e-9 and abs(h[t - 1]) < 1e-9:
+            break
+    return h
+
+
+def sparse_spikes(y: np.ndarray, g: np.ndarray, penalty: float = 0.0, rounds: int = 400) -> tuple[np.ndarray, np.ndarray]:
+    """(trace, spikes) of least |y - trace|^2 / 2 + penalty * spikes with spikes >= 0, for an autoregressive trace of any
+    order: accelerated projected gradients, each by two transforms."""
+    n = len(y)
+    if not n:
+        return np.zeros(0), np.zeros(0)
+    size = 1 << (2 * n - 1).bit_length()
+    spectrum = np.fft.rfft(impulse(g, n), size)
+    run = lambda s: np.fft.irfft(np.fft.rfft(s, size) * spectrum, size)[:n]
+    back = lambda r: np.fft.irfft(np.fft.rfft(r, size) * np.conj(spectrum), size)[:n]
+    step, s, z, k = 1.0 / float((abs(spectrum) ** 2).max()), np.zeros(n), np.zeros(n), 1.0
+    for _ in range(rounds):
+        new = np.maximum(z - step * (back(run(z) - y) + penalty), 0.0)
+        if ((z - new) @ (new - s)) > 0:
+            k = 1.0  # the momentum points uphill: it starts anew
+        nk = (1 + math.sqrt(1 + 4 * k * k)) / 2
+        z, change = new + (k - 1) / nk * (new - s), abs(new - s).max()
+        s, k = new, nk
+        if change < 1e-9 * max(1.0, s.max()):
+            break
+    return run(s), s
+
+
+def constrained_spikes(y: np.ndarray, g: np.ndarray, noise: float, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, float]:
+    """(trace, spikes, penalty): the sparsest spikes whose trace leaves residuals of size `noise`, by bisection of the penalty."""
+    solve = (lambda p: oasis_ar1(y, float(g[0]), p)) if len(g) == 1 else (lambda p: sparse_spikes(y, g, p))
+    left = lambda c: float(((y - c) ** 2).mean())
+    c, s = solve(0.0)
+    if left(c) >= noise * noise:
+        return c, s, 0.0
+    low, high = 0.0, max(1e-6, float(abs(y).max()))
+    while left(solve(high)[0]) < noise * noise and high < 1e12:
+        high *= 4
+        if not solve(high)[0].any():
+            break
+    for _ in range(rounds):
+        mid = (low + high) / 2
+        low, high = (mid, high) if left(solve(mid)[0]) < noise * noise else (low, mid)
+    c, s = solve(low)
+    return c, s, low
+
+
+def stable_ar(x: np.ndarray, order: int, noise: float) -> np.ndarray:
+    """Estimated coefficients whose roots are real, positive and below one, as decays are."""
+    g = ar_coefficients(x, order, noise=noise)
+    roots = np.clip(np.sort(np.roots([1.0, *-g]).real), 0.02, 0.98)
+    return -np.poly(roots)[1:]
+
+
+def nnls_gram(gram: np.ndarray, b: np.ndarray, rounds: int = 0) -> np.ndarray:
+    """Non-negative least squares from the products alone: x >= 0 of least x' gram x / 2 - b' x, by active sets."""
+    n = len(b)
+    x, passive, w, tol = np.zeros(n), np.zeros(n, dtype=bool), b.astype(float).copy(), 1e-10 * max(1.0, float(abs(b).max(initial=0.0)))
+    for _ in range(rounds or 3 * n):
+        if passive.all() or w[~passive].max(initial=-np.inf) <= tol:
+            break
+        passive[np.flatnonzero(~passive)[w[~passive].argmax()]] = True
+        while passive.any():
+            z = np.zeros(n)
+            z[passive] = np.linalg.lstsq(gram[np.ix_(passive, passive)], b[passive], rcond=None)[0]
+            if z[passive].min() > 0:
+                break
+            bad = passive & (z <= 0)
+            x = x + (x[bad] / np.maximum(x[bad] - z[bad], 1e-300)).min() * (z - x)
+            passive &= x > 1e-12
+            x[~passive] = 0
+        else:
+            z = np.zeros(n)
+        x = z
+        w = b - gram @ x
+    return x

@@ -23,6 +23,22 @@ def deconvolve(traces: DataFrame, g: float | None = None, penalty: float = 0.0)
     return traces.select("k", "t", "v").groupBy("k").applyInPandas(run, f"k {dict(traces.dtypes)['k']}, t {dict(traces.dtypes)['t']}, c double, s double")
 
 
+def constrained(traces: DataFrame, order: int = 1) -> DataFrame:
+    """(k, t, c, s): denoised traces and the sparsest spikes that leave residuals of the trace's own noise, for
+    autoregressive traces of an order that is estimated, as is the noise; the baseline is a low percentile."""
+    kind = dict(traces.dtypes)
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("t")
+        y = frame["v"].to_numpy(dtype=float)
+        y = y - np.percentile(y, 15)
+        noise = K.noise_fft(y)
+        c, s, _ = K.constrained_spikes(y, K.stable_ar(y, order, noise), noise)
+        return pd.DataFrame({"k": frame["k"], "t": frame["t"], "c": c, "s": s})
+
+    return traces.select("k", "t", "v").groupBy("k").applyInPandas(run, f"k {kind['k']}, t {kind['t']}, c double, s double")
+
+
 def trace_statistics(traces: DataFrame, steps: int = 5) -> DataFrame:
     """(k, mode, noise, fitness): half-sample mode, noise from the upper frequencies, and the log-tail event fitness."""
     def run(frame: pd.DataFrame) -> pd.DataFrame:
@@ -75,16 +91,3 @@ def extract(pixels: DataFrame, tile_size: int, n: int, reach: int, rounds: int =
         return pd.DataFrame(rows, columns=["tile", "k", "p", "w"])
 
     return pixels.groupBy("tile").applyInPandas(run, "tile int, k int, p long, w double")
-
-
-def spatial_nnls(pixels: DataFrame, traces: DataFrame) -> DataFrame:
-    """Non-negative weights (p, k, w) of traces (k, t, v) in each pixel; the traces come as one array for each component."""
-    held = traces.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("t", "v"))).alias("c")).select("k", F.transform("c", lambda x: x["v"]).alias("c")).orderBy("k").collect()
-    names, c = [r["k"] for r in held], np.array([r["c"] for r in held], dtype=float).T
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        y = frame.sort_values("t")["v"].to_numpy(dtype=float)
-        w = K.nnls(c[: len(y)], y)
-        return pd.DataFrame({"p": int(frame["p"].iloc[0]), "k": names, "w": w})
-
-    return pixels.select("p", "t", "v").groupBy("p").applyInPandas(run, f"p long, k {dict(traces.dtypes)['k']}, w double")

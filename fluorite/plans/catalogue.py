@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators import demix as D
 from ..operators import footprints as FP
 from ..operators import grouped as G
 from ..operators import images as I
@@ -503,7 +504,7 @@ def nmf_tiles(spark: SparkSession, d: str) -> DataFrame:
 def spatial_nnls(spark: SparkSession, d: str) -> DataFrame:
     f = T.frames(spark, d)
     a, _ = _components(spark, d)
-    return G.spatial_nnls(T.pixels(f), FP.project(a, T.pixels(f)))
+    return D.spatial_update(f, FP.project(a, T.pixels(f)))
 
 
 @_query()

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import demix as DM
 from ..operators import footprints as FP
+from ..operators import grouped as G
 from ..operators import images as I
 from ..operators import matching as M
 from ..operators import measures as E
@@ -220,3 +222,38 @@ def motion_apply_shifts(spark: SparkSession, d: str) -> DataFrame:
 @_query()
 def bilateral_blur(spark: SparkSession, d: str) -> DataFrame:
     return I.bilateral(T.frames(spark, d), D1, D2, 1, 1.0, 0.2)
+
+
+# Deconvolution and demixing: the tests hold these against traces and movies that are made from known ones
+
+
+@_query()
+def deconvolve_constrained(spark: SparkSession, d: str) -> DataFrame:
+    return G.constrained(T.traces(spark, d), 1)
+
+
+@_query()
+def deconvolve_ar2(spark: SparkSession, d: str) -> DataFrame:
+    return G.constrained(T.traces(spark, d), 2)
+
+
+def _tiles(spark: SparkSession, d: str) -> DataFrame:
+    """A first guess of components: squares of 4 by 4 pixels of the field."""
+    px = FP.tile_pixels(spark.range(D1 * D2).select(F.col("id").alias("p")), D1, D2, 4, 4)
+    return px.select(F.col("tile").cast("long").alias("k"), "p", F.lit(1.0).alias("w"))
+
+
+@_query()
+def demix_footprints(spark: SparkSession, d: str) -> DataFrame:
+    return DM.demix(T.frames(spark, d), _tiles(spark, d))[0]
+
+
+@_query()
+def demix_traces(spark: SparkSession, d: str) -> DataFrame:
+    return DM.demix(T.frames(spark, d), _tiles(spark, d), rounds=1)[1]
+
+
+@_query()
+def background_course(spark: SparkSession, d: str) -> DataFrame:
+    f, a = T.frames(spark, d), FP.normalise(_tiles(spark, d))
+    return DM.background(f, a, FP.project(a, T.pixels(f)))[1]
