@@ -32,8 +32,8 @@ from ._shared import components, packed, partitions, stored, unpacked
 WORDS, THRESHOLD = 3, Fraction(90, 100)
 #: A cluster of more sets, or of more shingles in all, isn't joined whole; a group of more sets is cut into blocks.
 CLUSTER_SETS, CLUSTER_SHINGLES, GROUP_CLASSES = 4096, 4_000_000, 1024
-_WORDS_KEPT = 600_000
-_FLUSH = 2_000_000
+_WORDS_KEPT = 250_000
+_FLUSH = 1_000_000
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD)]
 
