@@ -28,7 +28,7 @@ GRAM = 16
 HOT_DOCUMENTS = 5_000
 #: Bytes of one suffix array, about; blocks of texts, and shards, for each shuffle partition: one is held at a time.
 SHARD_BYTES = 1 << 18
-BLOCKS, SHARDS = 4, 3
+BLOCKS, SHARDS = 3, 2
 _CHUNK = 1 << 17
 _PLACES = 1 << 17
 
