@@ -22,8 +22,9 @@ _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
 NEAR = 50
 #: A term is disclosing if the share of the documents with the term that hold the value near it, drawn towards the value's
 #: share of all documents with this weight, is so large, and if that tells so many bits more than the corpus does. So a
-#: term that one document holds, near a value, is disclosing; one that another document without the value holds too, isn't.
-LEAST_SHARE, LEAST_BITS, WEIGHT = 0.6, 3.0, 0.5
+#: term that one document holds, near a value, is disclosing; one that another document without the value holds too, isn't;
+#: and a corpus of a few hundred documents is too small to call a term rare.
+LEAST_SHARE, LEAST_BITS, WEIGHT = 0.6, 8.0, 0.5
 TERM = r"\p{L}[\p{L}\p{M}'’-]*"
 
 
@@ -210,9 +211,9 @@ def _listed(kinds: tuple[str, ...]) -> Column:
     return F.array_join(F.concat(*map(of, kinds)), ",")
 
 
-def digest(docs: DataFrame) -> DataFrame:
+def digest(docs: DataFrame, **thresholds) -> DataFrame:
     """The contract's columns: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
-    return find(docs.select("doc_id", "text")).select(
+    return find(docs.select("doc_id", "text"), **thresholds).select(
         "doc_id", *[F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS],
         F.sha2(_listed(KINDS), 256).alias("base_sha256"), _listed((*KINDS, "term")).alias("spans"),
     )

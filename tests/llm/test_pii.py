@@ -41,7 +41,7 @@ def test_base_spans_match_plain(spark):
         assert [got[i][f"n_{k}"] for k in P] == [sum(w.startswith(k + ":") for w in want) for k in P]
 
 
-def co_occurrence(texts, near=pii.NEAR, share=pii.LEAST_SHARE, bits=pii.LEAST_BITS, weight=pii.WEIGHT):
+def co_occurrence(texts, near=pii.NEAR, share=pii.LEAST_SHARE, bits=3.0, weight=pii.WEIGHT):
     """A plain count of terms near values."""
     texts = [t or "" for t in texts]
     holders, both, held = Counter(), Counter(), Counter()
@@ -68,12 +68,13 @@ def co_occurrence(texts, near=pii.NEAR, share=pii.LEAST_SHARE, bits=pii.LEAST_BI
 def test_disclosing_terms_go_and_common_ones_stay(spark):
     texts = ["call Zorbla at z@ex.com about noon"] * 2 + ["noon call about Zorbla, at z@ex.com"] + [f"plain call about text{i} at noon" for i in range(80)] + ["ZORBLA said so", "same call Quux at q@ex.com", "plain quux", "said it so"]
     docs = documents(spark, texts, ids=[*range(83), None, *range(84, 87)]).selectExpr("*", "1 as _email", "2 as _terms", "3 as term")
-    terms = {(r["term"], r["value"]) for r in pii.disclosing_terms(pii.with_base(docs.select("doc_id", "text"))).collect()}
+    terms = {(r["term"], r["value"]) for r in pii.disclosing_terms(pii.with_base(docs.select("doc_id", "text")), bits=3.0).collect()}
     assert terms == {("zorbla", "email:z@ex.com"), ("same", "email:q@ex.com")} == co_occurrence(texts)  # quux stands elsewhere too
-    clean = {r["doc_id"]: r for r in pii.sanitise(docs).collect()}
+    clean = {r["doc_id"]: r for r in pii.sanitise(docs, bits=3.0).collect()}
     assert clean[0]["text"] == "call  at <email> about noon" and clean[None]["text"] == " said so" and clean[6]["text"] == texts[6]
     assert clean[0]["n_chars"] == len(clean[0]["text"]) and clean[0]["_email"] == 1
-    assert {r["doc_id"]: r["spans"] for r in pii.digest(docs).collect()}[0] == "email:15:23,term:5:11"
+    assert pii.sanitise(docs).where("doc_id = 0").first()["text"] == "call Zorbla at <email> about noon"  # too few documents
+    assert {r["doc_id"]: r["spans"] for r in pii.digest(docs, bits=3.0).collect()}[0] == "email:15:23,term:5:11"
 
 
 def test_terms_match_a_plain_count(spark):
@@ -87,7 +88,7 @@ def test_terms_match_a_plain_count(spark):
                 words.insert(r.randrange(len(words)), x)
             texts.append(" ".join(words))
     texts += [" ".join(r.choices(common, k=30)) for _ in range(150)] + texts[:5] + [None, "", "a@b.c" * 300]
-    found = {(x["term"], x["value"]) for x in pii.disclosing_terms(pii.with_base(documents(spark, texts).select("doc_id", "text"))).collect()}
+    found = {(x["term"], x["value"]) for x in pii.disclosing_terms(pii.with_base(documents(spark, texts).select("doc_id", "text")), bits=3.0).collect()}
     assert found == co_occurrence(texts) and len(found) > 5
 
 
