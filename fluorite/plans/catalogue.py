@@ -514,10 +514,10 @@ def assignment_optimal(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    from . import measures  # noqa: F401  registers its own
+    from . import detections, measures  # noqa: F401  register their own
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import measures  # noqa: F401
+    from . import detections, measures  # noqa: F401
     return dict(_SQL)
