@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -39,39 +37,36 @@ def in_pixels(boxes: DataFrame, height: int, width: int) -> DataFrame:
     return boxes.withColumns({c: F.round(F.col(c) * (n - 1) + less).cast("int") for c, (less, n) in size.items()})
 
 
+def _folded(rows: DataFrame, item: Column, clash) -> DataFrame:
+    """(image, x): each image's items in their order, without those that clash with one before them that stays."""
+    def add(kept: Column, x: Column) -> Column:
+        return F.when(F.exists(kept, lambda y: clash(x, y)), kept).otherwise(F.concat(kept, F.array(x)))
+
+    each = rows.groupBy("image").agg(F.array_sort(F.collect_list(item)).alias("all"))
+    return each.select("image", F.explode(F.aggregate("all", F.filter("all", lambda x: F.lit(False)), add)).alias("x"))
+
+
 def suppressed(boxes: DataFrame, most: float) -> DataFrame:
     """(image, id): of boxes (image, id, score, y0, x0, y1, x1) those that no better one that stays overlaps by more than
-    `most` (over the union). Better is the larger score, then the smaller id. One image's boxes are one group."""
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["score", "id"], ascending=[False, True])
-        y0, x0, y1, x1 = (frame[c].to_numpy(dtype=float) for c in ("y0", "x0", "y1", "x1"))
-        area, open_, stay = (y1 - y0) * (x1 - x0), np.ones(len(frame), dtype=bool), []
-        for i in range(len(frame)):
-            if open_[i]:
-                stay.append(i)
-                both = np.clip(np.minimum(y1, y1[i]) - np.maximum(y0, y0[i]), 0, None) * np.clip(np.minimum(x1, x1[i]) - np.maximum(x0, x0[i]), 0, None)
-                open_ &= both <= most * (area + area[i] - both)
-        return frame.iloc[stay][["image", "id"]]
-
-    kind = dict(boxes.dtypes)
-    return boxes.select("image", "id", "score", "y0", "x0", "y1", "x1").groupBy("image").applyInPandas(run, f"image {kind['image']}, id {kind['id']}")
+    `most` (over the union). Better is the larger score, then the smaller id. One image's boxes are one array."""
+    def area(x: Column) -> Column:
+        return (x["y1"] - x["y0"]) * (x["x1"] - x["x0"])
+
+    def clash(x: Column, y: Column) -> Column:
+        h = F.greatest(F.lit(0), F.least(x["y1"], y["y1"]) - F.greatest(x["y0"], y["y0"]))
+        w = F.greatest(F.lit(0), F.least(x["x1"], y["x1"]) - F.greatest(x["x0"], y["x0"]))
+        return h * w > most * (area(x) + area(y) - h * w)
+
+    return _folded(boxes, F.struct((-F.col("score")).alias("rank"), "id", "y0", "x0", "y1", "x1"), clash).select("image", "x.id")
 
 
 def matched(pairs: DataFrame, least: float) -> DataFrame:
     """(image, id, truth, iou): found objects, best score first (ties: the smaller id), each take the truth that they overlap
     most and that is still free (ties: the smaller name), among pairs (image, id, score, truth, iou) of at least `least`.
-    Pairs of unlike classes don't belong in pairs. Only pairs over the threshold reach an image's group."""
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        taken, out, used = set(), [], set()
-        frame = frame.sort_values(["score", "id", "iou", "truth"], ascending=[False, True, False, True])
-        for i, t, v in zip(frame["id"], frame["truth"], frame["iou"]):
-            if i not in used and t not in taken:
-                used.add(i), taken.add(t), out.append((frame["image"].iloc[0], i, t, v))
-        return pd.DataFrame(out, columns=["image", "id", "truth", "iou"])
-
-    kind = dict(pairs.dtypes)
-    good = pairs.where(F.col("iou") >= least).select("image", "id", "score", "truth", "iou")
-    return good.groupBy("image").applyInPandas(run, f"image {kind['image']}, id {kind['id']}, truth {kind['truth']}, iou double")
+    Pairs of unlike classes don't belong in pairs. Only pairs over the threshold reach an image's array."""
+    item = F.struct((-F.col("score")).alias("rank"), "id", (-F.col("iou")).alias("far"), "truth")
+    found = _folded(pairs.where(F.col("iou") >= least), item, lambda x, y: (x["id"] == y["id"]) | (x["truth"] == y["truth"]))
+    return found.select("image", "x.id", "x.truth", (-F.col("x.far")).alias("iou"))
 
 
 def recall(pairs: DataFrame, truths: DataFrame, least: float) -> DataFrame:
