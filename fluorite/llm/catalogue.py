@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary_search, fingerprints, language_id, mixing, ngram_join, packing, pii, quality, suffix_dedup, url_filters
+from . import binary_search, centroids, fingerprints, language_id, mixing, ngram_join, packing, pii, quality, simhash, suffix_dedup, url_filters
 from ._shared import table
 
 
@@ -49,9 +49,26 @@ def op10_binary_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_search.top_k(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+_QUERIES = (
+    op1_url_filters, op2_ngram_join, op3_fingerprints, op4_suffix_dedup, op5_quality, op6_language_id, op7_pii, op8_packing, op9_mixing,
+    op10_binary_search, op12_simhash, op13_centroids,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_filters, op2_ngram_join, op3_fingerprints, op4_suffix_dedup, op5_quality, op6_language_id, op7_pii, op8_packing, op9_mixing, op10_binary_search)}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict:
-    return {"op1_url_filters": url_filters.ORACLE_SQL, "op2_ngram_join": ngram_join.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL, "op10_binary_search": binary_search.ORACLE_SQL}
+    return {
+        "op1_url_filters": url_filters.ORACLE_SQL, "op2_ngram_join": ngram_join.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL,
+        "op10_binary_search": binary_search.ORACLE_SQL, "op13_centroids": centroids.ORACLE_SQL,
+    }
