@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary_search, centroids, fingerprints, language_id, mixing, ngram_join, packing, pii, quality, simhash, suffix_dedup, url_filters
+from . import alignment, binary_search, centroids, fingerprints, language_id, mixing, ngram_join, packing, pii, quality, simhash, suffix_dedup, url_filters
 from ._shared import table
 
 
@@ -49,6 +49,10 @@ def op10_binary_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_search.top_k(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.digest(table(spark, sf_dir, "documents"))
+
+
 def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(table(spark, sf_dir, "documents"))
 
@@ -59,7 +63,7 @@ def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _QUERIES = (
     op1_url_filters, op2_ngram_join, op3_fingerprints, op4_suffix_dedup, op5_quality, op6_language_id, op7_pii, op8_packing, op9_mixing,
-    op10_binary_search, op12_simhash, op13_centroids,
+    op10_binary_search, op11_alignment, op12_simhash, op13_centroids,
 )
 
 
