@@ -3,6 +3,7 @@ import random
 from bisect import bisect_left
 from collections import Counter
 
+import numpy as np
 import pytest
 import public_tokenizers
 import sentencepiece
