@@ -36,8 +36,12 @@ def _query(sql: str | None = None, name: str | None = None):
     return add
 
 
-def _rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(F.col(c).cast("double"), places) for c in columns})
+#: Added before rounding where ratios of small integers may lie halfway, so that sums of another order round alike.
+HALFWAY = 1e-9
+
+
+def _rounded(df: DataFrame, *columns: str, places: int = 6, more: float = 0.0) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(c).cast("double") + more if more else F.col(c).cast("double"), places) for c in columns})
 
 
 def _movie_rounded(frames: DataFrame) -> DataFrame:
@@ -514,10 +518,10 @@ def assignment_optimal(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    from . import detections, measures  # noqa: F401  register their own
+    from . import detections, measures, online  # noqa: F401  register their own
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import detections, measures  # noqa: F401
+    from . import detections, measures, online  # noqa: F401
     return dict(_SQL)

@@ -13,7 +13,7 @@ from ..operators import sessions as SE
 from ..operators import spectral as SP
 from ..sources import tables as T
 from . import recording as RC
-from .catalogue import _BOXES, _FRAMES, _MASKS, _query, _rounded, D1, D2
+from .catalogue import _BOXES, _FRAMES, _MASKS, _query, _rounded, D1, D2, HALFWAY
 from .measures import _boxes
 
 
@@ -98,10 +98,10 @@ def detection_recall(spark: SparkSession, d: str) -> DataFrame:
 
 @_query(f"""WITH {_MET}, h AS (SELECT image, score, id, max(iou) AS iou, count(*) AS truth FROM m GROUP BY ALL), v AS (SELECT *, iou >= level AS hit FROM h, (SELECT unnest([0.4, 0.5, 0.6])::DOUBLE AS level)),
 r AS (SELECT *, row_number() OVER w AS n, sum(hit::INTEGER) OVER w AS tp FROM v WINDOW w AS (PARTITION BY image, level ORDER BY score DESC, id ROWS UNBOUNDED PRECEDING)),
-p AS (SELECT *, max(tp / n) OVER (PARTITION BY image, level ORDER BY score DESC, id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS precision FROM r), e AS (SELECT image, level, sum(CASE WHEN hit THEN precision ELSE 0 END) / max(truth) AS ap FROM p GROUP BY ALL) SELECT image, round(avg(ap), 6) AS ap FROM e GROUP BY image""")
+p AS (SELECT *, max(tp / n) OVER (PARTITION BY image, level ORDER BY score DESC, id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS precision FROM r), e AS (SELECT image, level, sum(CASE WHEN hit THEN precision ELSE 0 END) / max(truth) AS ap FROM p GROUP BY ALL) SELECT image, round(avg(ap) + 1e-9, 6) AS ap FROM e GROUP BY image""")
 def average_precision_range(spark: SparkSession, d: str) -> DataFrame:
     hits = _met(spark, d).groupBy("image", "score", "id").agg(F.max("iou").alias("iou"), F.count("*").alias("truth"))
-    return _rounded(DT.precision_range(hits, [0.4, 0.5, 0.6]), "ap")
+    return _rounded(DT.precision_range(hits, [0.4, 0.5, 0.6]), "ap", more=HALFWAY)
 
 
 @_query()

@@ -14,7 +14,7 @@ from ..operators import measures as E
 from ..operators import motion as MO
 from ..operators import series as S
 from ..sources import tables as T
-from .catalogue import _BOXES, _FOOT, _FRAMES, _IOU, _MASKS, _PEAKS, _SMALL, _TRACES, _components, _query, _rounded, D1, D2, W
+from .catalogue import HALFWAY, _BOXES, _FOOT, _FRAMES, _IOU, _MASKS, _PEAKS, _SMALL, _TRACES, _components, _query, _rounded, D1, D2, W
 
 
 @_query(f"WITH {_TRACES}, b AS (SELECT t, avg(v) AS b FROM tr GROUP BY t), f AS (SELECT k, t, v, quantile_cont(v, 0.08) OVER (PARTITION BY k ORDER BY t ROWS BETWEEN 25 PRECEDING AND 25 FOLLOWING) AS f FROM tr) SELECT k, t, round((v - f) / nullif(f + b, 0), 6) AS dff FROM f JOIN b USING (t)")
@@ -140,7 +140,7 @@ def apply_box_deltas(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("""WITH f AS (SELECT l_suppkey AS image, l_extendedprice AS score, l_orderkey * 10 + l_linenumber AS id, l_discount > 0.05 AS hit, count(*) OVER (PARTITION BY l_suppkey) AS truth FROM lineitem),
 r AS (SELECT *, row_number() OVER w AS n, sum(hit::INTEGER) OVER w AS tp FROM f WINDOW w AS (PARTITION BY image ORDER BY score DESC, id ROWS UNBOUNDED PRECEDING)),
-p AS (SELECT *, max(tp / n) OVER (PARTITION BY image ORDER BY score DESC, id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS precision FROM r) SELECT image, round(sum(CASE WHEN hit THEN precision ELSE 0 END) / max(truth), 6) AS ap, round(max(tp) / max(truth), 6) AS recall FROM p GROUP BY image""")
+p AS (SELECT *, max(tp / n) OVER (PARTITION BY image ORDER BY score DESC, id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS precision FROM r) SELECT image, round(sum(CASE WHEN hit THEN precision ELSE 0 END) / max(truth) + 1e-9, 6) AS ap, round(max(tp) / max(truth) + 1e-9, 6) AS recall FROM p GROUP BY image""")
 def average_precision(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql.window import Window
 
@@ -148,7 +148,7 @@ def average_precision(spark: SparkSession, d: str) -> DataFrame:
         F.col("l_suppkey").alias("image"), F.col("l_extendedprice").alias("score"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_discount") > 0.05).alias("hit"),
         F.count("*").over(Window.partitionBy("l_suppkey")).alias("truth"),
     )
-    return _rounded(E.average_precision(rows), "ap", "recall")
+    return _rounded(E.average_precision(rows), "ap", "recall", more=HALFWAY)
 
 
 @_query(f"WITH {_FRAMES} SELECT a.p::INTEGER AS p, b.p::INTEGER AS q, round(covar_pop(a.v, b.v), 6) AS c FROM px a JOIN px b ON a.t = b.t AND a.p <= b.p GROUP BY ALL")
