@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Weights that go to every task at most, 16 bytes each; beyond, sparse products are equi-joins on pixels.
+WEIGHTS_AT_HAND = 2_000_000
+_CELLS = 1 << 22
+
 
 def normalise(a: DataFrame) -> DataFrame:
     """Footprints of unit length."""
@@ -55,13 +61,86 @@ def reconstruct(a: DataFrame, traces: DataFrame) -> DataFrame:
     return a.join(traces.select("k", "t", "v"), "k").groupBy("t", "p").agg(F.sum(F.col("w") * F.col("v")).alias("v"))
 
 
-def residual_traces(a: DataFrame, pixels: DataFrame, traces: DataFrame) -> DataFrame:
-    """What the movie holds of each unit footprint beyond the components: (A'Y - A'(A C)) / |a|^2, without A'A, whose
-    pairs grow with the square of the components."""
-    size = a.groupBy("k").agg(F.sum(F.col("w") * F.col("w")).alias("n"))
-    model = project(a, reconstruct(a, traces)).withColumnRenamed("v", "m")
-    seen = project(a, pixels)
-    return seen.join(model, ["k", "t"], "left").join(size, "k").select("k", "t", ((F.col("v") - F.coalesce("m", F.lit(0.0))) / F.col("n")).alias("r"))
+def at_hand(a: DataFrame) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray] | None:
+    """Footprints as (components, where each begins, pixels, weights), if they are few enough to go to every task: counted
+    first. None otherwise, or if a weight is null."""
+    if a.count() > WEIGHTS_AT_HAND:
+        return None
+    rows = a.where("k is not null and p is not null").select("k", F.col("p").cast("long").alias("p"), F.col("w").cast("double").alias("w")).toArrow()
+    if rows.column("w").null_count:
+        return None
+    names = rows.column("k").combine_chunks().dictionary_encode()
+    place, p = names.indices.to_numpy(), rows.column("p").to_numpy()
+    by = np.lexsort((p, place))
+    return names.dictionary, np.searchsorted(place[by], np.arange(len(names.dictionary) + 1)), p[by], rows.column("w").to_numpy()[by]
+
+
+def seen(a: DataFrame, frames: DataFrame, traces: DataFrame | None = None, share: str = "sum") -> DataFrame:
+    """(k, t, v): frames (t, img) seen through footprints: the sum of w * v over a component's pixels, or with share "mean"
+    the mean of v over them, or "unit" that sum over the footprint's squared size. Of frames less what `traces` explain of
+    them, if given.
+
+    Footprints that are few enough go to every task, and frames are multiplied in Arrow batches, without a shuffle but that
+    of traces to their frames; more are joined by pixels. Null values of a frame count for nothing; components without a
+    pixel in a frame have no row there.
+    """
+    kinds = dict(frames.dtypes)["t"], dict(a.dtypes)["k"]
+    held = at_hand(a.select("k", "p", F.lit(1.0).alias("w")) if share == "mean" else a)
+    if held is None:
+        pixels = frames.select("t", F.posexplode("img").alias("p", "v"))
+        if traces is not None:
+            model = reconstruct(a, traces).withColumnRenamed("v", "m")
+            pixels = pixels.join(model, ["t", "p"], "left").select("t", "p", (F.col("v") - F.coalesce("m", F.lit(0.0))).alias("v"))
+        if share == "mean":
+            return mask_means(a, pixels)
+        size = a.groupBy("k").agg(F.sum(F.col("w") * F.col("w")).alias("n"))
+        out = project(a, pixels)
+        return out.join(size, "k").select("k", "t", (F.col("v") / F.col("n")).alias("v")) if share == "unit" else out
+    names, begin, pixel, weight = held
+    place = {k: i for i, k in enumerate(names.to_pylist())}
+    rows = frames.select("t", F.col("img").cast("array<double>").alias("img"))
+    modelled = traces is not None
+    if modelled:
+        own = traces.where("v is not null").groupBy("t").agg(F.collect_list(F.struct("k", "v")).alias("c"))
+        rows = rows.join(own.select(F.col("t").alias("_t"), "c"), F.col("t") == F.col("_t"), "left").select("t", "img", "c.k", "c.v")
+
+    def run(batches):
+        owner = np.repeat(np.arange(len(names)), np.diff(begin))
+        for batch in batches:
+            step = max(1, _CELLS // max(1, len(pixel)))
+            for at in range(0, batch.num_rows, step):
+                some = batch.slice(at, step)
+                out = [multiplied(some, i, owner) for i in range(some.num_rows)]
+                n = [len(k) for k, _ in out]
+                places = np.concatenate([k for k, _ in out] or [np.zeros(0, dtype=int)])
+                yield pa.RecordBatch.from_arrays([
+                    names.take(pa.array(places, pa.int64())), some.column(0).take(pa.array(np.repeat(np.arange(len(n)), n))), pa.array(np.concatenate([v for _, v in out] or [np.zeros(0)]).astype(float)),
+                ], names=["k", "t", "v"])
+
+    def multiplied(batch: pa.RecordBatch, i: int, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        img = batch.column(1)[i]
+        if not img.is_valid or not len(names):
+            return np.zeros(0, dtype=int), np.zeros(0)
+        v = img.values.to_numpy(zero_copy_only=False)
+        none = np.asarray(img.values.is_null())
+        inside = (pixel >= 0) & (pixel < len(v))
+        at, w, k = pixel[inside], weight[inside], owner[inside]
+        v = np.where(none, 0.0, v)
+        if modelled and batch.column(2)[i].is_valid:
+            c = np.zeros(len(names))
+            for name, value in zip(batch.column(2)[i].as_py(), batch.column(3)[i].as_py()):
+                if name in place:
+                    c[place[name]] += value
+            v = np.where(none, 0.0, v - np.bincount(at, weights=w * c[k], minlength=len(v)))
+        sums = np.bincount(k, weights=w * v[at], minlength=len(names))
+        size = np.bincount(k, minlength=len(names))
+        if share == "mean":
+            sums = sums / np.maximum(np.bincount(k, weights=~none[at], minlength=len(names)), 1e-300)
+        elif share == "unit":
+            sums = sums / np.maximum(np.bincount(owner, weights=weight * weight, minlength=len(names)), 1e-300)
+        return np.flatnonzero(size), sums[size > 0]
+
+    return rows.mapInArrow(run, f"k {kinds[1]}, t {kinds[0]}, v double")
 
 
 def order_components(a: DataFrame, traces: DataFrame) -> DataFrame:

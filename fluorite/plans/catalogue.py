@@ -337,7 +337,7 @@ def _components(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 @_query(f"WITH {_FRAMES}, {_SMALL} SELECT a.k, px.t, round(sum(a.w * px.v), 4) AS v FROM a JOIN px ON a.p = px.p GROUP BY ALL")
 def aty_projection(spark: SparkSession, d: str) -> DataFrame:
     a, _ = _components(spark, d)
-    return _rounded(FP.project(a, T.pixels(T.frames(spark, d))), "v", places=4)
+    return _rounded(FP.seen(a, T.frames(spark, d)), "v", places=4)
 
 
 @_query(f"WITH {_SMALL} SELECT c.t, a.p, round(sum(a.w * c.v), 2) AS v FROM a JOIN c ON a.k = c.k GROUP BY ALL")
@@ -350,13 +350,13 @@ m AS (SELECT aa.k, c.t, sum(aa * c.v) AS m FROM aa JOIN c ON c.k = aa.k2 GROUP B
 SELECT s.k, s.t, round((s.v - coalesce(m.m, 0)) / n.n, 3) AS r FROM s JOIN n USING (k) LEFT JOIN m ON m.k = s.k AND m.t = s.t""")
 def residual_traces(spark: SparkSession, d: str) -> DataFrame:
     a, c = _components(spark, d)
-    return _rounded(FP.residual_traces(a, T.pixels(T.frames(spark, d)), c), "r", places=3)
+    return _rounded(FP.seen(a, T.frames(spark, d), c, "unit").withColumnRenamed("v", "r"), "r", places=3)
 
 
 @_query(f"WITH {_FRAMES}, {_SMALL} SELECT a.k, px.t, round(avg(px.v), 6) AS v FROM a JOIN px ON a.p = px.p GROUP BY ALL")
 def traces_from_masks(spark: SparkSession, d: str) -> DataFrame:
     a, _ = _components(spark, d)
-    return _rounded(FP.mask_means(a, T.pixels(T.frames(spark, d))), "v")
+    return _rounded(FP.seen(a, T.frames(spark, d), share="mean"), "v")
 
 
 @_query(f"WITH {_SMALL}, m AS (SELECT k, max(v) AS m FROM c GROUP BY k), n AS (SELECT k, sum(w ** 4) ** 0.25 AS n FROM a GROUP BY k), s AS (SELECT k, m * n AS score FROM m JOIN n USING (k)) SELECT k, round(score, 1) AS score, (row_number() OVER (ORDER BY score DESC, k))::INTEGER AS rank FROM s")
