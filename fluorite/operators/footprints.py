@@ -85,7 +85,7 @@ def seen(a: DataFrame, frames: DataFrame, traces: DataFrame | None = None, share
     pixel in a frame have no row there.
     """
     kinds = dict(frames.dtypes)["t"], dict(a.dtypes)["k"]
-    held = at_hand(a.select("k", "p", F.lit(1.0).alias("w")) if share == "mean" else a)
+    held = at_hand(a)
     if held is None:
         pixels = frames.select("t", F.posexplode("img").alias("p", "v"))
         if traces is not None:
@@ -132,7 +132,7 @@ def seen(a: DataFrame, frames: DataFrame, traces: DataFrame | None = None, share
                 if name in place:
                     c[place[name]] += value
             v = np.where(none, 0.0, v - np.bincount(at, weights=w * c[k], minlength=len(v)))
-        sums = np.bincount(k, weights=w * v[at], minlength=len(names))
+        sums = np.bincount(k, weights=v[at] if share == "mean" else w * v[at], minlength=len(names))
         size = np.bincount(k, minlength=len(names))
         if share == "mean":
             sums = sums / np.maximum(np.bincount(k, weights=~none[at], minlength=len(names)), 1e-300)
