@@ -518,10 +518,10 @@ def assignment_optimal(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    from . import detections, measures, online, volumes  # noqa: F401  register their own
+    from . import detections, measures, online, shapes, volumes  # noqa: F401  register their own
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import detections, measures, online, volumes  # noqa: F401
+    from . import detections, measures, online, shapes, volumes  # noqa: F401
     return dict(_SQL)

@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 from ..functions.online import Field, Settings
 from ..functions.pools import Pools
+from ..operators.tiling import tiled  # noqa: F401  fields of their own for demixed()
 from ..sources.tables import shared_path, stored
 
 
@@ -67,17 +68,6 @@ def current(written: DataFrame, g: float) -> DataFrame:
     return steps.select("k", (F.col("start") + F.col("i")).alias("t"), (F.col("value") * F.pow(F.lit(g), F.col("i"))).alias("c"), F.when(F.col("i") == 0, F.col("s")).otherwise(0.0).alias("s"))
 
 
-def tiled(frames: DataFrame, d1: int, d2: int, size: int) -> DataFrame:
-    """(session, tile, y0, x0, t, img): frames cut into tiles of size by size pixels, the last ones smaller; a tile is a
-    field of its own, so that no key holds a whole large frame. Expressions only."""
-    rows = []
-    for i, (y0, x0) in enumerate((y, x) for y in range(0, d1, size) for x in range(0, d2, size)):
-        h, w = min(size, d1 - y0), min(size, d2 - x0)
-        columns = [F.slice("img", y0 + x * d1 + 1, h) for x in range(x0, x0 + w)]
-        rows.append(F.struct(F.lit(i).alias("tile"), F.lit(y0).alias("y0"), F.lit(x0).alias("x0"), F.lit(h).alias("d1"), F.lit(w).alias("d2"), F.concat(*columns).alias("img")))
-    return frames.select("session", "t", F.explode(F.array(*rows)).alias("r")).select("session", "r.tile", "r.y0", "r.x0", "r.d1", "r.d2", "t", "r.img")
-
-
 def demixed(frames: DataFrame, settings: Settings, by: tuple[str, ...] = ("session",)) -> DataFrame:
     """(keys, t, k, v, shape) of a stream of frames (keys, t, img): each component's value in each step, as soon as it is
     known; and rows with a footprint, v null, when a component is born or its footprint updated.
