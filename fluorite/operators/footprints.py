@@ -143,6 +143,39 @@ def seen(a: DataFrame, frames: DataFrame, traces: DataFrame | None = None, share
     return rows.mapInArrow(run, f"k {kinds[1]}, t {kinds[0]}, v double")
 
 
+def unexplained(a: DataFrame, frames: DataFrame, traces: DataFrame) -> DataFrame:
+    """(t, img): frames less what footprints and traces explain of them; as seen() does it, by batches or by joins."""
+    kind = dict(frames.dtypes)["t"]
+    rows = frames.select("t", F.col("img").cast("array<double>").alias("img"))
+    held = at_hand(a)
+    if held is None:
+        model = reconstruct(a, traces).groupBy("t").agg(F.map_from_entries(F.collect_list(F.struct(F.col("p").cast("int"), "v"))).alias("m"))
+        both = rows.join(model.withColumnRenamed("t", "_t"), F.col("t") == F.col("_t"), "left")
+        return both.select("t", F.transform("img", lambda v, i: v - F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("img"))
+    names, begin, pixel, weight = held
+    place = {k: i for i, k in enumerate(names.to_pylist())}
+    own = traces.where("v is not null").groupBy("t").agg(F.collect_list(F.struct("k", "v")).alias("c"))
+    rows = rows.join(own.select(F.col("t").alias("_t"), "c"), F.col("t") == F.col("_t"), "left").select("t", "img", "c.k", "c.v")
+
+    def run(batches):
+        owner = np.repeat(np.arange(len(names)), np.diff(begin))
+        for batch in batches:
+            out = []
+            for img, ks, vs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                if img is not None and ks:
+                    c = np.zeros(len(names))
+                    for k, v in zip(ks, vs):
+                        if k in place:
+                            c[place[k]] += v
+                    inside = (pixel >= 0) & (pixel < len(img))
+                    m = np.bincount(pixel[inside], weights=weight[inside] * c[owner[inside]], minlength=len(img)).tolist()
+                    img = [None if v is None else v - e for v, e in zip(img, m)]
+                out.append(img)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], names=["t", "img"])
+
+    return rows.mapInArrow(run, f"t {kind}, img array<double>")
+
+
 def order_components(a: DataFrame, traces: DataFrame) -> DataFrame:
     """Components by their largest activity times the fourth-power norm of their footprint."""
     peak = traces.groupBy("k").agg(F.max("v").alias("m"))

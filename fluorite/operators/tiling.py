@@ -15,3 +15,16 @@ def tiled(frames: DataFrame, d1: int, d2: int, size: int) -> DataFrame:
         columns = [F.slice("img", y0 + x * d1 + 1, h) for x in range(x0, x0 + w)]
         rows.append(F.struct(F.lit(i).alias("tile"), F.lit(y0).alias("y0"), F.lit(x0).alias("x0"), F.lit(h).alias("d1"), F.lit(w).alias("d2"), F.concat(*columns).alias("img")))
     return frames.select("session", "t", F.explode(F.array(*rows)).alias("r")).select("session", "r.tile", "r.y0", "r.x0", "r.d1", "r.d2", "t", "r.img")
+
+
+def with_halo(frames: DataFrame, d1: int, d2: int, size: int, halo: int) -> DataFrame:
+    """(tile, t, y0, x0, h, w, top, left, th, tw, img): frames cut into tiles (y0, x0, h, w) with up to `halo` pixels around
+    them: img is the part (top, left, th, tw). Expressions only."""
+    rows = []
+    for i, (y0, x0) in enumerate((y, x) for y in range(0, d1, size) for x in range(0, d2, size)):
+        h, w, top, left = min(size, d1 - y0), min(size, d2 - x0), max(0, y0 - halo), max(0, x0 - halo)
+        th, tw = min(d1, y0 + h + halo) - top, min(d2, x0 + w + halo) - left
+        columns = [F.slice("img", top + x * d1 + 1, th) for x in range(left, left + tw)]
+        numbers = {"tile": i, "y0": y0, "x0": x0, "h": h, "w": w, "top": top, "left": left, "th": th, "tw": tw}
+        rows.append(F.struct(*[F.lit(v).alias(k) for k, v in numbers.items()], F.concat(*columns).alias("img")))
+    return frames.select("t", F.explode(F.array(*rows)).alias("r")).select("r.tile", "t", *[f"r.{c}" for c in ("y0", "x0", "h", "w", "top", "left", "th", "tw", "img")])

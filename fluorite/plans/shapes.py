@@ -1,4 +1,4 @@
-"""Registered queries of labels, morphology and peaks, with their SQL."""
+"""Registered queries of labels, morphology, peaks and ring backgrounds, with their SQL."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import morphology as MO
 from ..operators import morphology as SH
+from ..operators import rings as RG
 from ..sources import tables as T
 from .catalogue import _FRAMES, _movie_rounded, _query, D1, D2, W
 
@@ -67,3 +68,25 @@ def footprints_cleaned(spark: SparkSession, d: str) -> DataFrame:
 @_query()
 def structure_masks(spark: SparkSession, d: str) -> DataFrame:
     return SH.masks_of(T.frames(spark, d), (D1, D2), 2, 2, 2)
+
+
+_FAR = ", ".join(f"({dy}, {dx})" for dy, dx in RG.differences(2))
+
+
+@_query(f"""WITH {_FRAMES}, o(dy, dx) AS (VALUES {_FAR}), n AS (SELECT p, dy, dx, p + dy + 8 * dx AS q FROM range(64) u(p), o WHERE p % 8 + dy BETWEEN 0 AND 7 AND p // 8 + dx BETWEEN 0 AND 7)
+SELECT n.p::BIGINT AS p, dy::BIGINT AS dy, dx::BIGINT AS dx, count(*) AS n, round(sum(a.v * b.v), 6) AS s, round(sum(a.v), 6) AS m FROM n JOIN px a ON a.p = n.p JOIN px b ON b.p = n.q AND b.t = a.t GROUP BY ALL""")
+def ring_products(spark: SparkSession, d: str) -> DataFrame:
+    """Sums of products of near pixels, tiles of four by four pixels and blocks of a hundred steps at a time."""
+    return RG.products(T.frames(spark, d), D1, D2, 2, 4, 100).withColumns({c: F.round(c, 6) for c in ("s", "m")})
+
+
+@_query()
+def ring_weights(spark: SparkSession, d: str) -> DataFrame:
+    return RG.model(T.frames(spark, d), D1, D2, 2, tile=4)[0]
+
+
+@_query()
+def ring_regressed(spark: SparkSession, d: str) -> DataFrame:
+    """Each frame's background, by regression on rings."""
+    frames = T.frames(spark, d)
+    return RG.background(frames, *RG.model(frames, D1, D2, 2, tile=4))
