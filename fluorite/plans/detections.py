@@ -132,3 +132,9 @@ def principal_denoise(spark: SparkSession, d: str) -> DataFrame:
 @_query()
 def fit_recording(spark: SparkSession, d: str) -> DataFrame:
     return RC.fit(T.frames(spark, d), RC.Parameters()).quality
+
+
+@_query()
+def independent_images(spark: SparkSession, d: str) -> DataFrame:
+    """Independent images of a movie, pixels and steps counting alike."""
+    return SP.independent(T.frames(spark, d), 6, 4, space=0.5)

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import morphology as MO
+from ..functions.seeding import Seeding
 from ..operators import morphology as SH
 from ..operators import rings as RG
+from ..operators import seeding as OS
 from ..sources import tables as T
 from .catalogue import _FRAMES, _movie_rounded, _query, D1, D2, W
 
@@ -90,3 +92,9 @@ def ring_regressed(spark: SparkSession, d: str) -> DataFrame:
     """Each frame's background, by regression on rings."""
     frames = T.frames(spark, d)
     return RG.background(frames, *RG.model(frames, D1, D2, 2, tile=4))
+
+
+@_query()
+def one_photon_components(spark: SparkSession, d: str) -> DataFrame:
+    """Components by seeds, in tiles of four by four pixels with halos."""
+    return OS.components(T.frames(spark, d), D1, D2, Seeding(sigma=1.0, diameter=3, min_corr=0.01, min_pnr=2.0, level=1.0, own=0.5, least_pixels=1), tile=4)
