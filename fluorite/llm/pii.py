@@ -177,7 +177,9 @@ def disclosing_terms(docs: DataFrame, share=LEAST_SHARE, bits=LEAST_BITS, weight
     pairs = seen.select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count("*").alias("both"))
     pairs = stored(pairs.select(F.substring_index("pair", "\n", 1).alias("value"), F.substring_index("pair", "\n", -1).alias("term"), "both"))
     total = float(docs.count())
-    found = pairs.join(_holding(docs, pairs).groupBy("term").agg(F.count("*").alias("documents")), "term").join(holders, "value")
+    # Every term is counted, not only those of pairs: counts are combined in their tasks, where a join would shuffle all words.
+    counted = docs.select(F.explode(F.array_distinct(_words(F.col("_text")))).alias("term")).groupBy("term").agg(F.count("*").alias("documents"))
+    found = pairs.join(counted, "term").join(holders, "value")
     usual = F.col("holders") / total
     found = found.withColumn("share", (F.col("both") + weight * usual) / (F.col("documents") + weight)).withColumn("bits", F.log2(F.col("share") / usual))
     return found.where((F.col("share") >= share) & (F.col("bits") >= bits)).select("term", "value", "both", "documents", "share", "bits")
