@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import detections as DT
+from ..operators import levels as LV
 from ..operators import matching as M
 from ..operators import measures as E
 from ..operators import series as S
@@ -138,3 +139,15 @@ def fit_recording(spark: SparkSession, d: str) -> DataFrame:
 def independent_images(spark: SparkSession, d: str) -> DataFrame:
     """Independent images of a movie, pixels and steps counting alike."""
     return SP.independent(T.frames(spark, d), 6, 4, space=0.5)
+
+
+@_query()
+def trace_density(spark: SparkSession, d: str) -> DataFrame:
+    """The mode of each trace by diffusion, its bandwidth, and the percentile that it is."""
+    return LV.modes(T.traces(spark, d))
+
+
+@_query()
+def detrend_auto(spark: SparkSession, d: str) -> DataFrame:
+    """Relative changes of traces against the running percentile of their own density's level."""
+    return LV.change_auto(T.traces(spark, d), 100)
