@@ -40,15 +40,83 @@ def temporal_update(a: DataFrame, pixels: DataFrame, traces: DataFrame, rounds:
     return c
 
 
-def products(frames: DataFrame, traces: DataFrame) -> tuple[DataFrame, DataFrame, list]:
+def _overlaps(names: int, begin: np.ndarray, pixel: np.ndarray, weight: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each footprint those that share a pixel with it, itself too, and their products."""
+    owner = np.repeat(np.arange(names), np.diff(begin))
+    by = np.argsort(pixel, kind="stable")
+    own, w = owner[by], weight[by]
+    edge = np.flatnonzero(np.r_[True, np.diff(pixel[by]) != 0, True])
+    size = np.diff(edge)
+    first, n = np.repeat(edge[:-1], size), np.repeat(size, size)
+    left = np.repeat(np.arange(len(own)), n)
+    right = first[left] + np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n)
+    key, place = np.unique(own[left] * names + own[right], return_inverse=True)
+    value = np.bincount(place, weights=w[left] * w[right], minlength=len(key))
+    ends = np.searchsorted(key // max(1, names), np.arange(names + 1))
+    return [(key[i:j] % names, value[i:j]) for i, j in zip(ends, ends[1:])]
+
+
+def follow(frames: DataFrame, a: DataFrame, sweeps: int = 100, close: float = 1e-7) -> DataFrame:
+    """(k, t, v): for each frame the non-negative values of all components that together fit it best, by coordinate descent
+    until nothing moves by more than `close` of the largest value, at most `sweeps` times.
+
+    Frames don't depend on each other here, so one pass over them is all, in Arrow batches, without a shuffle; footprints
+    and the products of those that overlap go to the tasks. Over FP.WEIGHTS_AT_HAND weights, temporal_update() does it by
+    joins. Null frames have no rows; missing values count as nothing.
+    """
+    held = FP.at_hand(a)
+    if held is None:
+        pixels = frames.select("t", F.posexplode("img").alias("p", "v"))
+        return temporal_update(a, pixels, FP.project(a, pixels), 10)
+    names, begin, pixel, weight = held
+    n, kinds = len(names), (dict(a.dtypes)["k"], dict(frames.dtypes)["t"])
+    near = _overlaps(n, begin, pixel, weight)
+    own = np.array([float(v[i == m][0]) for m, (i, v) in enumerate(near)])
+
+    def run(batches):
+        for batch in batches:
+            batch = batch.filter(batch.column(1).is_valid())
+            if not batch.num_rows or not n:
+                continue
+            y = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
+            y = np.where(np.isfinite(y), y, 0.0)
+            inside = (pixel >= 0) & (pixel < y.shape[1])
+            seen = np.zeros((len(y), n))
+            for m in range(n):
+                some = slice(begin[m], begin[m + 1])
+                keep = inside[some]
+                seen[:, m] = y[:, pixel[some][keep]] @ weight[some][keep]
+            c = np.maximum(seen / np.maximum(own, 1e-300), 0.0)
+            for _ in range(sweeps):
+                moved = 0.0
+                for m, (i, v) in enumerate(near):
+                    if own[m] > 0:
+                        new = np.maximum(c[:, m] + (seen[:, m] - c[:, i] @ v) / own[m], 0.0)
+                        moved = max(moved, float(abs(new - c[:, m]).max()))
+                        c[:, m] = new
+                if moved <= close * max(1e-300, float(c.max())):
+                    break
+            at = pa.array(np.repeat(np.arange(len(y)), n))
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(np.tile(np.arange(n), len(y)))), batch.column(0).take(at), pa.array(c.ravel())], names=["k", "t", "v"])
+
+    return frames.select("t", F.col("img").cast("array<double>").alias("img")).mapInArrow(run, f"k {kinds[0]}, t {kinds[1]}, v double")
+
+
+def products(frames: DataFrame, traces: DataFrame, support: DataFrame | None = None) -> tuple[DataFrame, DataFrame, list]:
     """(p, i, cy) and (i, j, cc): sums over time of traces times pixels and of traces times traces, i and j being places
-    among the components' names, which are returned too. Every batch of frames is summed in its task."""
+    among the components' names, which are returned too. Every batch of frames is summed in its task; with support (k, p),
+    few enough to be at hand, only what a component covers is summed."""
     names = [r["k"] for r in traces.select("k").distinct().orderBy("k").collect()]  # components of one field
     place = {k: i for i, k in enumerate(names)}
     at = F.create_map(*[x for k, i in place.items() for x in (F.lit(k), F.lit(i))]) if names else F.lit(None)
     vectors = traces.groupBy("t").agg(F.array_sort(F.collect_list(F.struct(at[F.col("k")].alias("i"), F.col("v")))).alias("c"))
     rows = frames.select("t", "img").join(vectors, "t").select("img", F.transform("c", lambda x: x["i"]).alias("i"), F.transform("c", lambda x: x["v"]).alias("v"))
     n = len(names)
+    held = FP.at_hand(support.select("k", "p", F.lit(1.0).alias("w")).distinct()) if support is not None else None
+    covers = None
+    if held is not None:
+        order = held[0].to_pylist()
+        covers = [(place[k], held[2][held[1][m] : held[1][m + 1]]) for m, k in enumerate(order) if k in place]
 
     def run(batches):
         cy, cc = None, np.zeros((n, n))
@@ -59,10 +127,19 @@ def products(frames: DataFrame, traces: DataFrame) -> tuple[DataFrame, DataFrame
             c = np.zeros((batch.num_rows, n))
             held = np.repeat(np.arange(batch.num_rows), np.diff(batch.column(1).offsets.to_numpy()))
             c[held, batch.column(1).flatten().to_numpy()] = batch.column(2).flatten().to_numpy()
-            cy = y.T @ c if cy is None else cy + y.T @ c
+            if covers is None:
+                cy = y.T @ c if cy is None else cy + y.T @ c
+            else:
+                part = np.concatenate([c[:, m] @ y[:, at[at < y.shape[1]]] for m, at in covers] or [np.zeros(0)])
+                cy = part if cy is None else cy + part
+                cells = [(at[at < y.shape[1]], m) for m, at in covers]
             cc += c.T @ c
         if cy is not None:
-            p, i = np.divmod(np.arange(cy.size), n)
+            if covers is None:
+                p, i = np.divmod(np.arange(cy.size), n)
+            else:
+                p = np.concatenate([at for at, _ in cells] or [np.zeros(0, dtype=np.int64)])
+                i = np.repeat(np.array([m for _, m in cells], dtype=np.int64), [len(at) for at, _ in cells])
             a, b = np.divmod(np.arange(cc.size), n)
             yield pa.RecordBatch.from_arrays([pa.array(np.r_[p, np.full(cc.size, -1)]), pa.array(np.r_[i, a]), pa.array(np.r_[np.zeros(cy.size, dtype=np.int64), b]), pa.array(np.r_[cy.ravel(), cc.ravel()])], names=["p", "i", "j", "s"])
 
@@ -73,7 +150,7 @@ def products(frames: DataFrame, traces: DataFrame) -> tuple[DataFrame, DataFrame
 def spatial_update(frames: DataFrame, traces: DataFrame, support: DataFrame | None = None) -> DataFrame:
     """Footprints (p, k, w) that fit the movie best for these traces, non-negative: one small problem for each pixel, from
     products alone. With support (k, p), a pixel has its own components only."""
-    cy, cc, names = products(frames, traces)
+    cy, cc, names = products(frames, traces, support)
     gram = np.zeros((len(names), len(names)))
     for r in cc.collect():  # a number for each two components of one field
         gram[r["i"], r["j"]] = r["cc"]
@@ -122,10 +199,43 @@ def trimmed(a: DataFrame, share: float) -> DataFrame:
 
 def demix(frames: DataFrame, a: DataFrame, rounds: int = 2, share: float = 0.1) -> tuple[DataFrame, DataFrame]:
     """Footprints and traces of a movie from a first guess of footprints: traces, footprints within their support, again."""
-    pixels = frames.select("t", F.posexplode("img").alias("p", "v"))
     a = stored(trimmed(a, 0.0))
-    c = temporal_update(a, pixels, FP.project(a, pixels))
+    c = stored(follow(frames, a))
     for _ in range(rounds):
         a = stored(trimmed(spatial_update(frames, c, a).select("k", "p", "w"), share))
-        c = temporal_update(a, pixels, c)
+        c = stored(follow(frames, a))
     return a, c
+
+
+def grown(a: DataFrame, d1: int, d2: int) -> DataFrame:
+    """(k, p): the pixels of footprints, and their four neighbours inside the field."""
+    y, x = F.pmod(F.col("p"), F.lit(d1)), F.floor(F.col("p") / d1)
+    near = [F.when((y + dy >= 0) & (y + dy < d1) & (x + dx >= 0) & (x + dx < d2), F.col("p") + dy + dx * d1) for dy, dx in ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1))]
+    return a.select("k", F.explode(F.array(*near)).alias("p")).where("p is not null").distinct()
+
+
+def demix_with_background(frames: DataFrame, a: DataFrame, d1: int, d2: int, rounds: int = 3, share: float = 0.1) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(footprints, traces, background image (p, b), its course (t, f)) of a movie on a background of one image and one
+    course, from a first guess of footprints.
+
+    The background, at first each pixel's median, is a component of its own that covers all; it is fitted with the others,
+    in every round. Footprints grow by a pixel in each round and lose what is under `share` of their largest weight. What
+    a component's name is doesn't matter: inside they are numbers, as names of one field are few.
+    """
+    kind = dict(a.dtypes)["k"]
+    names = [r["k"] for r in a.where("k is not null").select("k").distinct().orderBy("k").collect()]  # components of one field
+    table = frames.sparkSession.createDataFrame(list(enumerate(names)), f"i int, k {kind}")
+    last = len(names)
+    own = stored(trimmed(a.join(table, "k").select(F.col("i").alias("k"), "p", "w"), 0.0))
+    image = frames.select(F.posexplode("img").alias("p", "v")).groupBy("p").agg(F.greatest(F.lit(0.0), F.percentile_approx("v", F.lit(0.5), F.lit(1000))).alias("w"))
+    image = stored(trimmed(image.select(F.lit(last).alias("k"), "p", "w"), 0.0))
+    field = frames.sparkSession.range(d1 * d2).select(F.lit(last).alias("k"), F.col("id").cast("int").alias("p"))
+    c = stored(follow(frames, own.unionByName(image)))
+    for _ in range(rounds):
+        cover = grown(own, d1, d2).select("k", F.col("p").cast("int").alias("p")).unionByName(field)
+        both = stored(spatial_update(frames, c, cover).select(F.col("k").cast("int").alias("k"), F.col("p").cast("int").alias("p"), "w"))
+        own, image = stored(trimmed(both.where(F.col("k") < last), share)), stored(trimmed(both.where(F.col("k") == last), 0.0))
+        c = stored(follow(frames, own.unionByName(image)))
+    out_a = own.join(table, own["k"] == table["i"]).select(table["k"], "p", "w")
+    out_c = c.join(table, c["k"] == table["i"]).select(table["k"], "t", "v")
+    return out_a, out_c, image.select("p", F.col("w").alias("b")), c.where(F.col("k") == last).select("t", F.col("v").alias("f"))

@@ -253,6 +253,12 @@ def demix_traces(spark: SparkSession, d: str) -> DataFrame:
     return DM.demix(T.frames(spark, d), _tiles(spark, d), rounds=1)[1]
 
 
+@_query()
+def demix_background(spark: SparkSession, d: str) -> DataFrame:
+    """The course of a movie's background, fitted together with its components, whose footprints grow."""
+    return DM.demix_with_background(T.frames(spark, d), _tiles(spark, d), D1, D2, rounds=2)[3]
+
+
 @_query()
 def background_course(spark: SparkSession, d: str) -> DataFrame:
     f, a = T.frames(spark, d), FP.normalise(_tiles(spark, d))

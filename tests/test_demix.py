@@ -84,3 +84,53 @@ def test_order_of_updates_keeps_neighbours_apart(spark):
     pairs = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (1, 5)], "k long, k2 long")
     turn = {x["k"]: x["turn"] for x in E.update_order(pairs, spark.createDataFrame([(k,) for k in range(1, 7)], "k long")).collect()}
     assert set(turn) == set(range(1, 7)) and all(turn[a] != turn[b] for a, b in ((1, 2), (2, 3), (3, 4), (1, 5)))
+
+
+def test_follow_is_non_negative_least_squares(spark, monkeypatch):
+    a, c, y = toy(seed=9)
+    w = np.where(a > 0.02, a, 0.0)
+    frames = spark.createDataFrame([(t, y[:, t].tolist()) for t in range(60)] + [(99, None)], "t int, img array<double>").repartition(3)
+    table = spark.createDataFrame([(f"k{k}", p, float(w[k, p])) for k in range(4) for p in np.flatnonzero(w[k]).tolist()], "k string, p int, w double")
+    want = np.array([K.nnls(w.T, y[:, t]) for t in range(60)])
+    for limit, close in ((10**6, 1e-4), (0, 0.05)):
+        monkeypatch.setattr("fluorite.operators.footprints.WEIGHTS_AT_HAND", limit)
+        got = np.zeros((60, 4))
+        for x in D.follow(frames, table).collect():
+            got[x["t"], int(x["k"][1:])] = x["v"]
+        assert abs(got - want).max() < close
+
+
+def test_supported_products_are_the_dense_ones(spark):
+    a, c, y = toy(seed=3)
+    frames = spark.createDataFrame([(t, y[:, t].tolist()) for t in range(40)], "t int, img array<double>").repartition(3)
+    traces = spark.createDataFrame([(k, t, float(c[k, t])) for k in range(4) for t in range(40)], "k int, t int, v double")
+    cells = {(k, p) for k in range(4) for p in range(120) if (k * 7 + p) % 5 == 0}
+    support = spark.createDataFrame(sorted(cells), "k int, p int")
+    cy, cc, names = D.products(frames, traces, support)
+    got = {(names[r["i"]], r["p"]): r["cy"] for r in cy.collect()}
+    assert set(got) == cells and max(abs(v - y[p, :40] @ c[k, :40]) for (k, p), v in got.items()) < 1e-9
+    assert max(abs(r["cc"] - c[r["i"], :40] @ c[r["j"], :40]) for r in cc.collect()) < 1e-9
+
+
+def test_toy_movie_on_a_background(spark):
+    a, c, y = toy(seed=7)
+    r = np.random.default_rng(1)
+    yy, xx = np.arange(120) % 10, np.arange(120) // 10
+    b, f = 3 + np.cos(yy / 4) + xx / 8, 1 + 0.2 * np.sin(np.arange(200) / 25) + 0.02 * r.normal(size=200)
+    movie = y + np.outer(b, f)
+    frames = spark.createDataFrame([(t, movie[:, t].tolist()) for t in range(200)], "t int, img array<double>").repartition(3)
+    # A guess of the middles only: footprints have to grow.
+    guess = spark.createDataFrame([(f"k{k}", p, 1.0) for k in range(4) for p in range(120) if a[k, p] > 0.6 * a[k].max()], "k string, p int, w double")
+    shapes, traces, image, course = D.demix_with_background(frames, guess, 10, 12, rounds=3, share=0.05)
+    got_a, got_c, got_b, got_f = np.zeros((4, 120)), np.zeros((4, 200)), np.zeros(120), np.zeros(200)
+    for x in shapes.collect():
+        got_a[int(x["k"][1:]), x["p"]] = x["w"]
+    for x in traces.collect():
+        got_c[int(x["k"][1:]), x["t"]] = x["v"]
+    for x in image.collect():
+        got_b[x["p"]] = x["b"]
+    for x in course.collect():
+        got_f[x["t"]] = x["f"]
+    for k in range(4):
+        assert np.corrcoef(got_a[k], a[k])[0, 1] > 0.95 and np.corrcoef(got_c[k], c[k])[0, 1] > 0.95
+    assert np.corrcoef(got_b, b)[0, 1] > 0.95 and np.corrcoef(got_f, f)[0, 1] > 0.95
