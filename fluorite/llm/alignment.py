@@ -101,17 +101,21 @@ def align(len_a: np.ndarray, len_b: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return group_a, group_b, link_a, link_b
 
 
-def _told(ids_a: list[int], ids_b: list[int], group_a: list[int], group_b: list[int]) -> str:
-    """Groups as text: "a1,a2|b1;a3|b2"."""
-    if group_a[-1] == group_a[0]:
-        return ",".join(map(str, ids_a)) + "|" + ",".join(map(str, ids_b))
-    a: dict[int, list[str]] = {}
-    b: dict[int, list[str]] = {}
-    for i, g in zip(ids_a, group_a):
-        a.setdefault(g, []).append(str(i))
-    for i, g in zip(ids_b, group_b):
-        b.setdefault(g, []).append(str(i))
-    return ";".join(",".join(x) + "|" + ",".join(b[g]) for g, x in a.items())
+def _told(names_a: tuple[np.ndarray, list[str]], names_b: tuple[np.ndarray, list[str]], a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, last: np.ndarray) -> list[bytes]:
+    """Groups as text, "a1,a2|b1;a3|b2", of each unit; `last` is the group after each unit's own. names: of every id its
+    digits' number and its text."""
+    group, side = np.concatenate([group_a, group_b]), np.repeat([0, 1], [len(a), len(b)])
+    order = np.argsort(2 * group + side, kind="stable")
+    group, side = group[order], side[order]
+    mark = np.where(group[1:] != group[:-1], 2, np.where(side[1:] != side[:-1], 1, 0))
+    text = [*map(names_a[1].__getitem__, a.tolist()), *map(names_b[1].__getitem__, b.tolist())]
+    told = [""] * (2 * len(order))
+    told[::2] = map(text.__getitem__, order.tolist())
+    told[1::2] = map(",|;".__getitem__, [*mark.tolist(), 2])
+    size = np.concatenate([names_a[0][a], names_b[0][b]])[order] + 1
+    ends = np.cumsum(size)[np.searchsorted(group, last) - 1].tolist()
+    raw = "".join(told).encode()
+    return [raw[i : j - 1] for i, j in zip([0, *ends], ends)]
 
 
 class Units:
@@ -122,6 +126,8 @@ class Units:
         more = f"(?:[{b.joining}][{WHITE}]*[^{WHITE}]*)*" if b.joining else ""
         self.pattern = re.compile(f"(?:[{WHITE}]+[^{WHITE}]*|[^{WHITE}]+){more}" if self.separable else "(?s).+")
         self.len_a, self.len_b = (np.array([len(t) for t in x.bytes], dtype=np.int64) for x in (a, b))
+        names = [[str(i) for i in range(len(x.bytes))] for x in (a, b)]
+        self.names_a, self.names_b = ((np.array([len(n) for n in some]), some) for some in names)
         self.lead_a, self.lead_b = len(a.encode(" x")), len(b.encode("x"))
         self.forget()
 
@@ -190,12 +196,7 @@ class Units:
         link_ends = np.searchsorted(link_a, cut_a)
         group_ends = group_a[cut_a - 1] + 1
         numbers = np.array([np.diff(x, prepend=0) for x in (cut_a, cut_b, group_ends, link_ends)])
-        told = []
-        la, lb, ga, gb = a.tolist(), b.tolist(), group_a.tolist(), group_b.tolist()
-        i = j = 0
-        for k, m in zip(cut_a.tolist(), cut_b.tolist()):
-            told.append(_told(la[i:k], lb[j:m], ga[i:k], gb[j:m]).encode())
-            i, j = k, m
+        told = _told(self.names_a, self.names_b, a, b, group_a, group_b, group_ends)
         self._put(units, numbers, np.r_[0, link_ends], a[link_a] << _LINK | b[link_b], told)
 
     def _put(self, units: list[str], numbers: np.ndarray, starts: np.ndarray, links: np.ndarray, told: list[bytes]) -> None:
@@ -223,13 +224,14 @@ class Block:
         self.waiting: list[np.ndarray] = []
         self.n = 0  # units that wait
 
-    def add(self, doc: int | None, text: str | None) -> None:
-        """A text's units are turned into numbers, many at a time; they wait until many documents can be counted at once."""
+    def add(self, doc: int | None, text: str | None, parts: list[str] | None = None) -> None:
+        """A text's units, which may be given, are turned into numbers, many at a time; they wait until many documents can
+        be counted at once."""
         u, total, sha, whole = self.units, np.zeros(4, dtype=np.int64), hashlib.sha256(), bool(text)
         if text:
             self.characters += len(text)
             found = u.pattern.finditer(" " + text) if len(text) > BLOCK else None
-            more = iter([u.pattern.findall(" " + text)]) if found is None else iter(lambda: [m.group() for m in islice(found, _AT_ONCE)], [])
+            more = iter([parts or u.pattern.findall(" " + text)]) if found is None else iter(lambda: [m.group() for m in islice(found, _AT_ONCE)], [])
             first = True
             for some in more:
                 codes = u.codes(some)
@@ -299,18 +301,34 @@ def blocks(docs: DataFrame, path_a: str | None = None, path_b: str | None = None
 
         units, number = Units(Bytes(path_a), Pieces(path_b)), TaskContext.get().partitionId() << 32
         held = Block(units)
-        for batch in batches:
-            for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                try:
-                    text = raw.as_py().decode() if raw.is_valid else None
-                except UnicodeDecodeError:
-                    text = None  # no tokens can give its bytes back
-                held.add(doc, text)
-                if held.characters > BLOCK or len(held.docs) > BLOCK // 100:
-                    yield held.row(number)
-                    number += 1
-                    units.room()
-                    held = Block(units)
+
+        def rows(batches) -> Iterator[tuple[int | None, str | None, list[str] | None]]:
+            """Documents and their units; those of some documents are learned at once."""
+            some, new, characters = [], {}, 0
+            for batch in batches:
+                for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    try:
+                        text = raw.as_py().decode() if raw.is_valid else None
+                    except UnicodeDecodeError:
+                        text = None  # no tokens can give its bytes back
+                    parts = units.pattern.findall(" " + text) if text and len(text) <= _AT_ONCE else None
+                    some.append((doc, text, parts))
+                    new.update(dict.fromkeys(parts or ()))
+                    characters += len(text or "")
+                    if characters > _AT_ONCE or len(some) > 20_000:
+                        units.learn([u for u in new if u not in units.known])
+                        yield from some
+                        some, new, characters = [], {}, 0
+            units.learn([u for u in new if u not in units.known])
+            yield from some
+
+        for doc, text, parts in rows(batches):
+            held.add(doc, text, parts)
+            if held.characters > BLOCK or len(held.docs) > BLOCK // 100:
+                yield held.row(number)
+                number += 1
+                units.room()
+                held = Block(units)
         if held.docs:
             yield held.row(number)
 
