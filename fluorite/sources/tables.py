@@ -23,8 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_path(spark: SparkSession) -> str:
-    """A new path below the folder that the cluster names in spark.checkpoint.dir; what is there goes when the JVM ends."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
+    """A new path below the folder that the cluster names in spark.checkpoint.dir; what is there goes when the JVM ends.
+
+    Where none is named, a local master gets a folder of its own; a cluster's executors wouldn't see one, so that is an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("name a shared folder in spark.checkpoint.dir")
+        base = "file://" + tempfile.mkdtemp()
     path = f"{base}/{uuid.uuid4().hex}"
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)

@@ -88,3 +88,16 @@ def test_tiles_are_fields_of_their_own(spark):
         want = [w for w in plain(enumerate(at), own) if w[3] is None]
         found = out[(out["tile"] == tile) & out["shape"].isna()]
         assert same(list(zip(found["t"], found["k"], found["v"], [None] * len(found))), want)
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    class Conf:
+        def get(self, key, default):
+            return default
+
+    class Session:
+        conf = Conf()
+        sparkContext = type("Context", (), {"master": "spark://somewhere:7077"})()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        T.shared_path(Session())
