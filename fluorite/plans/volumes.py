@@ -1,10 +1,11 @@
-"""Registered queries of registration in three dimensions and by interpolated fields, with SQL where it can tell."""
+"""Registered queries of registration in three dimensions, by interpolated fields, and of dense motion, with SQL where it can tell."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import flow as OF
 from ..operators import volumes as V
 from ..sources import tables as T
 from .catalogue import _FRAMES, _query, D1, D2
@@ -47,3 +48,9 @@ def motion_warp_movie(spark: SparkSession, d: str) -> DataFrame:
 def volume_tile_shifts(spark: SparkSession, d: str) -> DataFrame:
     frames = T.frames(spark, d)
     return V.tile_shifts(frames, V.template_of(frames, DIMS), 1.0, (3, 3, 3), (1, 1, 1), 0.5)
+
+
+@_query()
+def optical_flow(spark: SparkSession, d: str) -> DataFrame:
+    """The motion of each pixel from each frame to the next."""
+    return OF.polar(OF.flow(T.frames(spark, d), D1, D2, levels=1, reach=2, sigma=1.0, window=2))
