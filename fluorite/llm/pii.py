@@ -199,7 +199,8 @@ def find(docs: DataFrame, share=LEAST_SHARE, bits=LEAST_BITS, weight=WEIGHT, nea
         return based.drop("_h0", "_h1").withColumn("_term", empty)
     # Terms hold letters, marks, ', ’ and - only: none of these is special in a pattern outside brackets.
     of = _holding(based, revealing).groupBy("_h0", "_h1").agg(F.array_join(F.array_sort(F.collect_set("term")), "|").alias("_terms"))
-    based = based.join(stored(of), ["_h0", "_h1"], "left").drop("_h0", "_h1")
+    # The same join at every size: `of` grows with the documents, so it is not broadcast where it happens to be small.
+    based = based.join(stored(of).hint("merge"), ["_h0", "_h1"], "left").drop("_h0", "_h1")
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{M}'’-])(?:"), F.col("_terms"), F.lit(r")(?![\p{L}\p{M}'’-])"))
     base = F.concat(*[F.col(f"_{k}") for k in KINDS])
     spans = F.filter(_located(F.col("_text"), pattern, lambda m: F.lit(True)), lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
