@@ -104,8 +104,8 @@ def compare_components(spark: SparkSession, d: str) -> DataFrame:
 m AS (SELECT top.k, px.p, avg(px.v) AS v, any_value(a.w) AS w FROM top JOIN px USING (t) JOIN a ON a.k = top.k AND a.p = px.p GROUP BY ALL) SELECT k, round(corr(v, w), 6) AS r FROM m GROUP BY k""")
 def component_space_corr(spark: SparkSession, d: str) -> DataFrame:
     a, _ = _components(spark, d)
-    px = T.pixels(T.frames(spark, d))
-    return _rounded(E.space_correlation(a, px, FP.project(a, px), 8), "r")
+    f = T.frames(spark, d)
+    return _rounded(E.space_correlation(a, T.pixels(f), FP.seen(a, f, top=8), 8), "r")
 
 
 @_query(f"""WITH RECURSIVE {_SMALL}, n AS (SELECT k, sqrt(sum(w * w)) AS n FROM a GROUP BY k), o AS (SELECT a.k, b.k AS k2 FROM a JOIN a b ON a.p = b.p AND a.k < b.k JOIN n x ON x.k = a.k JOIN n y ON y.k = b.k GROUP BY a.k, b.k, x.n, y.n HAVING sum(a.w * b.w) > 0.9 * x.n * y.n),
