@@ -60,7 +60,7 @@ def current(written: DataFrame, g: float) -> DataFrame:
     covers it. A version replaces all that began at its first pool or later."""
     own = Window.partitionBy("k")
     starts = written.groupBy("k", "version").agg(F.min("start").alias("from"))
-    later = starts.withColumn("cut", F.min("from").over(own.orderBy("version").rowsBetween(1, Window.unboundedFollowing))).select("k", "version", "cut")
+    later = starts.withColumn("cut", F.min("from").over(own.orderBy(F.col("version").desc()).rowsBetween(Window.unboundedPreceding, -1))).select("k", "version", "cut")
     kept = written.join(later, ["k", "version"]).where(F.col("cut").isNull() | (F.col("start") < F.col("cut")))
     before = F.lag(F.col("value") * F.pow(F.lit(g), F.col("length"))).over(own.orderBy("start"))
     kept = kept.withColumn("s", F.greatest(F.lit(0.0), F.coalesce(F.col("value") - before, F.lit(0.0))))

@@ -103,3 +103,25 @@ def test_appended_rows_stay_out_of_the_driver(spark, tmp_path):
     got = catalogue.queries()["stream_dedupe"](spark, str(tmp_path))
     assert sorted(r["event_id"] for r in got.collect()) == list(range(50))
     assert {t.name for t in spark.catalog.listTables()} == before and len(got.inputFiles()) > 0
+
+
+def test_no_window_sums_all_that_follows_anew(spark):
+    """A frame that ends with the rows is quadratic in a pixel's steps or an image's objects."""
+    from fluorite.operators import detections as DT
+    from fluorite.operators import measures as E
+    from pyspark.sql import functions as F
+
+    r = np.random.default_rng(0)
+    v = np.where(r.random(40) < 0.4, 9.0, r.random(40))
+    pixels = spark.createDataFrame([(t, 0, float(x)) for t, x in enumerate(v)], "t int, p int, v double")
+    got = E.filled(pixels, F.col("v") > 5)
+    good = np.flatnonzero(v < 5)
+    want = [v[t] if v[t] < 5 else np.mean([v[g] for g in ([*good[good < t][-1:], *good[good > t][:1]])]) for t in range(40)]
+    assert np.allclose([x["v"] for x in got.orderBy("t").collect()], want)
+    found = spark.createDataFrame([(0, float(s), i, bool(i % 3), 0.6 if i % 3 else 0.1, 9) for i, s in enumerate(r.random(12))], "image int, score double, id int, hit boolean, iou double, truth int")
+    ap, ranged = E.average_precision(found), DT.precision_range(found, [0.5])
+    hits = np.array([x["hit"] for x in found.orderBy(F.col("score").desc()).collect()])
+    precision = np.maximum.accumulate((np.cumsum(hits) / np.arange(1, 13))[::-1])[::-1]
+    assert abs(ap.first()["ap"] - precision[hits].sum() / 9) < 1e-12 and abs(ranged.first()["ap"] - precision[hits].sum() / 9) < 1e-12
+    for df in (got, ap, ranged):
+        assert "unboundedfollowing" not in df._jdf.queryExecution().analyzed().toString().lower()
