@@ -125,3 +125,26 @@ def test_no_window_sums_all_that_follows_anew(spark):
     assert abs(ap.first()["ap"] - precision[hits].sum() / 9) < 1e-12 and abs(ranged.first()["ap"] - precision[hits].sum() / 9) < 1e-12
     for df in (got, ap, ranged):
         assert "unboundedfollowing" not in df._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_components_merge_over_blocks(spark, monkeypatch):
+    """Blocks of two components find what all pairs at once give; traces share some steps only."""
+    from fluorite.operators import measures as E
+
+    monkeypatch.setattr(E, "_MERGED", 2)
+    r = np.random.default_rng(3)
+    w = r.uniform(0.5, 1.5, (7, 6))
+    v = r.normal(size=(7, 30)) + 2.0 * np.outer([1, 0, 1, 0, 0, 1, 0], r.normal(size=30)) + 1e6
+    known = r.random((7, 30)) < 0.8
+    a = spark.createDataFrame([(k, p, float(w[k, p])) for k in range(7) for p in range(6)], "k long, p long, w double")
+    c = spark.createDataFrame([(k, t, float(v[k, t])) for k in range(7) for t in np.flatnonzero(known[k]).tolist()], "k long, t long, v double")
+    head = list(range(7))
+    for _ in range(7):
+        for i in range(7):
+            for j in range(7):
+                both = known[i] & known[j]
+                if w[i] @ w[j] > 0.85 * np.linalg.norm(w[i]) * np.linalg.norm(w[j]) and np.corrcoef(v[i, both], v[j, both])[0, 1] > 0.5:
+                    head[i] = head[j] = min(head[i], head[j])
+    assert len(set(head)) < 7
+    got = E.merge_groups(a, c, 0.5, 0.85)
+    assert {x["k"]: x["head"] for x in got.collect()} == dict(enumerate(head))
