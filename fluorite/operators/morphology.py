@@ -6,6 +6,7 @@ pixels high; p = y + x * height counts in the whole frame.
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
 
 import numpy as np
@@ -94,18 +95,32 @@ def labels(tiles: DataFrame, height: int, level: float, diagonal: bool = False)
     return found.join(names, ["image", "label"], "left").select("image", "p", F.coalesce("least", "label").alias("label"))
 
 
-def shaped(a: DataFrame, d1: int, change: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """Footprints (k, p, w) after a change of each one's image, in the box of its pixels and a pixel around."""
-    kinds = dict(a.dtypes)
+def _near(at: np.ndarray, apart: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places with their gaps cut to `apart` empty rows, and the first place of what each row then stands for."""
+    held = np.unique(at)
+    place = np.r_[0, np.cumsum(np.minimum(np.diff(held), apart + 1))].astype(np.int64)
+    rows = np.arange(place[-1] + 1)
+    last = np.searchsorted(place, rows, side="right") - 1
+    return place[np.searchsorted(held, at)], held[last] + rows - place[last]
+
+
+def shaped(a: DataFrame, d1: int, change: Callable[..., np.ndarray], apart: int = 6) -> DataFrame:
+    """Footprints (k, p, w) after a change of each one's image, in the box of its pixels.
+
+    Rows and columns without a pixel count as at most `apart`, so an image grows with a footprint's pixels and not with how
+    far they lie from each other; a change must not look over so wide a gap. One that has a parameter `at` gets there where
+    the image's rows and columns lie. What it sets must be pixels of the footprint.
+    """
+    kinds, placed = dict(a.dtypes), "at" in inspect.signature(change).parameters
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        y, x = frame["p"].to_numpy() % d1, frame["p"].to_numpy() // d1
-        top, left = y.min(), x.min()
-        image = np.zeros((int(y.max() - top) + 1, int(x.max() - left) + 1))
-        image[y - top, x - left] = frame["w"].to_numpy(dtype=float)
-        out = change(image)
+        y, rows = _near(frame["p"].to_numpy() % d1, apart)
+        x, columns = _near(frame["p"].to_numpy() // d1, apart)
+        image = np.zeros((len(rows), len(columns)))
+        image[y, x] = frame["w"].to_numpy(dtype=float)
+        out = change(image, at=(rows, columns)) if placed else change(image)
         y, x = np.nonzero(out)
-        return pd.DataFrame({"k": [frame["k"].iloc[0]] * len(y), "p": y + top + (x + left) * d1, "w": out[y, x]})
+        return pd.DataFrame({"k": [frame["k"].iloc[0]] * len(y), "p": rows[y] + columns[x] * d1, "w": out[y, x]})
 
     return a.where("w is not null").select("k", "p", "w").groupBy("k").applyInPandas(run, f"k {kinds['k']}, p {kinds['p']}, w double")
 

@@ -54,17 +54,17 @@ def distance_inside(spark: SparkSession, d: str) -> DataFrame:
 
 @_query()
 def footprints_falling(spark: SparkSession, d: str) -> DataFrame:
-    return SH.shaped(T.footprints(spark, d), W, MO.falling)
+    return SH.shaped(T.footprints(spark, d), W, MO.falling, apart=1)
 
 
 @_query()
 def footprints_connected(spark: SparkSession, d: str) -> DataFrame:
-    return SH.shaped(T.footprints(spark, d), W, lambda x: MO.connected(x, reach=0))
+    return SH.shaped(T.footprints(spark, d), W, lambda x: MO.connected(x, reach=0), apart=1)
 
 
 @_query()
 def footprints_cleaned(spark: SparkSession, d: str) -> DataFrame:
-    return SH.shaped(T.footprints(spark, d), W, lambda x: MO.cleaned(x, 0.05))
+    return SH.shaped(T.footprints(spark, d), W, lambda x: MO.cleaned(x, 0.05), apart=3)
 
 
 @_query()

@@ -127,3 +127,32 @@ def test_footprint_masks(spark):
     got = {(r["k"], r["p"]): r["w"] for r in SH.shaped(a, 15, MO.cleaned).collect()}
     want = MO.cleaned(apart)
     assert {p for k, p in got if k == "a"} == {int(y + x * 15) for y, x in zip(*np.nonzero(want))} and not any(k == "c" for k, _ in got)
+
+
+def test_far_pixels_make_no_large_image(spark):
+    """Footprints of a few pixels far apart: the result of the whole box, from an image of the pixels' size."""
+    from fluorite.functions import morphology as MO
+    from fluorite.operators import morphology as SH
+
+    r = np.random.default_rng(2)
+    d1, rows = 50, []
+    for k in range(3):
+        at = {(int(y), int(x)) for y, x in zip(r.integers(0, 50, 40), r.integers(0, 12, 40) + 300 * r.integers(0, 3, 40))}
+        rows += [(k, y + x * d1, float(r.uniform(0.5, 5))) for y, x in sorted(at)]
+    a = spark.createDataFrame(rows, "k long, p long, w double")
+    for change, apart in ((MO.falling, 1), (lambda x: MO.connected(x, reach=0), 1), (lambda x: MO.cleaned(x, 0.05), 3), (MO.falling, 6)):
+        want = set()
+        for k in range(3):
+            p, w = np.array([x[1] for x in rows if x[0] == k]), np.array([x[2] for x in rows if x[0] == k])
+            image = np.zeros((50, p.max() // d1 + 1))
+            image[p % d1, p // d1] = w
+            top, left = (p % d1).min(), (p // d1).min()
+            out = change(image[top:(p % d1).max() + 1, left:])
+            want |= {(k, int(y + top + (x + left) * d1), float(out[y, x])) for y, x in zip(*np.nonzero(out))}
+        assert {tuple(x) for x in SH.shaped(a, d1, change, apart).collect()} == want
+
+    def sized(x):
+        assert x.size < 50 * 200  # 50 * 612 in the whole box
+        return x
+
+    assert SH.shaped(a, d1, sized).count() == len(rows)
