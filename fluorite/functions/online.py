@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import json
 from dataclasses import asdict, dataclass
+from functools import lru_cache
 
 import numpy as np
 
@@ -46,6 +47,7 @@ def _correlation(a: np.ndarray, b: np.ndarray) -> float:
     return float(a @ b) / size if size > 1e-12 else 0.0
 
 
+@lru_cache
 def _smoother(d: int, radius: int) -> np.ndarray:
     """A Gaussian of half the radius less the mean of a wider box, along one side, rows summing to nothing."""
     away = abs(np.subtract.outer(np.arange(d), np.arange(d)))
@@ -66,6 +68,7 @@ class Field:
         self.ab, self.support, self.c = empty(self.pixels, 0), np.zeros((self.pixels, 0), dtype=bool), empty(0, 0)
         self.cy, self.cc = empty(0, self.pixels), empty(0, 0)
         self.drawn: list[tuple[int, int, np.ndarray]] = []
+        self._gram: np.ndarray | None = None  # of ab with itself, until footprints change
 
     _ARRAYS = ("times", "raw", "left", "energy", "ab", "support", "c", "cy", "cc")
 
@@ -142,7 +145,7 @@ class Field:
     def _begin(self) -> None:
         b = np.maximum(np.median(self.raw, axis=0), 0.0)
         b = b / (np.linalg.norm(b) or 1.0)
-        self.ab, self.support = b[:, None], np.ones((self.pixels, 1), dtype=bool)
+        self.ab, self.support, self._gram = b[:, None], np.ones((self.pixels, 1), dtype=bool), None
         self.c = (self.raw @ b)[None]
         self.cy, self.cc = self.c @ self.raw / self.n, self.c @ self.c.T / self.n
         self.left = self.raw - self.c.T @ self.ab.T
@@ -151,7 +154,9 @@ class Field:
     def _follow(self, y: np.ndarray) -> None:
         """The frame's values by coordinate descent, components through their pools, and what they add to the sums."""
         s, ab = self.settings, self.ab
-        seen, gram = ab.T @ y, ab.T @ ab
+        if self._gram is None:
+            self._gram = ab.T @ ab
+        seen, rows, size = (ab.T @ y).tolist(), list(self._gram), self._gram.diagonal().tolist()
         c = self.c[:, -1].copy()
         if s.g is not None:
             c[1:] *= s.g
@@ -159,7 +164,7 @@ class Field:
         self.c = np.hstack([self.c, c[:, None]])
         for turn in range(s.rounds):
             for m in range(len(c)):
-                free = c[m] + (seen[m] - gram[m] @ c) / gram[m, m] if gram[m, m] > 1e-12 else 0.0
+                free = float(c[m]) + (seen[m] - float(rows[m].dot(c))) / size[m] if size[m] > 1e-12 else 0.0
                 if m == 0 or s.g is None:
                     c[m] = max(free, 0.0)
                 elif turn < s.rounds - 1:
@@ -168,9 +173,10 @@ class Field:
                     pool = self.pools[m - 1]
                     changed = pool.extend([free])
                     n = min(pool.end - changed, first + 1)
-                    self.c[m, -n:] = pool.trace(pool.end - n)
+                    told = pool.tail(n)
+                    self.c[m, -n:] = told
                     pool.settled(pool.end - 2 * s.buffer)  # older ones are told already
-                    c[m] = self.c[m, -1]
+                    c[m] = told[-1]
         self.c[:, -1] = c
         self.c = self.c[:, -s.buffer :]
         rest = y - ab @ c
@@ -231,12 +237,14 @@ class Field:
         self.cc = np.block([[self.cc, both[:-1, None]], [both[None, :-1], both[None, -1:]]])
         self.cy = np.vstack([self.cy, c @ self.raw / self.n])
         self.ab, self.support = np.hstack([self.ab, a[:, None]]), np.hstack([self.support, near[:, None]])
+        self._gram = None
         self.c = np.vstack([self.c, c])
         self.left = self.left - np.outer(c, a)
         self.energy = self._filtered(self.left)
 
     def _reshape(self) -> None:
         """Footprints by block-coordinate descent from the running sums, within their support."""
+        self._gram = None
         for _ in range(2):
             for m in range(self.ab.shape[1]):
                 if self.cc[m, m] <= 1e-12:

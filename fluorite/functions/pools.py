@@ -67,13 +67,32 @@ class Pools:
 
     def settled(self, before: int) -> np.ndarray:
         """Takes out and returns the pools that end at `before` or earlier; later steps can't reach them any more."""
-        n = sum(p[2] + p[3] <= before for p in self.stack[:-1])
-        out, self.stack = np.array(self.stack[:n], dtype=float).reshape(-1, 4), self.stack[n:]
+        n = 0
+        while n < len(self.stack) - 1 and self.stack[n][2] + self.stack[n][3] <= before:
+            n += 1
+        out = np.array(self.stack[:n], dtype=float).reshape(-1, 4)
+        if n:
+            self.stack = self.stack[n:]
         return out
 
     def trace(self, first: int = 0) -> np.ndarray:
         """The denoised trace from step `first` on."""
-        return unrolled(self.array(), self.g, first)
+        n = len(self.stack)
+        while n and self.stack[n - 1][2] + self.stack[n - 1][3] > first:
+            n -= 1
+        return unrolled(np.array(self.stack[n:], dtype=float).reshape(-1, 4), self.g, first)
+
+    def tail(self, n: int) -> list[float]:
+        """The denoised last n steps: trace() from there on, pool by pool, as a step mostly changes few."""
+        out, left = [], n
+        for v, w, _, length in reversed(self.stack):
+            if left <= 0:
+                break
+            some = min(left, length)
+            level = max(v / w, 0.0)
+            out.append([level * f for f in _powers(self.g, length)[length - some : length]])
+            left -= some
+        return [v for part in reversed(out) for v in part]
 
     def value(self) -> float:
         """The denoised last step."""
@@ -81,6 +100,16 @@ class Pools:
         return max(v / w, 0.0) * self.g ** (n - 1)
 
 
+_POWERS: dict[float, list[float]] = {}
+
+
+def _powers(g: float, n: int) -> list[float]:
+    """g ** 0, g ** 1, ..., n of them at least."""
+    if len(_POWERS.get(g, ())) < n:
+        _POWERS[g] = (g ** np.arange(max(64, 2 * n))).tolist()
+    return _POWERS[g]
+
+
 def unrolled(pools: np.ndarray, g: float, first: int = 0) -> np.ndarray:
     """Values from step `first` on of pools in order (the last one that starts at or before it, and all after)."""
     pools = pools[pools[:, 2] + pools[:, 3] > first]

@@ -47,6 +47,14 @@ def test_pools_pop_peek_and_settle():
     assert not len(Pools(g).trace()) and Pools(g).extend([]) == 0
 
 
+def test_the_tail_of_pools_is_the_trace_to_its_last_bit():
+    for g in (0.9, 0.5):
+        pools = Pools(g)
+        for v in ar_trace(seed=7):
+            pools.extend([v])
+            assert all(pools.tail(n) == unrolled(pools.array(), g, pools.end - n).tolist() for n in {1, min(3, pools.end), min(40, pools.end), pools.end})
+
+
 def movie(seed=0, n=600, d=14, k=3, g=0.9, noise=0.25):
     """Blobs with decaying transients on a smooth background that changes slowly."""
     r = np.random.default_rng(seed)
@@ -126,3 +134,15 @@ def test_short_and_broken_streams():
         field.step(2, np.ones(16))
     got = field.step(7, np.full(16, np.nan))
     assert got == []  # a frame with a missing pixel is left out
+
+
+def test_products_of_footprints_are_made_anew_only_when_they_change():
+    y, _, _, _ = movie(n=150)
+    field = O.Field(O.Settings(d1=14, d2=14, radius=3, start=60, buffer=60, update_every=40))
+    held = []
+    for t, frame in enumerate(y):
+        field.step(t, frame)
+        if field._gram is not None:
+            assert (field._gram == field.ab.T @ field.ab).all()
+            held.append(field._gram)
+    assert len({id(g) for g in held}) < len(held) / 3
