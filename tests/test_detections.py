@@ -115,3 +115,19 @@ def test_fit_finds_made_components(spark):
     assert len(traces) == 4 and min(best) > 0.95
     assert all(q["accepted"] for q in found.quality.collect())
     assert RC.selected(found, discarded=True).footprints.count() == 0
+
+
+def test_pairs_of_masks_are_counted_where_they_are_made(spark):
+    """As sets say, without a shuffle by pairs: one by k1 of rows of arrays serves counts and sizes."""
+    from fluorite.operators import matching as M
+
+    rows = [(s, k, p) for s in "AB" for k in range(6) for p in range(40) if (k * 7 + p * (3 if s == "A" else 5)) % 11 < 4]
+    masks = spark.createDataFrame([*rows, ("A", None, 3), ("B", 77, 1000), ("C", 1, 1)], "set_id string, k long, p long")
+    at = {}
+    for s, k, p in rows:
+        at.setdefault((s, k), set()).add(p)
+    want = {(i, j): (len(x & y), len(x & y) / len(x | y), len(x & y) / min(len(x), len(y))) for (s, i), x in at.items() if s == "A" for (u, j), y in at.items() if u == "B" and x & y}
+    got = M.overlaps(masks, "A", "B")
+    assert {(x["k1"], x["k2"]): (x["common"], x["iou"], x["inside"]) for x in got.collect()} == want
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert not [x for x in plan.splitlines() if "Exchange" in x and "hashpartitioning(k1" in x and ", k2" in x]
