@@ -59,16 +59,23 @@ def mix(docs: DataFrame, weights=WEIGHTS, drifts=DRIFTS, most=MOST_REPEATS) -> D
 
     A source's documents, in the order of a hash of doc_id, are taken whole as often as its target asks for, and then
     once more up to the target, the last one in part: the words taken meet the rounded target exactly. position is the
-    time at which the middle of a document's first copy is due (null: nothing is taken).
+    time at which the middle of a document's first copy is due (null: nothing is taken). Rows are range-sorted by it, those
+    that aren't taken last.
 
     Null text has no words and takes no room; null sources are one source, the last; rows of the same doc_id count each,
     in the order of their size and text's hash; an empty table gives none. Other columns are ignored.
     """
     sized = stored(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("text_hash")))
-    return _placed(sized, weights, drifts, most).select(
+    rows = _placed(sized, weights, drifts, most).select(
         "doc_id", "size", "source_size", "target", "taken",
         F.when(F.col("taken") > 0, time_of((F.col("before") + F.least("size", "taken") / 2) / F.col("words"), F.col("drift"))).alias("position"),
     )
+    return _in_order(rows, F.col("position").asc_nulls_last(), F.col("doc_id"))
+
+
+def _in_order(rows: DataFrame, *order: Column) -> DataFrame:
+    """Rows range-sorted over all partitions: the order in which training meets them."""
+    return rows.repartitionByRange(partitions(rows.sparkSession), *order).sortWithinPartitions(*order)
 
 
 def _placed(sized: DataFrame, weights, drifts, most) -> DataFrame:
@@ -108,8 +115,7 @@ def mixed(docs: DataFrame, weights=WEIGHTS, drifts=DRIFTS, most=MOST_REPEATS) ->
     changed = {"text": F.when(F.col("cut"), head).otherwise(text)}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.when(F.col("cut"), F.char_length(head)).otherwise(F.col("_row.n_chars"))
-    rows = rows.repartitionByRange(partitions(docs.sparkSession), "at", "doc_id").sortWithinPartitions("at", "doc_id")
-    return unpacked(rows, docs, **changed)
+    return unpacked(_in_order(rows, F.col("at"), F.col("doc_id")), docs, **changed)
 
 
 ORACLE_SQL = r"""

@@ -54,3 +54,14 @@ def test_repeated_rows_no_words_and_empty(spark):
     assert sum(r["taken"] for r in X.mix(docs).collect()) == 5 == sum(len(r["text"].split()) for r in X.mixed(docs).collect())
     assert {(r["taken"], r["target"]) for r in X.mix(documents(spark, [None, ""])).collect()} == {(0, 0.0)}
     assert X.mix(docs.where("false")).count() == 0 and X.mixed(docs.where("false")).count() == 0
+
+
+def test_rows_come_in_the_order_of_the_curriculum(spark):
+    texts = [f"w{i} " * (i % 9 + 1) for i in range(300)]
+    docs = documents(spark, [*texts, None], sources=[*("abc"[i % 3] for i in range(300)), "a"]).repartition(5)
+    got = [(r["position"] is None, r["position"] or 0.0, r["doc_id"]) for r in X.mix(docs).collect()]
+    assert got == sorted(got) and len(got) == 301 and got[-1][0]
+    whole = [r["doc_id"] for r in X.mixed(docs).collect()]
+    first = list(dict.fromkeys(whole))
+    place = {d: p for none, p, d in got if not none}
+    assert first == sorted(first, key=lambda d: (place[d], d))
