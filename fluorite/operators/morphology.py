@@ -86,13 +86,13 @@ def labels(tiles: DataFrame, height: int, level: float, diagonal: bool = False)
     y = F.pmod(F.col("p"), F.lit(height))
     near = [F.when(F.lit(dy == 0) | ((y + dy >= 0) & (y + dy < height)), F.col("p") + dy + dx * height) for dy, dx in [(s[1], s[0]) for s in MO.offsets(2, diagonal)]]
     asked = rim.select(F.col("image").alias("i"), F.col("label").alias("a"), F.explode(F.array(*near)).alias("q")).where("q is not null")
-    meet = asked.join(rim, (F.col("i") == rim["image"]) & (F.col("q") == rim["p"])).where("a <> label").select("image", "a", F.col("label").alias("b")).distinct()
+    meet = asked.join(rim.hint("merge"), (F.col("i") == rim["image"]) & (F.col("q") == rim["p"])).where("a <> label").select("image", "a", F.col("label").alias("b")).distinct()
     side = lambda c: F.struct("image", F.col(c).alias("label"))
     edge = F.struct("image", "a", "b")
     joined = blocks(meet.select(side("a").alias("k1"), edge.alias("k2")).unionByName(meet.select(side("b").alias("k1"), edge.alias("k2"))))
     least = joined.groupBy("block").agg(F.min("k1.label").alias("least"))
-    names = joined.join(least, "block").select("k1.image", F.col("k1.label").alias("label"), "least")
-    return found.join(names, ["image", "label"], "left").select("image", "p", F.coalesce("least", "label").alias("label"))
+    names = joined.join(least.hint("merge"), "block").select("k1.image", F.col("k1.label").alias("label"), "least")
+    return found.join(names.hint("merge"), ["image", "label"], "left").select("image", "p", F.coalesce("least", "label").alias("label"))
 
 
 def _near(at: np.ndarray, apart: int) -> tuple[np.ndarray, np.ndarray]:

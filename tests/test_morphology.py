@@ -156,3 +156,13 @@ def test_far_pixels_make_no_large_image(spark):
         return x
 
     assert SH.shaped(a, d1, sized).count() == len(rows)
+
+
+def test_labels_over_tiles_send_no_table_through_the_driver(spark):
+    from fluorite.operators import morphology as SH
+    from fluorite.sources import tables as T
+
+    frames = spark.createDataFrame([(0, t, [float((p * 7 + t) % 3 > 0) for p in range(64)]) for t in range(5)], "session int, t long, img array<double>")
+    out = SH.labels(SH.cut(T.stored(frames), 8, 8, 3), 8, 0.5)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == sum((p * 7 + t) % 3 > 0 for t in range(5) for p in range(64))
