@@ -64,3 +64,21 @@ def test_repeated_rows_and_empty(spark):
     got = K.pack(docs).collect()
     assert len(got) == 4 and len({(r["sequence_id"], r["offset"]) for r in got}) == 4
     assert K.pack(docs.where("false")).count() == 0
+
+
+def test_only_words_of_other_letters_take_the_whole_tokenizer(monkeypatch):
+    real, given = Tokenizer.from_file(public_tokenizers.path(K.VOCABULARY)), []
+
+    class Counted:
+        model, normalizer, pre_tokenizer = real.model, real.normalizer, real.pre_tokenizer
+        from_file = staticmethod(lambda path: Counted())
+
+        def encode(self, words, **options):
+            given.extend(words)
+            return real.encode(words, **options)
+
+    monkeypatch.setattr("tokenizers.Tokenizer", Counted)
+    texts = ["Some wörds, ÀÉ*** end. --- a<| <|", "it's x1 <|endoftext|> d'Été мир", "ÿ×÷ß! ªº µm", "Some wörds*** İstanbul été"]
+    got = K._word_ids(public_tokenizers.path(K.VOCABULARY))([t.encode() for t in texts])
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [real.encode(t, add_special_tokens=False).ids for t in texts]
+    assert not {"some", "wörds,", "wörds***", "ÀÉ***", "end.", "---"}.intersection(given) and "it's" in given
