@@ -35,15 +35,16 @@ def _volume(img: list | None, dims: tuple[int, ...]) -> np.ndarray | None:
     return np.array(img, dtype=float).reshape(dims, order="F")
 
 
-def _mapped(frames: DataFrame, dims: tuple[int, ...], out: str, row: Callable[[np.ndarray | None], list]) -> DataFrame:
-    """(t, columns of `out`) with row(volume) of each frame. No shuffle."""
+def _mapped(frames: DataFrame, dims: tuple[int, ...], out: str, row: Callable[..., list], once: Callable[[], list] | None = None) -> DataFrame:
+    """(t, columns of `out`) with row(volume) of each frame, or row(volume, once()) with what a task makes once. No shuffle."""
     kind = dict(frames.dtypes)["t"]
     names = ["t", *[c.strip().split(" ")[0] for c in out.split(",")]]
     kinds = [pa.list_(pa.float64()) if "array<double>" in c else pa.float64() for c in out.split(",")]
 
     def run(batches):
+        fixed = (once(),) if once else ()
         for batch in batches:
-            found = [row(_volume(img.as_py(), dims)) for img in batch.column(1)]
+            found = [row(_volume(img.as_py(), dims), *fixed) for img in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([f[i] for f in found], k) for i, k in enumerate(kinds)]], names=names)
 
     return frames.select("t", "img").mapInArrow(run, f"t {kind}, {out}")
@@ -81,13 +82,13 @@ def tile_shifts(frames: DataFrame, template: np.ndarray, most, sizes, strides, d
     the last axis first."""
     spectrum, dims = W.spectrum(template), template.shape
 
-    def row(v):
+    def row(v, tiles):
         if v is None:
             return [None]
         known = W.filled(v, template)
-        return [W.tile_field(known, template, sizes, strides, W.peak_shift(known, spectrum, most, upsample), deviation, upsample).ravel()]
+        return [W.tile_field(known, template, sizes, strides, W.peak_shift(known, spectrum, most, upsample), deviation, upsample, known=tiles).ravel()]
 
-    flat = _mapped(frames, dims, "s array<double>", row)
+    flat = _mapped(frames, dims, "s array<double>", row, lambda: W.tiles_of(template, sizes, strides))
     n = len(dims)
     each = F.posexplode(F.transform(F.sequence(F.lit(0), (F.size("s") / n).cast("int") - 1), lambda i: F.slice("s", i * n + 1, n)))
     return flat.select("t", each.alias("tile", "s")).select("t", "tile", *[F.get("s", F.lit(i)).alias(a) for i, a in enumerate(AXES[:n])])
@@ -97,10 +98,10 @@ def warp(frames: DataFrame, template: np.ndarray, most, sizes, strides, deviatio
     """(t, img): frames warped onto the template: the tiles' shifts are interpolated to a shift for every pixel."""
     spectrum = W.spectrum(template)
 
-    def row(v):
-        return [None if v is None else W.piecewise(v, template, spectrum, most, sizes, strides, deviation, upsample)[0].ravel(order="F")]
+    def row(v, tiles):
+        return [None if v is None else W.piecewise(v, template, spectrum, most, sizes, strides, deviation, upsample, tiles)[0].ravel(order="F")]
 
-    return _mapped(frames, template.shape, "img array<double>", row)
+    return _mapped(frames, template.shape, "img array<double>", row, lambda: W.tiles_of(template, sizes, strides))
 
 
 def aligned(frames: DataFrame, dims: tuple[int, ...], most, sizes, strides, deviation: float, upsample: int = 10, rounds: int = 2) -> tuple[DataFrame, np.ndarray]:

@@ -124,3 +124,20 @@ def test_whole_shifts_by_sql(spark):
     want = sorted(db.execute(catalogue.oracle_sql()["volume_shift_best"]).fetchall())
     got = sorted(tuple(r) for r in catalogue.queries()["volume_shift_best"](spark, SF).select("t", "dy", "dx", "dz").collect())
     assert got == want
+
+
+def test_tiles_are_told_at_once(monkeypatch):
+    r = np.random.default_rng(5)
+    for dims, sizes, strides in (((4, 4, 4), (3, 3, 3), (1, 1, 1)), ((9, 8), (4, 5), (2, 2))):
+        template = r.normal(size=dims)
+        volume = template + r.normal(size=dims)
+        shape, parts, weight, spectra = W.tiles_of(template, sizes, strides)
+        found = W.shift_field(volume, (shape, parts, weight, spectra), 0.5)
+        one = [W.peak_shift((volume[p] - volume[p].mean()) * weight, s, 0.5) for p, s in zip(parts, spectra)]
+        assert np.allclose(found.reshape(-1, len(dims)), one)
+        assert np.allclose(W.peak_shifts(np.stack([volume]), W.spectrum(template)[None], 1, 1)[0], W.peak_shift(volume, W.spectrum(template), 1, 1))
+        calls, fftn = [], np.fft.fftn
+        with monkeypatch.context() as m:
+            m.setattr(np.fft, "fftn", lambda *a, **k: calls.append(1) or fftn(*a, **k))
+            W.tile_field(volume, template, sizes, strides, np.zeros(len(dims)), 0.5, known=(shape, parts, weight, spectra))
+        assert len(calls) <= 3  # one for each round, whatever the tiles
