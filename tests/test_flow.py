@@ -52,3 +52,14 @@ def test_frames_meet_their_next(spark):
     size = {r["p"]: r["size"] for r in OF.polar(one).collect()}
     assert abs(size[45] - np.hypot(got[0, 1][0][5, 1], got[0, 1][1][5, 1])) < 1e-9
     assert abs(OF.restlessness(one).first()["size"] - np.sqrt((got[0, 1][0] ** 2 + got[0, 1][1] ** 2).mean())) < 1e-9
+
+
+def test_a_step_looks_at_all_channels_at_once(monkeypatch):
+    calls, warped = [], FL.warped
+    monkeypatch.setattr(FL, "warped", lambda *a: calls.append(1) or warped(*a))
+    one, two = np.random.default_rng(0).normal(size=(2, 9, 8))
+    FL.motion(one, two, levels=1, reach=2, sigma=1.0, window=2, rounds=4, refine=0)
+    assert len(calls) == 4
+    x, d = np.random.default_rng(1).normal(size=(9, 8, 3)), np.random.default_rng(2).normal(size=(9, 8, 2))
+    for border in (None, -1.0):
+        assert (warped(x, d, border) == np.stack([warped(x[..., i], d, border) for i in range(3)], axis=-1)).all()
