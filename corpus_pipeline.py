@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from fluorite.llm import language_id, mixing, ngram_join, packing, pii
-from fluorite.llm._shared import stored, table
+from fluorite.llm._shared import small_batches, stored, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told stay; those without a letter, and those of no clear language, go."""
+    small_batches(spark)
     return language_id.keep_identified(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that shingles of five words link at a similarity of 0.8 or more stays."""
+    small_batches(spark)
     return ngram_join.keep_one(docs)
 
 
@@ -30,6 +32,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents, each with its place in a sequence."""
+    small_batches(spark)
     return packing.pack(docs)
 
 

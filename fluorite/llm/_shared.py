@@ -66,6 +66,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """From here on the session's Arrow batches have at most so many rows: each task holds a whole batch outside its heap, in
+    buffers that grow by doubling, and once more in its Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    spark.conf.set(key, rows if now <= 0 else min(now, rows))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b), by alternating large and small stars.
 

@@ -148,8 +148,8 @@ class Trees:
         np.add.at(out, [i for i, _, _ in held], sums)
 
 
-#: The counts and trees that this worker built last.
-_built: list = [None, None]
+#: Rows of a batch that are told, and handed on, at a time.
+_ROWS = 256
 
 
 def predict(docs: DataFrame, counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
@@ -165,14 +165,11 @@ def predict(docs: DataFrame, counts: dict[str, tuple[np.ndarray, np.ndarray]]) -
     at = keep.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if held.value:
-            if _built[0] is not held.value:
-                _built[:] = held.value, Trees(held.value)
-            trees = _built[1]
-        for batch in batches:
+        trees = Trees(held.value) if held.value else None  # the task's: what runs later in its worker has the room again
+        for batch in (b.slice(i, _ROWS) for b in batches for i in range(0, b.num_rows, _ROWS)):
             texts = batch.column(at).to_pylist()
             names, scores, rates = [UNKNOWN] * len(texts), [0.0] * len(texts), [None] * len(texts)
-            use = [i for i, t in enumerate(texts) if t and held.value and _LETTER.search(t)]
+            use = [i for i, t in enumerate(texts) if t and trees and _LETTER.search(t)]
             if use:
                 raw = [texts[i].encode("utf-8", "surrogatepass") for i in use]
                 bits = trees.lengths(raw)

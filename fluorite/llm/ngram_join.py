@@ -32,8 +32,9 @@ from ._shared import components, packed, partitions, stored, unpacked
 WORDS, THRESHOLD = 3, Fraction(90, 100)
 #: A cluster of more sets, or of more shingles in all, isn't joined whole; a group of more sets is cut into blocks.
 CLUSTER_SETS, CLUSTER_SHINGLES, GROUP_CLASSES = 4096, 4_000_000, 1024
-_WORDS_KEPT = 250_000
-_FLUSH = 1_000_000
+_WORDS_KEPT = 100_000
+#: Shingles of a block, and of what leaves its task at a time.
+_FLUSH, _SENT = 1_000_000, 100_000
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD)]
 
@@ -100,22 +101,36 @@ def _prefixes(docs: DataFrame, words: int, threshold: Fraction) -> DataFrame:
         held: list[tuple] = []
         size = 0
 
-        def flush() -> pa.RecordBatch:
+        def rows(some: list[tuple]) -> pa.RecordBatch:
+            types = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), types)], names=["dest", "block", "kind", "a", "b"])
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            """A block's documents, then its shingles' counts by destination, a few at a time: neither waits on the other."""
             nonlocal block
             first = np.concatenate([h[4] for h in held])
-            token, n = np.unique(first, return_counts=True)
-            dest = ((token >> np.uint64(10)) % np.uint64(parts)).astype(np.int64)
-            by = np.argsort(dest, kind="stable")
-            token, n, ends = token[by], n[by].astype(np.uint32), np.searchsorted(dest[by], np.arange(parts + 1))
-            rows = [(0, block, 0, pickle.dumps((
+            whole = (
                 [h[0] for h in held], [h[1] for h in held], np.array([h[2] for h in held]), [h[3] for h in held],
                 np.array([len(h[4]) for h in held]), first, np.array([len(h[5]) for h in held]), np.concatenate([h[5] for h in held]),
-            ), 5), b"")]
-            rows += [(d, block, 1, token[i:j].tobytes(), n[i:j].tobytes()) for d, (i, j) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())) if j > i]
-            block += 1
+            )
             held.clear()
-            types = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["dest", "block", "kind", "a", "b"])
+            yield rows([(0, block, 0, pickle.dumps(whole, 5), b"")])
+            del whole
+            token, n = np.unique(first, return_counts=True)
+            del first
+            n, dest = n.astype(np.uint32), ((token >> np.uint64(10)) % np.uint64(parts)).astype(np.int32)
+            by = np.argsort(dest, kind="stable")
+            token, n, ends = token[by], n[by], np.searchsorted(dest[by], np.arange(parts + 1)).tolist()
+            del dest, by
+            some, size = [], 0
+            for d, (i, j) in enumerate(zip(ends[:-1], ends[1:])):
+                if j > i:
+                    some.append((d, block, 1, token[i:j].tobytes(), n[i:j].tobytes()))
+                    size += j - i
+                if some and (size >= _SENT or d == parts - 1):
+                    yield rows(some)
+                    some, size = [], 0
+            block += 1
 
         for batch in batches:
             for doc, text_hash, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
@@ -128,10 +143,10 @@ def _prefixes(docs: DataFrame, words: int, threshold: Fraction) -> DataFrame:
                 held.append((doc, text_hash, n, _key(tokens) if n else b"", first, more))
                 size += len(first) + 8
                 if size >= _FLUSH:
-                    yield flush()
+                    yield from flush()
                     size = 0
         if held:
-            yield flush()
+            yield from flush()
 
     def counted(frame: pd.DataFrame) -> pd.DataFrame:
         tokens = [np.frombuffer(a, np.uint64) for a in frame["a"]]

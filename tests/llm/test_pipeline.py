@@ -31,3 +31,17 @@ def test_stages_and_their_decisions(spark, tmp_path):
 def test_queries_are_registered():
     assert {n.split("_")[0] for n in catalogue.queries()} == {f"op{i}" for i in range(1, 11)}
     assert set(catalogue.oracle_sql()) <= set(catalogue.queries())
+
+
+def test_stages_that_hand_texts_to_python_do_so_in_small_batches(spark):
+    from corpus_pipeline import identify_language
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        docs = spark.createDataFrame([(i, "some words of a text", "en") for i in range(9)], "doc_id long, text string, lang string")
+        assert identify_language(spark, docs, "").count() == 9 and int(spark.conf.get(key)) <= 500
+        spark.conf.set(key, "7")
+        assert identify_language(spark, docs, "").count() == 9 and spark.conf.get(key) == "7"
+    finally:
+        spark.conf.set(key, before)
