@@ -61,6 +61,17 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(*tables: DataFrame) -> None:
+    """Deletes the files of stored() that these tables read, once no table in use reads them any more; they would fill the
+    shared folder until the driver ends, through all later stages."""
+    for df in tables:
+        jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if folder.rsplit("/", 1)[-1].startswith("stored-"):
+                at = jvm.org.apache.hadoop.fs.Path(folder)
+                at.getFileSystem(conf).delete(at, True)
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions, which the cluster sizes to its input."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

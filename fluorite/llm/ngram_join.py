@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._shared import components, packed, partitions, stored, unpacked
+from ._shared import components, packed, partitions, released, stored, unpacked
 
 WORDS, THRESHOLD = 3, Fraction(90, 100)
 #: A cluster of more sets, or of more shingles in all, isn't joined whole; a group of more sets is cut into blocks.
@@ -282,7 +282,9 @@ def join(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD, l
     of a cluster meet, in pairs of blocks, and every pair of classes in a cell is told by the tree; pairs are counted where
     they are found and never written. The work of a cluster grows with its pairs; without `links` it doesn't.
     """
-    found = stored(_prefixes(docs, words, threshold))
+    prefixes = _prefixes(docs, words, threshold)
+    found = stored(prefixes)
+    released(prefixes)  # blocks of shingles, larger than the texts
     documents = found.where("kind = 0").select("doc_id", "text_hash", "n", "key")
 
     # Sets of linking documents are of neighbouring classes of size; a group is a shingle's sets of two such classes.
@@ -369,6 +371,7 @@ def join(docs: DataFrame, words: int = WORDS, threshold: Fraction = THRESHOLD, l
         if not each.where("large").isEmpty():
             edges = edges.unionByName(_large(members, each, sets, beside, joined, dealt))
     label = components(edges)
+    released(members, each, sets)  # edges are written: only they, cells and documents are read from here on
     rows = documents.join(label.select(F.col("id").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = rows.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
     rows = rows.join(least, "root", "left").select(

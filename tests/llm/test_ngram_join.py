@@ -2,6 +2,7 @@ import random
 from fractions import Fraction
 
 import numpy as np
+from fluorite.llm import _shared as S
 from fluorite.llm import ngram_join as N
 from pyspark.sql import functions as F
 
@@ -121,3 +122,16 @@ def test_keep_one_by_links_and_not_by_ids(spark):
     docs = documents(spark, texts, ids=[None, None, 4, 4, None, 8, None])
     kept = rows(N.keep_one(docs), "doc_id", "text")
     assert kept == sorted([(None, texts[0]), (None, texts[1]), (4, texts[2]), (4, texts[3]), (8, texts[5]), (None, None)], key=repr)
+
+
+def test_what_nothing_reads_any_more_is_deleted(spark, tmp_path, monkeypatch):
+    texts = corpus(11, 40)
+    docs = S.stored(documents(spark, texts))  # as in the pipeline: the input itself is a stored table, which stays
+    for limit in (N.CLUSTER_SETS, 4):
+        monkeypatch.setattr(N, "CLUSTER_SETS", limit)
+        monkeypatch.setattr(S, "shared_folder", lambda _, to=limit: f"file://{tmp_path}/{to}")
+        joined = N.join(docs, 3)
+        left = [set(spark.read.parquet(str(p)).columns) for p in (tmp_path / str(limit)).glob("stored-*")]
+        assert left and not any({"dest", "tokens", "large"} & c or {"pivot", "n"} <= c for c in left)
+        assert rows(joined, "doc_id", "component_id") == sorted([(i, c) for i, _, c in plain(texts, 3, 9, 10)], key=repr)
+    assert docs.count() == len(texts)
