@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
+from .tiling import gathered
 
 
 def deconvolve(traces: DataFrame, g: float | None = None, penalty: float = 0.0) -> DataFrame:
@@ -75,19 +79,21 @@ def register(frames: DataFrame, template: DataFrame, d1: int, d2: int, most: int
     return frames.select("t", "img").mapInPandas(run, f"t {dict(frames.dtypes)['t']}, dy double, dx double")
 
 
-def extract(pixels: DataFrame, tile_size: int, n: int, reach: int, rounds: int = 10) -> DataFrame:
-    """Components of every tile of pixels (tile, t, p, y, x, v): (tile, k, p, w), by greedy peeling and then refinement."""
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        y0, x0 = int(frame["y"].min()), int(frame["x"].min())
-        d1, d2 = int(frame["y"].max()) - y0 + 1, int(frame["x"].max()) - x0 + 1
-        local = (frame["y"] - y0 + (frame["x"] - x0) * d1).to_numpy()
-        steps = np.unique(frame["t"].to_numpy(), return_inverse=True)[1]
-        movie = np.zeros((d1 * d2, steps.max() + 1))
-        movie[local, steps] = frame["v"]
-        a, c = K.greedy_components(movie, d1, d2, n, reach)
-        a, _ = K.hals(movie - np.median(movie, axis=1, keepdims=True), a, c, rounds)
-        name = dict(zip(local.tolist(), frame["p"].tolist()))
-        rows = [(int(frame["tile"].iloc[0]), k, name[p], float(a[p, k])) for k in range(n) for p in np.flatnonzero(a[:, k] > 0).tolist()]
-        return pd.DataFrame(rows, columns=["tile", "k", "p", "w"])
-
-    return pixels.groupBy("tile").applyInPandas(run, "tile int, k int, p long, w double")
+def extract(rows: DataFrame, n: int, reach: int, rounds: int = 10) -> DataFrame:
+    """Components of every tile of rows (tile, y0, x0, h, w, t, img), as of tiling.parts: (tile, k,
+    y, x, w), by greedy peeling and then refinement.
+
+    A task reads a tile's frames batch by batch and holds its movie twice, so a tile's pixels times its steps bound it. Of
+    frames of one step one counts.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (tile, y0, x0, h, w), t, movie = gathered(batches, "tile", "y0", "x0", "h", "w", by_pixel=True)
+        last = np.r_[t[1:] != t[:-1], True]
+        movie = K.less_median(movie if last.all() else movie[:, last])
+        a, c = K.peeled(movie.copy(), h, w, n, reach)
+        a, _ = K.hals(movie, a, c, rounds)
+        k, p = np.nonzero(a.T > 0)
+        columns = [np.full(len(k), tile, np.int32), k.astype(np.int32), y0 + p % h, x0 + p // h, a[p, k]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["tile", "k", "y", "x", "w"])
+
+    return rows.groupBy("tile").applyInArrow(run, "tile int, k int, y long, x long, w double")

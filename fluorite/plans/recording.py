@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import demix as DM
 from ..operators import grouped as G
 from ..operators import measures as E
+from ..operators.tiling import parts
 from ..sources.tables import stored
 
 
@@ -108,11 +109,10 @@ class Components(NamedTuple):
 
 def first_footprints(frames: DataFrame, p: Parameters) -> DataFrame:
     """Greedy components of every tile, each under a number of its own."""
-    d1, size = p.movie.d1, p.start.tile
-    px = frames.select("t", F.posexplode("img").alias("p", "v")).withColumns({"y": F.expr(f"p % {d1}"), "x": F.expr(f"p div {d1}")})
-    px = px.withColumn("tile", F.expr(f"cast(y div {size} + (x div {size}) * {-(-d1 // size)} as int)"))
-    found = G.extract(px, size, p.start.components, p.start.reach)
-    return found.select((F.col("tile").cast("long") * p.start.components + F.col("k")).alias("k"), "p", "w")
+    d1, d2, size = p.movie.d1, p.movie.d2, p.start.tile
+    corners = [(y, x) for x in range(0, d2, size) for y in range(0, d1, size)]
+    found = G.extract(parts(frames, d1, d2, [(i, y, x, min(size, d1 - y), min(size, d2 - x)) for i, (y, x) in enumerate(corners)]), p.start.components, p.start.reach)
+    return found.select((F.col("tile").cast("long") * p.start.components + F.col("k")).alias("k"), F.expr(f"y + x * {d1}").alias("p"), "w")
 
 
 def assessed(frames: DataFrame, a: DataFrame, c: DataFrame, p: Parameters) -> DataFrame:
