@@ -8,6 +8,9 @@ import numpy as np
 
 from .morphology import connected, falling
 
+#: Steps of a movie that are filtered at a time.
+_STEPS = 4096
+
 
 @dataclass(frozen=True)
 class Seeding:
@@ -51,36 +54,62 @@ def high_pass(x: np.ndarray, s: Seeding) -> np.ndarray:
     near = np.exp(-((o / s.sigma) ** 2) / 2)
     near, wide = near / near.sum(), np.full(len(o), 1 / len(o))
     d1, d2 = x.shape[-2:]
-    return _side(d1, near) @ x @ _side(d2, near).T - _side(d1, wide) @ x @ _side(d2, wide).T
+    sides = _side(d1, near), _side(d2, near).T, _side(d1, wide), _side(d2, wide).T
+    if x.ndim < 3:
+        return sides[0] @ x @ sides[1] - sides[2] @ x @ sides[3]
+    out = np.empty(x.shape)
+    for i in range(0, len(x), _STEPS):
+        some = x[i : i + _STEPS]
+        out[i : i + _STEPS] = sides[0] @ some @ sides[1] - sides[2] @ some @ sides[3]
+    return out
 
 
 def noise(x: np.ndarray) -> np.ndarray:
     """The noise of each pixel of a movie (t, d1, d2) from the upper half of its frequencies."""
     n = len(x)
-    power = abs(np.fft.rfft(x, axis=0)) ** 2 / n
-    band = np.arange(len(power)) / n
+    band = np.arange(n // 2 + 1) / n
     use = (band > 0.25) & (band <= 0.5)
-    return np.sqrt(power[use].mean(axis=0)) if use.any() else np.zeros(x.shape[1:])
+    out = np.zeros(x.shape[1:])
+    if use.any():
+        for p in np.ndindex(out.shape):
+            out[p] = np.sqrt((abs(np.fft.rfft(x[:, *p])[use]) ** 2 / n).mean())
+    return out
 
 
 def peak_to_noise(x: np.ndarray, sigma: np.ndarray) -> np.ndarray:
-    return (x.max(axis=0) - np.median(x, axis=0)) / np.where(sigma > 0, sigma, np.inf)
+    return (x.max(axis=0) - _median(x)) / np.where(sigma > 0, sigma, np.inf)
+
+
+def _median(x: np.ndarray) -> np.ndarray:
+    """Of each pixel; a pixel's trace at a time, as np.median copies what it gets."""
+    out = np.empty(x.shape[1:])
+    for p in np.ndindex(out.shape):
+        out[p] = np.median(x[:, *p])
+    return out
 
 
 def local_correlation(x: np.ndarray, sigma: np.ndarray, level: float) -> np.ndarray:
-    """The mean correlation of each pixel with its eight neighbours, of what rises over its noise."""
-    x = np.where(x - np.median(x, axis=0) > level * sigma, x, 0.0)
-    x = x - x.mean(axis=0)
-    size = np.sqrt((x * x).sum(axis=0))
-    x = x / np.where(size > 0, size, np.inf)
-    total, n = np.zeros(x.shape[1:]), np.zeros(x.shape[1:])
-    for dy, dx in ((0, 1), (1, 0), (1, 1), (1, -1)):
-        a = (slice(0, x.shape[1] - dy), slice(max(0, -dx), x.shape[2] - max(0, dx)))
-        b = (slice(dy, x.shape[1]), slice(max(0, dx), x.shape[2] - max(0, -dx)))
-        c = (x[:, *a] * x[:, *b]).sum(axis=0)
-        for part in (a, b):
-            total[part] += c
-            n[part] += 1
+    """The mean correlation of each pixel with its eight neighbours, of what rises over its noise; two columns of pixels are
+    held at a time."""
+    d1, d2 = x.shape[1:]
+    total, n = np.zeros((d1, d2)), np.zeros((d1, d2))
+    middle = _median(x)
+    left = None
+    for j in range(d2):
+        z = np.where(x[:, :, j] - middle[:, j] > level * sigma[:, j], x[:, :, j], 0.0)
+        z -= z.mean(axis=0)
+        size = np.sqrt(np.einsum("ty,ty->y", z, z))
+        z /= np.where(size > 0, size, np.inf)
+        for other, dy in ((z, 1), *([(left, -1), (left, 0), (left, 1)] if j else [])):
+            i = j if other is z else j - 1
+            ys = slice(max(0, -dy), d1 - max(0, dy))  # of the other; dy lower in z
+            to = slice(max(0, dy), d1 - max(0, -dy))
+            c = np.einsum("ty,ty->y", other[:, ys], z[:, to])
+            total[ys, i] += c
+            total[to, j] += c
+            n[ys, i] += 1
+            n[to, j] += 1
+        left = z
     return total / np.maximum(n, 1)
 
 
@@ -88,16 +117,19 @@ def extracted(raw: np.ndarray, filtered: np.ndarray, centre: tuple[int, int], s:
     """A component's image and trace in a part of the movie, from its seed: pixels whose filtered traces go with the seed's
     give its trace, those that don't the background's, and both are fitted to every pixel."""
     x = filtered - filtered.mean(axis=0)
-    size = np.sqrt((x * x).sum(axis=0))
-    x = x / np.where(size > 0, size, np.inf)
+    size = np.sqrt(np.einsum("tyx,tyx->yx", x, x))
+    x /= np.where(size > 0, size, np.inf)
     alike = np.einsum("t,tyx->yx", x[:, centre[0], centre[1]], x)
     own, outside = alike > s.own, alike < s.outside
     if not own.any():
         return None
     trace = x[:, own].mean(axis=1)
-    rest = np.median(raw[:, outside], axis=1) if outside.any() else np.zeros(len(raw))
+    del x
+    rest = np.zeros(len(raw))
+    for i in range(0, len(raw) if outside.any() else 0, _STEPS):
+        rest[i : i + _STEPS] = np.median(raw[i : i + _STEPS, outside], axis=1)
     design = np.column_stack([trace, rest, np.ones(len(raw))])
-    a = np.maximum(np.linalg.lstsq(design, raw.reshape(len(raw), -1), rcond=None)[0][0], 0).reshape(alike.shape)
+    a = np.column_stack([np.maximum(np.linalg.lstsq(design, raw[:, :, j], rcond=None)[0][0], 0) for j in range(raw.shape[2])])
     if not a.any():
         return None
     a = connected(falling(a), reach=1)
@@ -106,14 +138,22 @@ def extracted(raw: np.ndarray, filtered: np.ndarray, centre: tuple[int, int], s:
     return a, trace - np.median(trace)
 
 
-def seeded(movie: np.ndarray, s: Seeding, core: tuple[slice, slice] | None = None) -> list[tuple[tuple[int, int], float, np.ndarray, np.ndarray]]:
+def _less(x: np.ndarray, box: tuple[slice, slice], trace: np.ndarray, image: np.ndarray) -> None:
+    """Takes trace times image off x in a box, one pixel after the other."""
+    part = x[:, *box]
+    for p in zip(*np.nonzero(image)):
+        part[:, *p] -= trace * image[p]
+
+
+def seeded(movie: np.ndarray, s: Seeding, core: tuple[slice, slice] | None = None, own: bool = False) -> list[tuple[tuple[int, int], float, np.ndarray, np.ndarray]]:
     """(seed, score, image, trace) of the components of a movie (t, d1, d2), the best seed first.
 
     The score is correlation times peak to noise. What is found is taken off the movie and off the filtered one, and both
     images are made anew where that reaches. Components of seeds up to a diameter outside `core` are taken off too, but not
-    returned; farther seeds aren't looked at, as the movie may end where they lie.
+    returned; farther seeds aren't looked at, as the movie may end where they lie. With `own` the movie, an array of doubles,
+    is written over. Besides it and the filtered one, a part around one seed is held, and single pixels' traces.
     """
-    raw = np.asarray(movie, dtype=float).copy()
+    raw = movie if own else np.array(movie, dtype=float)
     if len(raw) < 4:
         return []
     filtered = high_pass(raw, s)
@@ -140,9 +180,9 @@ def seeded(movie: np.ndarray, s: Seeding, core: tuple[slice, slice] | None = Non
         image[box] = found[0]
         if core is None or (core[0].start <= y < core[0].stop and core[1].start <= x < core[1].stop):
             out.append(((int(y), int(x)), float(score[y, x]), image, trace))
-        raw[:, *box] -= np.multiply.outer(trace, image[box])
+        _less(raw, box, trace, image[box])
         wide = tuple(slice(max(0, b.start - s.reach), min(n, b.stop + s.reach)) for b, n in zip(box, (d1, d2)))
-        filtered[:, *wide] -= np.multiply.outer(trace, high_pass(image, s)[wide])
+        _less(filtered, wide, trace, high_pass(image, s)[wide])
         more = tuple(slice(max(0, b.start - 1), min(n, b.stop + 1)) for b, n in zip(wide, (d1, d2)))
         inner = tuple(slice(b.start - m.start, b.stop - m.start) for b, m in zip(wide, more))
         pnr[wide] = peak_to_noise(filtered[:, *wide], sigma[wide])

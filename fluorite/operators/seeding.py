@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.seeding import Seeding, seeded
 from ..sources.tables import stored
-from .tiling import with_halo
+from .tiling import gathered, with_halo
 
 
 def slower(frames: DataFrame, steps: int) -> DataFrame:
@@ -21,26 +23,25 @@ def slower(frames: DataFrame, steps: int) -> DataFrame:
 def components(frames: DataFrame, d1: int, d2: int, settings: Seeding, tile: int = 32, alike: float = 0.6) -> DataFrame:
     """(k, score, p, w): footprints of unit length of what a movie (t, img) holds on its background; k is the seed's pixel.
 
-    A task holds one tile with its halo for all steps, so the tile's side bounds it; slower() makes long movies shorter. A
+    A task holds one tile with its halo for all steps, twice, so the tile's side bounds it; slower() makes long movies shorter. A
     tile keeps what has its seed inside; of components of different tiles whose footprints are alike (cosine over `alike`)
     the one of the better seed stays. Frames that are null, of another size, or have a missing pixel are left out.
     """
     whole = frames.where((F.size("img") == d1 * d2) & F.forall("img", lambda v: v.isNotNull() & ~F.isnan(v)))
     rows = with_halo(whole.select("t", F.col("img").cast("array<double>").alias("img")), d1, d2, tile, settings.halo)
 
-    def find(table):
-        y0, x0, h, w, top, left, th, tw = (table.column(c)[0].as_py() for c in ("y0", "x0", "h", "w", "top", "left", "th", "tw"))
-        by = np.argsort(table.column("t").to_numpy(), kind="stable")
-        movie = table.column("img").combine_chunks().flatten().to_numpy().reshape(-1, tw, th)[by].transpose(0, 2, 1)
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (tile, y0, x0, h, w, top, left, th, tw), _, movie = gathered(batches, "tile", "y0", "x0", "h", "w", "top", "left", "th", "tw")
+        movie = movie.reshape(-1, tw, th).transpose(0, 2, 1)
         k, score, p, weight = [], [], [], []
-        for (y, x), value, image, _ in seeded(movie, settings, (slice(y0 - top, y0 - top + h), slice(x0 - left, x0 - left + w))):
+        for (y, x), value, image, _ in seeded(movie, settings, (slice(y0 - top, y0 - top + h), slice(x0 - left, x0 - left + w)), own=True):
             ys, xs = np.nonzero(image)
             k += [y + top + (x + left) * d1] * len(ys)
             score += [value] * len(ys)
             p += (ys + top + (xs + left) * d1).tolist()
             weight += (image[ys, xs] / np.linalg.norm(image)).tolist()
-        n = [table.column("tile")[0].as_py()] * len(k)
-        return pa.table([pa.array(n, pa.int32()), pa.array(k, pa.int64()), pa.array(score, pa.float64()), pa.array(p, pa.int64()), pa.array(weight, pa.float64())], names=["tile", "k", "score", "p", "w"])
+        n = [tile] * len(k)
+        yield pa.RecordBatch.from_arrays([pa.array(n, pa.int32()), pa.array(k, pa.int64()), pa.array(score, pa.float64()), pa.array(p, pa.int64()), pa.array(weight, pa.float64())], names=["tile", "k", "score", "p", "w"])
 
     found = stored(rows.groupBy("tile").applyInArrow(find, "tile int, k long, score double, p long, w double"))
     other = found.select(F.col("tile").alias("tile2"), F.col("k").alias("k2"), F.col("score").alias("score2"), "p", F.col("w").alias("w2"))

@@ -5,6 +5,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 from fluorite.functions import kernels as K
+from fluorite.functions import seeding as SD
 from fluorite.operators import grouped as G
 from fluorite.operators import tiling as TI
 
@@ -50,3 +51,14 @@ def test_components_of_overlapping_tiles_of_an_odd_movie(spark):
         a, _ = K.hals(movie - np.median(movie, axis=1, keepdims=True), a, c, 10)
         want |= {(tile, k, y0 + p % h, x0 + p // h): a[p, k] for p, k in zip(*np.nonzero(a > 0))}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_seeding_holds_a_movie_its_filtered_one_and_little_more():
+    x = np.random.default_rng(3).normal(size=(20_000, 8, 8))
+    x[::50, 2:5, 3:6] += 9.0
+    s = SD.Seeding(sigma=1.0, diameter=3, min_corr=0.3, min_pnr=5.0, level=1.0, own=0.5, least_pixels=1)
+    found = []
+    assert most_held(lambda: found.extend((f[0], f[1]) for f in SD.seeded(x, s))) < 3 * x.nbytes
+    assert len(found) > 0
+    again = [(f[0], f[1]) for f in SD.seeded(x.copy(), s, own=True)]
+    assert again == found
