@@ -62,6 +62,19 @@ def _probes(open_: DataFrame, m: int, segment: int, radius: int, known: dict[int
     return open_.mapInArrow(run, f"{code}, bound int, j int, value long")
 
 
+def _known(index: DataFrame, segment: int) -> dict[int, np.ndarray]:
+    """For each j a mark for every value of a segment: whether index has it. They come to the driver as bitmaps, a bit for
+    each possible value, whatever the number of codes; no list of values does."""
+    known: dict[int, np.ndarray] = {}
+    place = F.col("value") + 1  # these functions number values from 1: bucket 1 begins with it
+    maps = index.groupBy("j", F.bitmap_bucket_number(place).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    for j, part, bits in maps.collect():
+        marks = np.unpackbits(np.frombuffer(bits, dtype=np.uint8), bitorder="little").astype(bool)
+        at = (part - 1) * len(marks)
+        known.setdefault(j, np.zeros(1 << segment, dtype=bool))[at : at + len(marks)] = marks[: (1 << segment) - at]
+    return known
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP, bits: int = BITS, segment: int = SEGMENT) -> DataFrame:
     """For each row of queries (vec_id, embedding) its k nearest of vectors by Hamming distance of their sign codes.
 
@@ -71,7 +84,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP, bits: int = BITS
     open meet the index by an equi-join on (segment, value). A class is taken from the first of its nearest segments, so
     none comes twice. What no radius up to r finds differs by over r bits in each segment, so by segments * (r + 1) bits at
     least: a query is answered as soon as its kth verified distance is below that. Every code is in the index, so the result
-    is exact. `segment` should be about the logarithm of the number of codes.
+    is exact. `segment` should be about the logarithm of the number of codes. Joins are sorted at every size: none is sent
+    through the driver, which holds no more than the marks of values that occur.
 
     Rows with a null id or vector are in neither; repeated rows of vectors are found each, repeated queries are answered
     once; vectors of another length are cut or filled with zeros; empty tables give no rows.
@@ -89,39 +103,35 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = TOP, bits: int = BITS
     index = stored(classes.select(*[F.col(c).alias(f"d{j}") for j, c in enumerate(names)], "ids", each.alias("s")).select("s.j", "s.value", *[f"d{j}" for j in range(m)], "ids"))
 
     total = index.where("j = 0").agg(F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()[0]  # fewer than k: all are found
-    known = {}
-    if segment <= KNOWN_BITS:  # 2 ** KNOWN_BITS marks for each segment at most, whatever the number of codes
-        for row in index.groupBy("j").agg(F.collect_set("value").alias("values")).collect():
-            known[row["j"]] = np.zeros(1 << segment, dtype=bool)
-            known[row["j"]][row["values"]] = True
+    known = _known(index, segment) if segment <= KNOWN_BITS else {}
 
     open_ = stored(asked.select(*names).distinct().withColumn("bound", F.lit(bits).cast("int")))
     best = spark.createDataFrame([], ", ".join(f"{c} long" for c in names) + ", distance int, vec_id long")
-    done = None
-    nearest = Window.partitionBy(*names).orderBy("distance", "vec_id")
+    done = best
+    own = Window.partitionBy(*names)
     for radius in range(segment + 1):
         if open_.isEmpty():
             break
         apart = [_away(F.col(c), F.col(f"d{j}")) for j, c in enumerate(names)]
-        found = _probes(open_, m, segment, radius, known).join(index, ["j", "value"])
+        found = _probes(open_, m, segment, radius, known).join(index.hint("merge"), ["j", "value"])
         # Its own segment is at this radius; of those at its least distance it must be the first.
         first = F.lit(True)
         for i in range(m):
             first = first & F.when(F.col("j") > i, apart[i] > radius).when(F.col("j") < i, apart[i] >= radius).otherwise(F.lit(True))
         found = found.where(first).withColumn("distance", sum(apart[1:], apart[0]).cast("int")).where("distance <= bound")
         best = best.unionByName(found.select(*names, "distance", F.explode("ids").alias("vec_id")))
-        best = stored(best.withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= k).drop("n"))
-        kth = best.groupBy(*names).agg(F.when(F.count("*") >= k, F.max("distance")).when(F.count("*") >= total, F.lit(-1)).alias("kth"))
-        kth = open_.join(kth, names, "left")
-        ready = F.coalesce(F.col("kth") < m * (radius + 1), F.lit(False)) if radius < segment else F.lit(True)
-        now = stored(kth.select(*names, ready.alias("ready"), F.coalesce("kth", F.lit(bits)).cast("int").alias("bound")))
-        answered = best.join(now.where("ready").select(*names), names, "left_semi")
-        done = answered if done is None else done.unionByName(answered)
-        open_ = now.where("not ready").select(*names, "bound")
-        best = best.join(open_.select(*names), names, "left_semi")
-    if done is None:
-        done = best
-    found = asked.withColumnRenamed("vec_id", "query_id").join(done, names)
+        best = best.withColumn("n", F.row_number().over(own.orderBy("distance", "vec_id"))).where(F.col("n") <= k).drop("n")
+        kth = F.when(F.count("*").over(own) >= k, F.max("distance").over(own)).when(F.count("*").over(own) >= total, F.lit(-1))
+        best = best.withColumn("kth", kth)
+        best = stored(best.withColumn("ready", F.coalesce(F.col("kth") < m * (radius + 1), F.lit(False)) if radius < segment else F.lit(True)))
+        done = done.unionByName(best.where("ready").select(*names, "distance", "vec_id"))
+        if radius == segment:
+            break
+        told = best.groupBy(*names).agg(F.first("ready").alias("ready"), F.first("kth").alias("kth"))
+        now = open_.join(told.hint("merge"), names, "left").where("ready is null or not ready")
+        open_ = stored(now.select(*names, F.coalesce("kth", F.lit(bits)).cast("int").alias("bound")))
+        best = best.where("not ready").select(*names, "distance", "vec_id")
+    found = asked.withColumnRenamed("vec_id", "query_id").join(done.hint("merge"), names)
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id")))
     return ranked.select("query_id", "rank", "vec_id", "distance")
 

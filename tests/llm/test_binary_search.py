@@ -39,3 +39,23 @@ def test_repeated_rows_and_empty(spark):
     df = spark.createDataFrame([(1, [1.0] * 64), (1, [1.0] * 64), (2, [-1.0] * 64)], "vec_id long, embedding array<double>")
     assert sorted(tuple(x) for x in B.top_k(df, df.where("vec_id = 1"), 5).collect()) == [(1, 1, 1, 0), (1, 2, 1, 0), (1, 3, 2, 64)]
     assert B.top_k(df.where("false"), df).count() == 0 and B.top_k(df, df.where("false")).count() == 0
+
+
+def test_no_join_goes_through_the_driver(spark, monkeypatch):
+    plans, stored = [], B.stored
+    monkeypatch.setattr(B, "stored", lambda df: plans.append(df) or stored(df))
+    r = random.Random(9)
+    vectors = [(i, [r.gauss(0, 1) for _ in range(64)]) for i in range(60)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    found = B.top_k(df, df.where("vec_id % 20 = 0"), 3)
+    for each in [*plans, found]:
+        assert "Broadcast" not in each._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(x) for x in found.collect()) == plain(vectors, {i: v for i, v in vectors if i % 20 == 0}, 3)
+
+
+def test_marks_of_values_that_occur(spark):
+    held = {0: [0, 1, 32767, 32768, 65535], 1: [40000]}
+    index = spark.createDataFrame([(j, v) for j, vs in held.items() for v in vs], "j int, value long")
+    known = B._known(index, 16)
+    assert {j: [i for i, x in enumerate(m) if x] for j, m in known.items()} == held and all(len(m) == 1 << 16 for m in known.values())
+    assert B._known(index.where("value < 2"), 4)[0].tolist() == [True, True] + [False] * 14
