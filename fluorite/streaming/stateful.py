@@ -7,6 +7,7 @@ query's checkpoint, so that a restarted query goes on where it was.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -21,11 +22,31 @@ from ..operators.tiling import tiled  # noqa: F401  fields of their own for demi
 from ..sources.tables import shared_path, stored
 
 
+#: Rows, and numbers of their footprints, that a task of demixed() holds before they go out, about.
+_ROWS, _NUMBERS = 4096, 1 << 20
+
+
 def _ordered(frames) -> pd.DataFrame:
     """A key's rows of one micro-batch, which come in parts, in order of time."""
     return pd.concat(list(frames), ignore_index=True).sort_values("t", kind="stable", ignore_index=True)
 
 
+def _movie(frames, pixels: int) -> tuple[list[int], np.ndarray]:
+    """The steps and images (step, pixel) of a key's frames of one micro-batch, which come in parts, in order of time. A part
+    goes once its numbers are taken. An image that is null or has another size is missing values."""
+    steps, images = [np.zeros(0, dtype=np.int64)], [np.zeros((0, pixels))]
+    for part in frames:
+        held = np.full((len(part), pixels), np.nan)
+        for i, img in enumerate(part["img"]):
+            if img is not None and len(img) == pixels:
+                held[i] = img
+        steps.append(part["t"].to_numpy(dtype=np.int64))
+        images.append(held)
+    steps, images = np.concatenate(steps), np.concatenate(images)
+    by = np.argsort(steps, kind="stable")
+    return steps[by].tolist(), images if (by[1:] > by[:-1]).all() else images[by]
+
+
 def pools(traces: DataFrame, g: float, penalty: float = 0.0, least: float = 0.0) -> DataFrame:
     """(k, version, start, length, value) of a stream of traces (k, t, v): the pools that a micro-batch's steps added or
     changed. version is the last step taken; a pool decays by g from `value` at step `start`.
@@ -73,28 +94,39 @@ def demixed(frames: DataFrame, settings: Settings, by: tuple[str, ...] = ("sessi
     known; and rows with a footprint, v null, when a component is born or its footprint updated.
 
     Frames of a key must come in order of t from batch to batch; within one they are sorted. What comes out doesn't depend
-    on the batches. Null, broken and odd-sized frames are left out. Where frames carry d1 and d2, as tiled() gives them,
+    on the batches. Null, broken and odd-sized frames are left out. A task holds the frames that a key has in a micro-batch as
+    plain numbers, and what comes out in pieces of about _ROWS rows, whatever the steps. Where frames carry d1 and d2, as tiled() gives them,
     these hold instead of the settings'.
     """
     kinds = dict(frames.dtypes)
     sized = [c for c in ("d1", "d2") if c in kinds]
 
     def run(key, parts, state):
-        frame = _ordered(parts)
+        def told(rows):
+            found = pd.DataFrame(rows, columns=["t", "k", "v", "shape"])
+            for i, name in enumerate(by):
+                found.insert(i, name, [key[i]] * len(rows))
+            return found
+
+        parts = iter(parts)
         if state.exists:
             field = Field.loads(state.get[0])
         else:
-            own = {c: int(frame[c].iloc[0]) for c in sized}
-            field = Field(Settings(**{**settings.__dict__, **own}))
+            first = next(parts)
+            parts = chain([first], parts)
+            field = Field(Settings(**{**settings.__dict__, **{c: int(first[c].iloc[0]) for c in sized}}))
+            del first
         rows: list[tuple] = []
-        for t, img in zip(frame["t"].tolist(), frame["img"]):
+        held = 0
+        for t, img in zip(*_movie(parts, field.pixels)):
             rows += [(u, k, v, None) for u, k, v in field.step(t, img)]
-            rows += [(u, k, None, shape.tolist()) for u, k, shape in field.drawn]
+            rows += [(u, k, None, shape) for u, k, shape in field.drawn]
+            held += field.pixels * len(field.drawn)
+            if len(rows) >= _ROWS or held >= _NUMBERS:
+                yield told(rows)
+                rows, held = [], 0
         state.update((field.dumps(),))
-        found = pd.DataFrame(rows, columns=["t", "k", "v", "shape"])
-        for i, name in enumerate(by):
-            found.insert(i, name, [key[i]] * len(rows))
-        yield found
+        yield told(rows)
 
     keys = ", ".join(f"{c} {kinds[c]}" for c in by)
     rows = frames.select(*by, *sized, "t", "img").groupBy(*by)

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from fluorite.functions import kernels as K
 from fluorite.functions import online as O
@@ -101,3 +102,36 @@ def test_a_cluster_without_a_shared_folder_is_refused():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         T.shared_path(Session())
+
+
+def test_demixed_rows_leave_in_pieces(spark, tmp_path, monkeypatch):
+    """However many steps a micro-batch has, a task holds few rows at once; they are the same rows, odd frames left out."""
+    r = np.random.default_rng(6)
+    blob = np.zeros((8, 8))
+    blob[2:5, 3:6] = 1.0
+    images = [(3.0 + (t % 10 == 4) * 6.0 * blob + 0.05 * r.normal(size=(8, 8))).ravel() for t in range(120)]
+    images[30], images[31] = None, np.ones(5)
+    settings = O.Settings(d1=8, d2=8, radius=2, start=12, buffer=24, update_every=8, space_corr=0.5, least_snr=2.0)
+    field, want = O.Field(settings), []
+    for t in range(120):
+        want += [(u, k, v, None) for u, k, v in field.step(t, images[t])]
+        want += [(u, k, None, tuple(s)) for u, k, s in field.drawn]
+
+    class State:
+        exists, held = False, None
+
+        def update(self, value):
+            self.held = value
+
+    taken = []
+    rows = spark.readStream.schema("session string, t long, img array<double>").parquet(str(tmp_path))
+    monkeypatch.setattr(type(rows.groupBy("session")), "applyInPandasWithState", lambda self, run, *other: taken.append(run))
+    monkeypatch.setattr(ST, "_ROWS", 50, raising=False)
+    ST.demixed(rows, settings)
+    order, state = r.permutation(120).tolist(), State()
+    parts = [pd.DataFrame({"t": some, "img": [images[t] for t in some]}) for some in (order[:70], order[70:])]
+    out = list(taken[0](("a",), iter(parts), state))
+    assert len(want) > 100 and len(out) > 2 and max(map(len, out)) < 50 + 60
+    found = [x for f in out for x in zip(f["t"], f["k"], f["v"], f["shape"])]
+    assert [(t, k, None if s is not None else v, None if s is None else tuple(s)) for t, k, v, s in found] == want
+    assert O.Field.loads(state.held[0]).n == 118
