@@ -148,3 +148,25 @@ def test_components_merge_over_blocks(spark, monkeypatch):
     assert len(set(head)) < 7
     got = E.merge_groups(a, c, 0.5, 0.85)
     assert {x["k"]: x["head"] for x in got.collect()} == dict(enumerate(head))
+
+
+@pytest.mark.parametrize("alike", [24, 4])
+def test_components_that_others_connect_do_not_meet(spark, monkeypatch, alike):
+    """Where the first blocks connect most components, only the rest meets all; where they don't, all do."""
+    from fluorite.operators import measures as E
+
+    monkeypatch.setattr(E, "_MERGED", 2)
+    monkeypatch.setattr(E, "_FIRST", 2, raising=False)
+    r = np.random.default_rng(5)
+    own = [0] * alike + [1 + i // 2 for i in range(30 - alike)]  # pairs of the others belong together
+    base = r.normal(size=(max(own) + 1, 60))
+    v = base[own] + 0.1 * r.normal(size=(30, 60))
+    by = r.permutation(30).tolist()
+    a = spark.createDataFrame([(by[k], p, 1.0 + 0.1 * float(r.random())) for k in range(30) for p in range(5)], "k long, p long, w double")
+    c = spark.createDataFrame([(by[k], t, float(v[k, t])) for k in range(30) for t in range(60)], "k long, t long, v double")
+    met, linked = [], E._linked
+    monkeypatch.setattr(E, "_linked", lambda left, right, *other: met.append((left.count(), right.count())) or linked(left, right, *other))
+    got = {x["k"]: x["head"] for x in E.merge_groups(a, c, 0.8, 0.8).collect()}
+    assert got == {by[k]: min(by[j] for j in range(30) if own[j] == own[k]) for k in range(30)}
+    first, second = met
+    assert first[1] == 2 and second[1] == first[0] - 2 and (second[0] < first[0] / 2) == (alike == 24)
